@@ -1,12 +1,15 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs (lines; long lines sentence by sentence) are hashed to digests. A digest goes
-to one cell in each of TABLES tables; a cell holds a count, the XOR of its digests and the XOR of
-their checks. Two versions' sketches subtract cell by cell, what they share cancels, and
-peeling recovers the digests that differ: a cell of count 1 or -1 whose check fits holds one digest,
-which is then taken out of its other cells, and so on. Where that gets stuck, it is retried with
-a larger sketch: more blocks of cells, each for the digests of some low bits, then four times as
-many for the blocks that are stuck, and so on; after RETRIES the sets themselves are compared.
+A text's paragraphs (lines; long lines sentence by sentence) are hashed to digests that carry
+a check of themselves. A digest is added to one cell in each of TABLES tables. Two versions'
+sketches subtract cell by cell, what they share cancels, and peeling recovers the digests that
+differ: a cell whose value or its negative passes its own check holds one digest, which is then
+taken out of its other cells, and so on. Where that gets stuck, it is retried with a larger
+sketch: more blocks of cells, each for the digests of some bits, then four times as many for the
+blocks that are stuck, and so on; after RETRIES the sets themselves are compared.
+
+Cells are plain sums of 52-bit digests (36 bits of hash, 16 of check), so that a sketch is an array
+of longs and the expressions over it allocate nothing else.
 """
 
 from __future__ import annotations
@@ -18,13 +21,17 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_or_empty
 
-TABLES, CELLS = 3, 6
+#: Tables, and cells of each (a power of 2) in the base sketch and in a block of a larger one.
+TABLES, BASE_CELLS, BLOCK_CELLS = 3, 8, 4
 #: Digests of both versions that a block of the first larger sketch should get.
-PER_BLOCK = 8
+PER_BLOCK = 5
 RETRIES = 3
 ROUNDS = 8
+HASH_BITS, CHECK_BITS = 36, 16
+#: Versions of more digests than this skip the base sketch, whose cells could not hold the sum.
+BASE_MOST = 1024
 #: Lines of more code points are cut after sentences.
-LONG_LINE = 200
+LONG_LINE = 300
 SENTENCE = r"(?<=[.!?]) +"
 
 
@@ -33,90 +40,90 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _check(hashed: Column) -> Column:
+    return F.xxhash64(hashed).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, blank ones left out."""
     lines = F.transform(
         F.split(text, "\n"), lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, SENTENCE)).otherwise(F.array(x))
     )
-    return F.array_distinct(F.transform(F.filter(F.flatten(lines), lambda x: F.btrim(x) != ""), lambda x: F.xxhash64(x)))
+    hashed = F.array_distinct(
+        F.transform(
+            F.filter(F.flatten(lines), lambda x: F.btrim(x) != ""),
+            lambda x: F.greatest(F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit((1 << HASH_BITS) - 1))),
+        )
+    )
+    return F.transform(hashed, lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))
 
 
-def _check(digest: Column) -> Column:
-    return F.xxhash64(F.lit(11), digest)
+def _is_digest(value: Column) -> Column:
+    return F.abs(value).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)) == _check(F.shiftright(F.abs(value), CHECK_BITS))
 
 
-def _slot(digest: Column, cell: Column) -> Column:
-    """Whether a digest goes to a cell; each table reads bits of its own."""
-    bits = F.call_function("shiftright", digest, (24 + 12 * F.floor(cell / CELLS)).cast("int"))
-    return F.pmod(bits.bitwiseAND(F.lit(4095)), F.lit(CELLS)) == cell % CELLS
+def _places(cells: int) -> Column:
+    """For each cell of all tables the bits of a digest that it looks at, and what they are there."""
+    top = CHECK_BITS + HASH_BITS
+    wide = BASE_CELLS.bit_length() - 1
+    shift = [top - wide * (t + 1) for t in range(TABLES)]
+    return F.array(*[
+        F.struct(F.lit((cells - 1) << k).cast("long").alias("mask"), F.lit(i << k).cast("long").alias("bits")) for k in shift for i in range(cells)
+    ])
 
 
-def _cell(n: Column, k: Column, h: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), k.alias("k"), h.alias("h"))
+def _goes(digest: Column, place: Column) -> Column:
+    return digest.bitwiseAND(place["mask"]) == place["bits"]
 
 
-def _empty() -> Column:
-    return _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def _block(digest: Column, n_blocks: Column) -> Column:
+    return F.shiftright(digest, CHECK_BITS) % n_blocks
 
 
-def _added(cell: Column, found: Column, i: Column, sign: int) -> Column:
-    """``cell`` with the digests of ``found`` that go to it added or taken away."""
-    return F.aggregate(
-        found, cell,
-        lambda c, x: F.when(
-            _slot(x, i), _cell(c["n"] + sign, c["k"].bitwiseXOR(x), c["h"].bitwiseXOR(_check(x)))
-        ).otherwise(c),
-    )
+def _cell(start: Column, found: Column, place: Column, sign: int) -> Column:
+    """A cell's value after the digests of ``found`` that go to it are added or taken away."""
+    return F.aggregate(found, start, lambda s, x: F.when(_goes(x, place), s + x if sign > 0 else s - x).otherwise(s))
 
 
-def _indices() -> Column:
-    return F.array(*[F.lit(i) for i in range(TABLES * CELLS)])
+def _zero() -> Column:
+    return F.lit(0).cast("long")
 
 
-def sketch(found: Column) -> Column:
+def sketch(found: Column, cells: int = BASE_CELLS) -> Column:
     """A sketch of one block: cells of all tables."""
-    return F.transform(_indices(), lambda i: _added(_empty(), found, i, 1))
+    return F.transform(_places(cells), lambda p: _cell(_zero(), found, p, 1))
+
+
+def base_sketch(found: Column) -> Column:
+    """A sketch of one block, null for more than BASE_MOST digests."""
+    return F.when(F.size(found) <= BASE_MOST, sketch(found))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(
-        a, b, lambda x, y: _cell(x["n"] - y["n"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"]))
-    )
+    return F.zip_with(a, b, lambda x, y: x - y)
+
 
+def peel(cells: Column, size: int) -> Column:
+    """``ok`` and the digests ``found``: as they are if the first version has them, negative if the second."""
+    state = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("stuck"))
 
-def peel(cells: Column) -> Column:
-    """``ok`` and the digests ``found``, each with the sign of the version that has it (1 or -1)."""
-    one = "struct<k:bigint,s:int>"
-    state = F.struct(cells.alias("cells"), F.array().cast(f"array<{one}>").alias("found"), F.lit(False).alias("stuck"))
+    def without(now: Column, pure: Column) -> Column:
+        left = F.zip_with(
+            now["cells"], _places(size),
+            lambda c, p: F.aggregate(pure, c, lambda s, x: F.when(_goes(F.abs(x), p), s - x).otherwise(s)),
+        )
+        stuck = F.struct(now["cells"].alias("cells"), now["found"].alias("found"), F.lit(True).alias("stuck"))
+        peeled = F.struct(left.alias("cells"), F.concat(now["found"], pure).alias("found"), F.lit(False).alias("stuck"))
+        return F.when(F.size(pure) == 0, stuck).otherwise(peeled)
 
     def take(now: Column) -> Column:
-        pure = F.filter(now["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["h"] == _check(c["k"])))
-        named = F.array_distinct(F.transform(pure, lambda c: F.struct(c["k"].alias("k"), c["n"].alias("s"))))
-
-        def without(take: Column) -> Column:
-            left = F.transform(
-                now["cells"],
-                lambda c, i: F.aggregate(
-                    take, c,
-                    lambda c, x: F.when(
-                        _slot(x["k"], i),
-                        _cell(c["n"] - x["s"], c["k"].bitwiseXOR(x["k"]), c["h"].bitwiseXOR(_check(x["k"]))),
-                    ).otherwise(c),
-                ),
-            )
-            return F.when(F.size(take) == 0, F.struct(now["cells"].alias("cells"), now["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(
-                F.struct(left.alias("cells"), F.concat(now["found"], take).alias("found"), F.lit(False).alias("stuck"))
-            )
-
-        return let(named, without)
+        pure = F.array_distinct(F.filter(now["cells"], lambda c: (c != 0) & _is_digest(c)))
+        return let(pure, lambda x: without(now, x))
 
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(ROUNDS)), state,
         lambda now, _: F.when(now["stuck"], now).otherwise(take(now)),
-        lambda now: F.struct(
-            (~F.exists(now["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))).alias("ok"),
-            now["found"].alias("found"),
-        ),
+        lambda now: F.struct((~F.exists(now["cells"], lambda c: c != 0)).alias("ok"), now["found"].alias("found")),
     )
 
 
@@ -124,10 +131,11 @@ def _blocks(a: Column, b: Column, ids: Column, n_blocks: Column) -> Column:
     """The difference of ``a`` and ``b`` in each block of ``ids``: ``id, ok, found``."""
 
     def one(at: Column) -> Column:
-        own = lambda x: x.bitwiseAND(n_blocks - 1) == at
+        own = lambda x: _block(x, n_blocks) == at
         part = F.struct(F.filter(a, own).alias("a"), F.filter(b, own).alias("b"))
-        cells = lambda p: F.transform(_indices(), lambda i: _added(_added(_empty(), p["a"], i, 1), p["b"], i, -1))
-        return let(let(part, cells), lambda c: let(peel(c), lambda r: F.struct(at.alias("id"), r["ok"].alias("ok"), r["found"].alias("found"))))
+        cells = lambda v: F.transform(_places(BLOCK_CELLS), lambda p: _cell(_cell(_zero(), v["a"], p, 1), v["b"], p, -1))
+        done = lambda r: F.struct(at.alias("id"), r["ok"].alias("ok"), r["found"].alias("found"))
+        return let(let(part, cells), lambda c: let(peel(c, BLOCK_CELLS), done))
 
     return F.transform(ids, one)
 
@@ -138,24 +146,30 @@ def with_difference(df: DataFrame, a: str, b: str, out: str, base_a: str, base_b
     base_a and base_b: their base sketches, which are tried first.
     """
     first, tries = f"_{out}_0", [f"_{out}_{k}" for k in range(1, RETRIES + 1)]
-    n_blocks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(2.0), (F.size(a) + F.size(b)) / PER_BLOCK)))).cast("long")
-    df = df.withColumn(first, peel(subtract(F.col(base_a), F.col(base_b)))).withColumn(f"_{out}_n", n_blocks)
-    nothing = F.array().cast("array<struct<id:bigint,ok:boolean,found:array<struct<k:bigint,s:int>>>>")
+    n_blocks = F.ceil((F.size(a) + F.size(b) + 1) / PER_BLOCK)
+    sizes = {f"_{out}_m{k}": n_blocks * 4**k for k in range(RETRIES)}
+    df = df.withColumns(sizes).withColumn(
+        first,
+        F.when(
+            F.col(base_a).isNotNull() & F.col(base_b).isNotNull(), peel(subtract(F.col(base_a), F.col(base_b)), BASE_CELLS)
+        ).otherwise(F.struct(F.lit(False).alias("ok"), F.array().cast("array<bigint>").alias("found"))),
+    )
+    nothing = F.array().cast("array<struct<id:bigint,ok:boolean,found:array<bigint>>>")
     for k, name in enumerate(tries):
-        n = F.col(f"_{out}_n") * 4**k
+        n = F.col(f"_{out}_m{k}")
         if k == 0:
             ids = F.sequence(F.lit(0).cast("long"), n - 1)
             df = df.withColumn(name, F.when(F.col(first)["ok"], nothing).otherwise(_blocks(F.col(a), F.col(b), ids, n)))
         else:
             failed = F.filter(F.col(tries[k - 1]), lambda r: ~r["ok"])
-            ids = F.flatten(F.transform(failed, lambda r: F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: r["id"] + j * (n / 4).cast("long"))))
+            ids = F.flatten(F.transform(failed, lambda r: F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: r["id"] + j * F.col(f"_{out}_m{k - 1}"))))
             df = df.withColumn(name, _blocks(F.col(a), F.col(b), ids, n))
     size = lambda rows: F.aggregate(rows, F.lit(0), lambda s, r: s + F.when(r["ok"], F.size(r["found"])).otherwise(0))
     total = F.size(F.col(first)["found"])
     counted = sum((size(F.col(t)) for t in tries), F.lit(0))
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     stuck = F.exists(F.col(tries[-1]), lambda r: ~r["ok"])
-    return df.withColumn(out, F.when(F.col(first)["ok"], total).when(stuck, exact).otherwise(counted)).drop(first, f"_{out}_n", *tries)
+    return df.withColumn(out, F.when(F.col(first)["ok"], total).when(stuck, exact).otherwise(counted)).drop(first, *sizes, *tries)
 
 
 def likeness(a: str, b: str, differing: str) -> Column:
@@ -164,10 +178,14 @@ def likeness(a: str, b: str, differing: str) -> Column:
     return F.when(both == 0, 1.0).otherwise((both - F.col(differing)) / (both + F.col(differing)))
 
 
-def written(cells: Column) -> Column:
-    """A sketch as a string, cell by cell in hexadecimal."""
-    pad = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(pad(c["n"], 4), pad(c["k"], 16), pad(c["h"], 16))), "")
+def written(cells: Column, found: Column) -> Column:
+    """A base sketch as a string, its cells in hexadecimal; of more than BASE_MOST digests, cells modulo 2^52."""
+    rest = F.lit((1 << HASH_BITS + CHECK_BITS) - 1)
+    folded = F.transform(
+        _places(BASE_CELLS),
+        lambda p: F.aggregate(found, _zero(), lambda s, x: F.when(_goes(x, p), (s + x).bitwiseAND(rest)).otherwise(s)),
+    )
+    return F.array_join(F.transform(F.coalesce(cells, folded), lambda c: F.lower(F.hex(c))), ".")
 
 
 _NO_ID = -(1 << 63)
@@ -245,13 +263,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         .withColumn("n_chars", F.char_length("text").cast("long"))
         .withColumn("edited_sha256", F.sha2("edited", 256))
         .select("doc_id", "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests")
-        .withColumns({f"{x}sketch": sketch(F.col(f"{x}digests")) for x in ("", "edited_", "next_")})
+        .withColumns({f"{x}sketch": base_sketch(F.col(f"{x}digests")) for x in ("", "edited_", "next_")})
     )
     paired = with_difference(paired, "digests", "edited_digests", "d_edited", "sketch", "edited_sketch")
     paired = with_difference(paired, "digests", "next_digests", "d_next", "sketch", "next_sketch")
     return paired.select(
         "doc_id", "n_chars", "edited_sha256",
-        written(F.col("sketch")).alias("fingerprint"), written(F.col("edited_sketch")).alias("edited_fingerprint"),
+        written(F.col("sketch"), F.col("digests")).alias("fingerprint"), written(F.col("edited_sketch"), F.col("edited_digests")).alias("edited_fingerprint"),
         likeness("digests", "edited_digests", "d_edited").alias("near_edited"),
         likeness("digests", "next_digests", "d_next").alias("near_next"),
     )
