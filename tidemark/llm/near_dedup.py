@@ -4,8 +4,9 @@ A document is the multiset of its 5-word shingles. Two documents are linked if t
 Jaccard similarity of their multisets is at least THRESHOLD; classes are the connected
 components of the links. Equal multisets are one node from the start, so copies never meet each
 other. In every bucket of nodes that share a band, nodes are compared with one centre (a pair per
-node, not per pair of nodes), in ROUNDS rounds with other centres; what is then in a bucket and
-still in different classes is compared pair by pair, so no link within a bucket is lost.
+node, not per pair of nodes), in ROUNDS rounds with other centres. Among nodes that then share a
+bucket with other classes, an exact prefix and position filter finds every pair that may still be
+similar, so no link within a bucket is lost and yet no group is ever paired in full.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, small_batches, table
@@ -245,18 +246,44 @@ def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         mixed = materialize(_still_mixed(buckets, labels), f"mixed{turn}")
         if mixed.isEmpty():
             return labels
-    # What is left: every pair of a bucket whose nodes are in different classes.
-    left, right = (mixed.select("h", *[F.col(c).alias(c + s) for c in ("node", "n", "label")]) for s in ("_a", "_b"))
-    pairs = (
-        left.join(right, "h")
-        .where((F.col("label_a") < F.col("label_b")) & _can_reach(F.col("n_a"), F.col("n_b"), threshold))
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    more = materialize(_verified(materialize(_missed(mixed, bags, threshold), "rest"), bags, threshold), "links")
+    return labels if more.isEmpty() else connected_components(links.union(more))
+
+
+def _missed(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of different classes among ``mixed`` that may still be similar, by prefixes and positions.
+
+    Elements are ordered by how many of these bags hold them, rare ones first. If two bags of n and m
+    elements are similar, their overlap is t / (1 + t) * (n + m) at least, so the first element
+    that they share has that many elements from it on in either bag. A bag far from all others
+    has so many elements of its own at the front that it meets nobody, however many bags there are.
+    """
+    nodes = mixed.select("node", "n", "label").distinct()
+    elements = nodes.join(bags, "node").select("node", "n", "label", F.explode("bag").alias("e"))
+    held = elements.groupBy("e").agg(F.count("*").alias("k"))
+    rare_first = Window.partitionBy("node").orderBy("k", "e")
+    prefix = materialize(
+        elements.join(held, "e")
+        .withColumn("i", F.row_number().over(rare_first) - 1)
+        .where((F.col("k") > 1) & (F.col("n") - F.col("i") >= threshold * F.col("n") - 1e-9))
+        .select("e", "node", "n", "label", "i"),
+        "prefix",
+    )
+    largest = nodes.groupBy("label").count().orderBy(F.desc("count"), "label").first()
+    left, right = (prefix.select("e", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "i")]) for s in ("_a", "_b"))
+    if largest is not None:  # two classes are never both the largest one
+        left = left.where(F.col("label_a") != F.lit(bytes(largest["label"])))
+    enough = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return (
+        left.join(right, "e")
+        .where(
+            (F.col("label_a") != F.col("label_b"))
+            & _can_reach(F.col("n_a"), F.col("n_b"), threshold)
+            & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= enough)
+        )
+        .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
     )
-    for a, b in (("a", "b"), ("b", "a")):
-        pairs = pairs.join(tested.select(F.col("a").alias(a), F.col("b").alias(b)), ["a", "b"], "left_anti")
-    more = materialize(_verified(materialize(pairs, "rest"), bags, threshold), "links")
-    return labels if more.isEmpty() else connected_components(links.union(more))
 
 
 def _still_mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
