@@ -246,10 +246,24 @@ def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         mixed = materialize(_still_mixed(buckets, labels), f"mixed{turn}")
         if mixed.isEmpty():
             return labels
-    more = materialize(_verified(materialize(_missed(mixed, bags, threshold), "rest"), bags, threshold), "links")
+    pairs = materialize(_missed(mixed, bags, threshold), "rest")
+    # One partner for each node first: what that joins need not be compared any more.
+    for end, other in (("a", "b"), ("b", "a")):
+        one = pairs.groupBy(end).agg(F.min(F.struct(F.xxhash64("a", "b").alias("r"), F.col(other).alias(other))).alias("p"))
+        found = _verified(one.select(end, F.col(f"p.{other}").alias(other)), bags, threshold)
+        links = links.union(materialize(found, "links"))
+    labels = connected_components(links)
+    more = materialize(_verified(materialize(_apart(pairs, labels), "rest"), bags, threshold), "links")
     return labels if more.isEmpty() else connected_components(links.union(more))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose nodes are in different classes."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def _missed(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """All pairs (a, b) of different classes among ``mixed`` that may still be similar, by prefixes and positions.
 
