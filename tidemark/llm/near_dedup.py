@@ -27,6 +27,8 @@ THRESHOLD = 0.8
 #: At a similarity of 0.8, 0.9999 of all pairs share a band; at 0.9, all but one in 10^9.
 N_BANDS, BAND_ROWS = 24, 5
 ROUNDS = 2
+#: Elements before an element of a bag's prefix that tell whether a pair has met already.
+PAST = 32
 _NO_ID = -(1 << 63)
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -280,11 +282,12 @@ def _missed(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         elements.join(held, "e")
         .withColumn("i", F.row_number().over(rare_first) - 1)
         .where((F.col("k") > 1) & (F.col("n") - F.col("i") >= threshold * F.col("n") - 1e-9))
-        .select("e", "node", "n", "label", "i"),
+        .withColumn("past", F.collect_list("e").over(rare_first.rowsBetween(-PAST, -1)))
+        .select("e", "node", "n", "label", "i", "past"),
         "prefix",
     )
     largest = nodes.groupBy("label").count().orderBy(F.desc("count"), "label").first()
-    left, right = (prefix.select("e", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "i")]) for s in ("_a", "_b"))
+    left, right = (prefix.select("e", *[F.col(c).alias(c + s) for c in ("node", "n", "label", "i", "past")]) for s in ("_a", "_b"))
     if largest is not None:  # two classes are never both the largest one
         left = left.where(F.col("label_a") != F.lit(bytes(largest["label"])))
     enough = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
@@ -294,6 +297,8 @@ def _missed(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
             (F.col("label_a") != F.col("label_b"))
             & _can_reach(F.col("n_a"), F.col("n_b"), threshold)
             & (F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= enough)
+            # A pair that shares an earlier element has met there.
+            & ~F.arrays_overlap("past_a", "past_b")
         )
         .select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
         .distinct()
