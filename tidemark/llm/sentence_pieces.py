@@ -79,6 +79,11 @@ class Encoder:
         self.follows: dict[tuple[str, str], bool] = {}
         self.known: dict[str, bytes] = {}
         self.last: dict[str, str] = {}
+        # Length of the longest piece of three characters or more that ends in these three.
+        self.reach: dict[str, int] = {}
+        for p in model.pieces:
+            if len(p) >= 3:
+                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
 
     # BPE: how a piece's outermost symbols come about, and whether two pieces stay apart.
 
@@ -213,7 +218,7 @@ class Encoder:
     def _remembered(self, word: str) -> list[str]:
         """``search`` for a short word under a BPE model: a boundary's way back depends on what is before it alone,
         so the last piece of each prefix is remembered and shared by all words that begin so."""
-        last, pieces, longest = self.last, self.model.pieces, self.longest
+        last, pieces, reach, follows = self.last, self.model.pieces, self.reach, self.follows
         if len(last) > _MAX_PREFIXES:
             last.clear()
         for end in range(1, len(word) + 1):
@@ -221,11 +226,18 @@ class Encoder:
             if prefix in last:
                 continue
             last[prefix] = word[end - 1]
-            for start in range(max(0, end - longest), end - 1):
+            for start in range(max(0, end - reach.get(word[end - 3 : end], 2) if end >= 3 else 0), end - 1):
                 piece = word[start:end]
-                if piece in pieces and (
-                    self._may_follow(last[word[:start]], piece) if start else self._edges(piece) is not None
-                ):
+                if piece not in pieces:
+                    continue
+                if start:
+                    before = last[word[:start]]
+                    fits = follows.get((before, piece))
+                    if fits is None:
+                        fits = self._may_follow(before, piece)
+                else:
+                    fits = self._edges(piece) is not None
+                if fits:
                     last[prefix] = piece
                     break
         out = []
