@@ -28,7 +28,7 @@ from tidemark.llm.common import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words longer than this are searched without being remembered.
-_LONGEST_KNOWN, _MAX_KNOWN = 48, 300_000
+_LONGEST_KNOWN, _MAX_KNOWN = 48, 400_000
 _MAX_PREFIXES, _MAX_PAIRS = 600_000, 500_000
 
 
@@ -66,6 +66,22 @@ def read_model(path: str = MODEL) -> PieceModel:
     return PieceModel(proto.trainer_spec.model_type == 2, pieces, bytes_known, unknown, tuple(texts))
 
 
+class _KnownWords(dict):
+    """Ids of words; a word without a space mark before it stands for the word with one."""
+
+    def __init__(self, encoder: "Encoder") -> None:
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encoder._word(word if word[0] == SPACE else SPACE + word)
+        if len(word) <= _LONGEST_KNOWN:
+            if len(self) > _MAX_KNOWN:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """A model's search. ``encode`` gives the ids of a text as bytes of int32."""
 
@@ -77,8 +93,11 @@ class Encoder:
         self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in model.pieces)
         self.edges: dict[str, tuple[list, list] | None] = {}
         self.follows: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known = _KnownWords(self)
+        self.parts: dict[str, bytes] = {}
         self.last: dict[str, str] = {}
+        # Neighbouring characters within pieces: between others nothing ever merges.
+        self.joined = {p[i : i + 2] for p in model.pieces for i in range(len(p) - 1)}
         # Length of the longest piece of three characters or more that ends in these three.
         self.reach: dict[str, int] = {}
         for p in model.pieces:
@@ -246,10 +265,29 @@ class Encoder:
             word = word[: -len(out[-1])]
         return out[::-1]
 
+    def _cut(self, word: str) -> Iterator[str]:
+        """``word`` cut between characters that are never neighbours within a piece."""
+        start = 0
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in self.joined:
+                yield word[start:i]
+                start = i
+        yield word[start:]
+
+    def _part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            short = self.model.bpe and len(part) <= _LONGEST_KNOWN
+            pieces = self._remembered(part) if short else self.search(part)
+            ids = array("i", [i for piece in pieces for i in self._ids(piece)]).tobytes()
+            if short:
+                if len(self.parts) > _MAX_KNOWN:
+                    self.parts.clear()
+                self.parts[part] = ids
+        return ids
+
     def _word(self, word: str) -> bytes:
-        short = self.model.bpe and len(word) <= _LONGEST_KNOWN
-        ids = [i for piece in (self._remembered(word) if short else self.search(word)) for i in self._ids(piece)]
-        return array("i", ids).tobytes()
+        return b"".join(map(self._part, self._cut(word))) if self.model.bpe else self._part(word)
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -257,17 +295,9 @@ class Encoder:
         marked = SPACE + text.replace(" ", SPACE)
         if not self.words_apart:
             return self._word(marked)
-        out, known = [], self.known
-        for word in self._words(marked):
-            ids = known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if len(word) <= _LONGEST_KNOWN:
-                    if len(known) > _MAX_KNOWN:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-        return b"".join(out)
+        parts = marked.split(SPACE)[1:]
+        # Nearly always single spaces: then a word's key is the word without its mark.
+        return b"".join(map(self.known.__getitem__, parts if all(parts) else self._words(marked)))
 
     @staticmethod
     def _words(marked: str) -> Iterator[str]:
