@@ -28,8 +28,8 @@ from tidemark.llm.common import small_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words longer than this are searched without being remembered.
-_LONGEST_KNOWN, _MAX_KNOWN = 48, 400_000
-_MAX_PREFIXES, _MAX_PAIRS = 600_000, 500_000
+_LONGEST_KNOWN, _MAX_KNOWN, _MAX_PARTS = 48, 300_000, 200_000
+_MAX_PREFIXES, _MAX_PAIRS = 400_000, 300_000
 
 
 @dataclass(frozen=True)
@@ -281,7 +281,7 @@ class Encoder:
             pieces = self._remembered(part) if short else self.search(part)
             ids = array("i", [i for piece in pieces for i in self._ids(piece)]).tobytes()
             if short:
-                if len(self.parts) > _MAX_KNOWN:
+                if len(self.parts) > _MAX_PARTS:
                     self.parts.clear()
                 self.parts[part] = ids
         return ids
