@@ -21,8 +21,9 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose quality score is below one half."""
-    scored = compression_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"))
+    """Drop the documents whose quality score is below one half; the model learns from the whole table."""
+    whole = table(spark, sf_dir, "documents")
+    scored = compression_classifier.quality_classifier(docs, table(spark, sf_dir, "labels"), whole)
     return scored.where("_score >= 0.5").select(*docs.columns)
 
 

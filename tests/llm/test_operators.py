@@ -140,6 +140,22 @@ def test_classifier_held_out():
     assert sum(r["predicted"] == r["quality"] for r in held) >= 0.95 * len(held)
 
 
+def test_classifier_stage_learns_from_the_whole_table(spark, tmp_path):
+    """Bad documents that pass the rules go, though none of those that the model could learn from passed."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    spam = ["".join(rng.choice("qwxzvjkpfy") for _ in range(6)) for _ in range(80)]
+    text = lambda bad: " ".join(rng.choice(spam if bad else WORDS) for _ in range(200))
+    rows = [(i, text(i % 3 == 0), "en", "s", 1, True, 0.5, 1) for i in range(360)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, int(i % 3 != 0), 0) for i in range(300)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    passed = spark.createDataFrame([r for r in rows if r[0] >= 300 or r[0] % 3], SCHEMA)
+    left = {r["doc_id"] for r in corpus_pipeline.classifier_stage(spark, passed, str(tmp_path)).collect()}
+    assert left == {i for i in range(360) if i % 3}
+
+
 def test_packing(docs, empty):
     got = packing.pack(docs).collect()
     counts = sorted(len((t or "").split()) + 1 for _, t, *_ in corpus())

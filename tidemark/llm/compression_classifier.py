@@ -137,16 +137,19 @@ def score_column(model: CompressionModel) -> Callable[[Column], Column]:
     return score
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, training: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``_score`` (0 to 1, higher: better) of every whole text.
 
+    The model is fitted on the labelled rows of ``training``, which is ``docs`` unless given. Where
+    ``docs`` is what an earlier filter left, it has few bad texts to learn from: give the whole table.
+
     * Null or empty text: nothing to compress, so the curve's value at a difference of 0 and EMPTY_LOG_RATIO.
     * Equal texts have equal scores; a score of 0.5 counts as good.
     * Labels, ids, languages and sources never enter a score. Empty tables give an empty result.
     * Only doc_id and text are read; other columns are passed on, whatever their names.
     """
     small_batches(docs.sparkSession)
-    model = fit_compression_model(docs, labels)
+    model = fit_compression_model(docs if training is None else training, labels)
     return docs.withColumn("_score", score_column(model)(F.col("text").cast("string")))
 
 
