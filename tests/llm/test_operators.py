@@ -246,6 +246,18 @@ def test_near_duplicates(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_of_each_class(spark):
+    """Shared and null ids with different texts: one row of each class, whatever the ids."""
+    rng = random.Random(6)
+    a, *own = (sentence(rng, 40) for _ in range(9))
+    rows = [(5, a), (3, a), (5, own[0]), (5, own[1]), (7, own[2]), (7, own[2]), (None, own[3]), (None, own[4]), (None, own[4]), (None, None), (8, ""), (9, own[0]), (10, own[5])]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        want = [(3, a), (5, own[0]), (5, own[1]), (7, own[2]), (None, own[3]), (None, own[4]), (None, None), (10, own[5])]
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_many_near_copies(spark):
     """One text and 300 copies, each with edits of its own, so that similarities lie about the threshold."""
     rng = random.Random(11)

@@ -18,6 +18,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tidemark.llm.common import materialize, small_batches, table
 from tidemark.llm.components import connected_components
@@ -145,6 +146,12 @@ def signatures(docs: DataFrame) -> DataFrame:
     return _plain(docs).mapInPandas(sign, "doc_id long, node binary, n long, bands array<long>")
 
 
+@F.pandas_udf(BinaryType())
+def _node_of(texts: pd.Series) -> pd.Series:
+    known = _WordHashes()
+    return pd.Series([_node(bag_elements(*shingle_bag(t, known))) for t in texts], dtype=object)
+
+
 def bags_of(docs: DataFrame) -> DataFrame:
     """``node, bag`` of the rows whose ``want`` is the name of their text's multiset."""
 
@@ -184,17 +191,8 @@ def _can_reach(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size``.
-
-    class_id is the smallest doc_id of the class, class_size its rows.
-
-    * Texts without a word (null, empty, white space alone) have equal, empty bags: one class.
-    * Texts of fewer than five words are one shingle, so linked only to texts of the same words.
-    * Rows that share a doc_id are classed by their own texts. A null doc_id counts as the
-      smallest id and is returned as null. Similarity equal to the threshold is a link.
-    * Only doc_id and text are read; an empty table gives an empty result.
-    """
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The rows' signatures, and of every node ``label`` (its class), ``rep`` (its smallest doc_id), ``copies``."""
     small_batches(docs.sparkSession)
     signed = materialize(signatures(docs), "signed")
     nodes = signed.groupBy("node").agg(
@@ -211,6 +209,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     labels = _linked(buckets, bags, threshold)
 
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return signed, named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, class_id, class_size``.
+
+    class_id is the smallest doc_id of the class, class_size its rows.
+
+    * Texts without a word (null, empty, white space alone) have equal, empty bags: one class.
+    * Texts of fewer than five words are one shingle, so linked only to texts of the same words.
+    * Rows that share a doc_id are classed by their own texts. A null doc_id counts as the
+      smallest id and is returned as null. Similarity equal to the threshold is a link.
+    * Only doc_id and text are read; an empty table gives an empty result.
+    """
+    signed, named = _classed(docs, threshold)
     classes = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
     by_node = named.select("node", "label").join(classes, "label").select("node", "class_id", "class_size")
     whole = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
@@ -218,11 +231,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: that of the smallest doc_id (of rows that share it, one)."""
-    kept = near_duplicates(docs, threshold).where("doc_id <=> class_id").select("doc_id").distinct()
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    some = keyed.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return some.dropDuplicates(["_id"]).select(*docs.columns)
+    """``docs`` with one row of each class: one of the smallest doc_id, of such rows one of the smallest node.
+
+    A class is told by its row's doc_id and node, so rows that share a doc_id, or have none, stay or go by
+    their own texts. Nodes are computed again only for rows whose doc_id does not tell which text is meant.
+    """
+    signed, named = _classed(docs, threshold)
+    first = named.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias("_id"), F.col("k.node").alias("_node"))
+    several = signed.groupBy("doc_id").agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("doc_id") == _NO_ID))
+    several = materialize(several.select(F.col("doc_id").alias("_id")), "several")
+    kept = materialize(first, "kept")
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    alone = keyed.join(kept.join(several, "_id", "left_anti"), "_id", "left_semi")
+    if several.isEmpty():
+        return alone.select(*docs.columns)
+    # Rows without an id are not joined by it: there may be very many.
+    mixed = keyed.where(F.col("_id") == _NO_ID).unionByName(keyed.where(F.col("_id") != _NO_ID).join(several, "_id", "left_semi"))
+    mixed = mixed.withColumn("_node", _node_of(F.col("text").cast("string"))).dropDuplicates(["_id", "_node"])
+    chosen = mixed.join(kept.join(several, "_id", "left_semi"), ["_id", "_node"], "left_semi")
+    return alone.select(*docs.columns).union(chosen.select(*docs.columns))
 
 
 def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
