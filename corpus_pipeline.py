@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import compression_classifier, line_dedup, near_dedup, packing, quality_rules
+from tidemark.llm import compression_classifier, line_dedup, near_dedup, packing, quality_rules, sentence_pieces
 from tidemark.llm.common import materialize, table
 
 
@@ -41,7 +41,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document goes in training sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, tokens=sentence_pieces.count_column(spark))
 
 
 STAGES = [

@@ -174,6 +174,22 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_counts_ids_and_deals_equal_rows(spark, tmp_path):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    texts = [None, "", "日本語 漢字", "漢字かな交じり文" * 1500, sentence(random.Random(2), 4000)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    total = Counter()
+    for r in packing.op5_best_fit_packing(spark, str(tmp_path)).collect():
+        total[r["doc_id"]] += r["n_tokens"]
+        assert 0 < r["n_tokens"] <= 4096 and r["bin_tokens"] <= r["capacity"]
+    assert total == {i: len(library.encode(t or "")) + 1 for i, t in enumerate(texts)} and total[3] > 4096
+    rows = spark.createDataFrame([(None, None)] * 600 + [(1, "x")], "doc_id long, text string").repartition(3)
+    got = Counter(r["shard"] for r in packing.pack(rows, shard_pieces=50).collect())
+    assert sum(got.values()) == 601 and max(got.values()) <= 100
+
+
 def test_best_fit_against_brute_force():
     rng = random.Random(5)
     for _ in range(200):

@@ -13,10 +13,11 @@ from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
+from tidemark.llm.common import WORD, small_batches, table
+from tidemark.llm.sentence_pieces import count_column
 
 #: Permitted sequence lengths, and what a sequence costs beside its tokens.
 LENGTHS = (512, 1024, 2048, 4096)
@@ -62,24 +63,34 @@ def best_fit(
 
 def pack(
     docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, shard_pieces: int = SHARD_PIECES,
-    cost: Callable[[int], float] = default_cost,
+    cost: Callable[[int], float] = default_cost, tokens: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """PACKED_SCHEMA: one row per piece of a document, none dropped or cut short.
 
-    * A document has one token per word and one that ends it, so a null or empty text has one.
+    * A document has as many tokens as ``tokens`` makes of its text (words unless given) and one
+      that ends it, so a null or empty text has one.
     * A document longer than the largest length is cut into pieces of that length and a rest.
     * A sequence is (shard, bin); pieces lie in it from bin_start on without gaps or overlap.
     * Ties in length go by doc_id, then piece; rows that share a doc_id are packed one by one. A
       null doc_id is packed and stays null. An empty table gives an empty result.
+    * More rows of one doc_id and text than a shard should hold are dealt over all shards.
     * Only doc_id and text are read.
     """
     largest = max(lengths)
+    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    words = lambda c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(WORD))
+    hashed = F.xxhash64("doc_id", "text").alias("h")
     measured = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        (F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)) + 1).alias("n"),
-        F.xxhash64("doc_id", "text").alias("h"),
+        ((tokens or words)(text) + 1).alias("n"),
+        hashed,
+        F.monotonically_increasing_id().alias("row"),
     )
     n_shards = max(1, -(-docs.count() // shard_pieces))
+    # At most rows / shard_pieces hashes.
+    many = docs.select(hashed).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > shard_pieces).select("h", F.lit(True).alias("many"))
+    measured = measured.join(F.broadcast(many), "h", "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "row")).otherwise(F.col("h")))
     pieces = measured.select(
         "doc_id",
         F.pmod("h", F.lit(n_shards)).alias("shard"),
@@ -101,4 +112,4 @@ def pack(
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), tokens=count_column(spark))

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -355,6 +356,18 @@ def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
     )
 
 
+def count_column(spark: SparkSession, model_path: str = MODEL):
+    """A column function from a text to the number of its ids; none for a null or empty text."""
+    model = spark.sparkContext.broadcast(read_model(model_path))
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        encoder = _encoder(model.value)
+        return pd.Series([len(encoder.encode(t or "")) // 4 for t in texts], dtype="int64")
+
+    return counted
+
+
 def decoded_column(spark: SparkSession, model_path: str = MODEL):
     """A column function from ids to their text; null ids: null."""
     texts = spark.sparkContext.broadcast(read_model(model_path).texts)
