@@ -67,6 +67,15 @@ def test_quality_rules(spark, docs, empty, labels):
     assert quality_rules.quality_rules(empty, labels.limit(0)).count() == 0
 
 
+def test_target_counts_cover_every_good_document(spark):
+    """Where every document is good, both multinomials are the same however many there are."""
+    many = spark.range(30_000).selectExpr("id as doc_id", "concat('word', id % 9000, ' and') as text")
+    good = spark.range(30_000).selectExpr("id as doc_id", "1 as quality")
+    assert np.abs(quality_rules.fit_log_ratios(many, good)).max() < 1e-12
+    counts = quality_rules.count_ngrams(many, good.where("doc_id = 1").select("doc_id"))
+    assert tuple(counts.groupBy().sum("raw", "target").first()) == (90_000, 3)
+
+
 def test_token_counts(docs, empty):
     from tokenizers import models
 

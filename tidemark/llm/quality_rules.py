@@ -1,7 +1,7 @@
 """Quality rules: base rules, then a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed word n-grams are counted: the raw one over every document, the
-target one over trusted documents (a bounded, documented sample of the rows labelled good). A
+target one over trusted documents (all those labelled good). A
 document's score is the sum of ``log p_target - log p_raw`` over its n-grams, divided by their
 number; it is kept if the score reaches a fixed threshold. The two count vectors have
 ``N_BUCKETS`` entries whatever the input, so that they may pass through the driver.
@@ -17,11 +17,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_ids, small_batches, table
+from tidemark.llm.common import small_batches, table
 
 N_BUCKETS = 1 << 14
-#: A bound on the trusted documents that the target multinomial is counted over.
-MAX_TARGET_DOCS = 20_000
 #: Mean log-likelihood ratio per n-gram that a document must reach to stay.
 MIN_RATIO = -0.06
 #: Added to every bucket's count in both multinomials.
@@ -96,16 +94,14 @@ def _rules(text: str | None, weights: np.ndarray | None, min_ratio: float, known
     )
 
 
-def count_ngrams(docs: DataFrame, target_ids: list[int], n_buckets: int = N_BUCKETS) -> DataFrame:
-    """``bucket, raw, target``: n-gram counts over all documents and over those whose id is trusted."""
-    trusted = np.array(target_ids, dtype=np.int64)
+def count_ngrams(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """``bucket, raw, target``: n-gram counts over all documents and over those whose id is in ``trusted`` (doc_id, distinct)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(n_buckets, dtype=np.int64), np.zeros(n_buckets, dtype=np.int64)
         known = _WordHashes()
         for batch in batches:
-            in_target = batch["doc_id"].isin(trusted).to_numpy()
-            for text, good in zip(batch["text"], in_target, strict=True):
+            for text, good in zip(batch["text"], batch["good"].notna(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
                 if words:
                     found = np.bincount(ngram_buckets(_word_hashes(words, known), n_buckets), minlength=n_buckets)
@@ -117,21 +113,22 @@ def count_ngrams(docs: DataFrame, target_ids: list[int], n_buckets: int = N_BUCK
 
     return (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        # Texts are the streamed side and are not sorted.
+        .join(trusted.withColumn("good", F.lit(True)).hint("shuffle_hash"), "doc_id", "left")
+        .select("text", "good")
         .mapInPandas(count, "bucket long, raw long, target long")
         .groupBy("bucket")
         .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     )
 
 
-def fit_log_ratios(
-    docs: DataFrame, labels: DataFrame, max_target_docs: int = MAX_TARGET_DOCS, n_buckets: int = N_BUCKETS
-) -> np.ndarray | None:
+def fit_log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS) -> np.ndarray | None:
     """``log p_target - log p_raw`` by bucket; None if there is no trusted document."""
     small_batches(docs.sparkSession)
-    ids = bounded_ids(labels.where("quality = 1"), "doc_id", max_target_docs)
-    if not ids:
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    if good.isEmpty():
         return None
-    counts = count_ngrams(docs, ids, n_buckets).collect()  # n_buckets rows at most
+    counts = count_ngrams(docs, good, n_buckets).collect()  # n_buckets rows at most
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
     for row in counts:
         raw[row["bucket"]], target[row["bucket"]] = row["raw"], row["target"]
