@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,30 +14,77 @@ SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows in one Arrow batch: texts are long, so batches are small.
-ARROW_ROWS = 256
+#: Texts that a worker takes up at once: so many, and so many code points unless a single one is longer.
+SLICE_ROWS, SLICE_CHARS = 256, 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: a batch holds ARROW_ROWS texts at most."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+def slices(texts: Sequence[str | None]) -> Iterator[slice]:
+    """Neighbouring texts to be worked on together. Spark bounds a batch's bytes, but what is made of them may be larger."""
+    start = chars = 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > start and (k - start >= SLICE_ROWS or chars + n > SLICE_CHARS):
+            yield slice(start, k)
+            start, chars = k, 0
+        chars += n
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+class Remembered(dict):
+    """Values of a function of strings. Past ``bound`` bytes of keys (their overhead included) all are forgotten."""
+
+    def __init__(self, compute: Callable, bound: int = 40_000_000) -> None:
+        super().__init__()
+        self.compute, self.bound, self.held = compute, bound, 0
+
+    def __missing__(self, key: Hashable):
+        value = self.compute(key)
+        size = len(key) + 64
+        if self.held + size > self.bound:
+            self.clear()
+            self.held = 0
+        if size <= self.bound:
+            self[key] = value
+            self.held += size
+        return value
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (local tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary one on a local master, whose executors are the driver; an error elsewhere.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor may be lost."""
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and any executor may be lost.
+
+    A join of two such tables reads both straight from its shuffles, so that adaptive execution can
+    split a hot key's partition; it can't where one side is still aggregated in the same stage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -61,6 +108,3 @@ def bounded_ids(ids: DataFrame, column: str, bound: int) -> list[int]:
         ids = ids.where(rank < int((1 << 30) * 0.9 * bound / n))
     rows = ids.select("id", rank.alias("r")).orderBy("r", "id").limit(bound).collect()
     return sorted(row["id"] for row in rows)
-
-
-ASCII_SPACE = re.compile(r"[\x20\x09-\x0D]")

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
-MAX_ROUNDS = 60
-
 
 def _directed(edges: DataFrame) -> DataFrame:
     """Each edge once, from its larger end ``u`` to its smaller end ``v``."""
@@ -19,12 +17,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, label``: each end of ``links`` (columns a, b) with the smallest node of its component.
 
     Each step is joins and minima over the edges; minima are taken map-side first, so a node with
-    very many links costs no single task more than its share. No edges: an empty result.
+    very many links costs no single task more than its share. Rounds go on until the edges stay as
+    they are (their number, and the sum and the exclusive or of their 64-bit hashes), about the logarithm of the
+    longest chain. No edges: an empty result.
     """
     edges = materialize(_directed(links), "edges")
-    before = None
-    for _ in range(MAX_ROUNDS):
-        after = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
+    before, hashed = None, F.xxhash64("u", "v")
+    while True:
+        after = edges.agg(F.count("*").alias("n"), F.sum(hashed.cast("decimal(20)")).alias("s"), F.bit_xor(hashed).alias("x")).first()
         if after == before or not after["n"]:
             break
         before = after

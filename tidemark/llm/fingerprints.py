@@ -1,15 +1,17 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraphs, in DataFrame operations only.
 
-A text's paragraphs (lines; long lines sentence by sentence) are hashed to digests that carry
-a check of themselves. A digest is added to one cell in each of TABLES tables. Two versions'
-sketches subtract cell by cell, what they share cancels, and peeling recovers the digests that
-differ: a cell whose value or its negative passes its own check holds one digest, which is then
-taken out of its other cells, and so on. Where that gets stuck, it is retried with a larger
-sketch: more blocks of cells, each for the digests of some bits, then four times as many for the
-blocks that are stuck, and so on; after RETRIES the sets themselves are compared.
-
-Cells are plain sums of 52-bit digests (36 bits of hash, 16 of check), so that a sketch is an array
-of longs and the expressions over it allocate nothing else.
+A text's paragraphs (lines; long ones cut at places that their own words choose) are hashed to digests
+that carry a check of themselves. A fingerprint has blocks, so many that each gets about PER_BLOCK
+digests, and every block is a sketch: TABLES tables of cells, and each digest of the block is added
+to one cell in each table. Two fingerprints subtract cell by cell: what they share cancels, and
+peeling recovers the digests that differ. A cell whose value or its negative is a digest (its check
+holds, and it belongs in that cell) holds that one alone, which is then taken out of its other cells, and so on.
+
+Sizes are powers of 2, so a larger fingerprint folds into a smaller one by adding cells. Two
+fingerprints are first compared folded to the smaller of both sizes. Where that gets stuck in a
+block, it is retried larger, with each fingerprint's own cells: a block is built with so many
+cells that peeling recovers all its digests, so in the end every digest can be had. Nothing but
+the two fingerprints is read.
 """
 
 from __future__ import annotations
@@ -21,18 +23,25 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import table, text_or_empty
 
-#: Tables, and cells of each (a power of 2) in the base sketch and in a block of a larger one.
-TABLES, BASE_CELLS, BLOCK_CELLS = 3, 8, 4
-#: Digests of both versions that a block of the first larger sketch should get.
-PER_BLOCK = 5
-RETRIES = 3
-ROUNDS = 8
-HASH_BITS, CHECK_BITS = 36, 16
-#: Versions of more digests than this skip the base sketch, whose cells could not hold the sum.
-BASE_MOST = 1024
-#: Lines of more code points are cut after sentences.
-LONG_LINE = 300
-SENTENCE = r"(?<=[.!?]) +"
+#: Tables of a block, and the fewest cells in each.
+TABLES, CELLS = 3, 4
+#: Digests of a block on average, and how often its cells may be doubled until it peels.
+PER_BLOCK, DOUBLINGS = 4, 10
+#: Rounds of peeling: of a difference at first, and of a block on its own.
+FIRST_ROUNDS, ROUNDS = 4, 16
+#: A difference with a larger share of its cells in use is taken for stuck: it would not peel.
+MOST_FULL = 0.75
+#: No more blocks than this are folded into one: so many digests would not peel from it, nor fit its cells.
+MOST_FOLDED = 64
+#: A digest: a check of 16 bits, and above it 36 bits of hash, of which each table looks at 12.
+CHECK_BITS, TABLE_BITS = 16, 12
+HASH_BITS = TABLES * TABLE_BITS
+#: Lines of more code points are cut where their own characters say: after sentences, between some
+#: words, and within what has no spaces.
+LONG_LINE = 160
+CUT = r"(?<=[.!?] )(?=[A-D])|(?<=[\u3002\uff01\uff1f])|(?<=[ns] )(?=[cd])|(?<=[0-3])(?=[A-H])"
+
+_CHECK = (1 << CHECK_BITS) - 1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -40,203 +49,265 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _check(hashed: Column) -> Column:
-    return F.xxhash64(hashed).bitwiseAND(F.lit((1 << CHECK_BITS) - 1))
+def _long(x: int) -> Column:
+    return F.lit(x).cast("long")
 
 
-def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs, blank ones left out."""
-    lines = F.transform(
-        F.split(text, "\n"), lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, SENTENCE)).otherwise(F.array(x))
-    )
-    hashed = F.array_distinct(
-        F.transform(
-            F.filter(F.flatten(lines), lambda x: F.btrim(x) != ""),
-            lambda x: F.greatest(F.lit(1).cast("long"), F.xxhash64(x).bitwiseAND(F.lit((1 << HASH_BITS) - 1))),
-        )
-    )
-    return F.transform(hashed, lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))
+def _empty() -> Column:
+    return F.array().cast("array<bigint>")
 
 
-def _is_digest(value: Column) -> Column:
-    return F.abs(value).bitwiseAND(F.lit((1 << CHECK_BITS) - 1)) == _check(F.shiftright(F.abs(value), CHECK_BITS))
+def _count_to(n: Column) -> Column:
+    """0 to n - 1, n above 0."""
+    return F.sequence(F.lit(0), n - 1)
 
 
-def _places(cells: int) -> Column:
-    """For each cell of all tables the bits of a digest that it looks at, and what they are there."""
-    top = CHECK_BITS + HASH_BITS
-    wide = BASE_CELLS.bit_length() - 1
-    shift = [top - wide * (t + 1) for t in range(TABLES)]
-    return F.array(*[
-        F.struct(F.lit((cells - 1) << k).cast("long").alias("mask"), F.lit(i << k).cast("long").alias("bits")) for k in shift for i in range(cells)
-    ])
+def _check(hashed: Column) -> Column:
+    return F.xxhash64(hashed).bitwiseAND(_long(_CHECK))
 
 
-def _goes(digest: Column, place: Column) -> Column:
-    return digest.bitwiseAND(place["mask"]) == place["bits"]
+def digests(text: Column) -> Column:
+    """The distinct digests of a text's paragraphs, blank ones left out."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, CUT)).otherwise(F.array(x)))
+    found = F.filter(F.flatten(lines), lambda x: F.btrim(x) != "")
+    hashed = F.transform(found, lambda x: F.greatest(_long(1), F.xxhash64(x).bitwiseAND(_long((1 << HASH_BITS) - 1))))
+    return F.transform(F.array_distinct(hashed), lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))
 
 
-def _block(digest: Column, n_blocks: Column) -> Column:
-    return F.shiftright(digest, CHECK_BITS) % n_blocks
+# One block: an array of cells, table by table.
 
 
-def _cell(start: Column, found: Column, place: Column, sign: int) -> Column:
-    """A cell's value after the digests of ``found`` that go to it are added or taken away."""
-    return F.aggregate(found, start, lambda s, x: F.when(_goes(x, place), s + x if sign > 0 else s - x).otherwise(s))
+def _cell_of(digest: Column, at: int, cells: Column) -> Column:
+    """The place of a digest's cell in table ``at`` if each table has so many cells: the first bits of the table's own."""
+    own = F.shiftright(digest, CHECK_BITS + at * TABLE_BITS).bitwiseAND(_long((1 << TABLE_BITS) - 1))
+    return F.shiftright(own * cells, TABLE_BITS).cast("int")
 
 
-def _zero() -> Column:
-    return F.lit(0).cast("long")
+def _placed(found: Column, cells: Column) -> Column:
+    """Digests (negative ones too) with the place of their cell in each table."""
+    return F.transform(found, lambda x: F.struct(x.alias("x"), *[_cell_of(F.abs(x), t, cells).alias(f"p{t}") for t in range(TABLES)]))
 
 
-def sketch(found: Column, cells: int = BASE_CELLS) -> Column:
-    """A sketch of one block: cells of all tables."""
-    return F.transform(_places(cells), lambda p: _cell(_zero(), found, p, 1))
+def _tables(cells: Column, body: Callable[[int, Column], Column]) -> Column:
+    """All cells, table by table, from table and place."""
+    one = lambda t: F.transform(_count_to(cells), lambda i: body(t, i))
+    return F.concat(*map(one, range(TABLES)))
 
 
-def base_sketch(found: Column) -> Column:
-    """A sketch of one block, null for more than BASE_MOST digests."""
-    return F.when(F.size(found) <= BASE_MOST, sketch(found))
+def _moved(value: Column, placed: Column, table_: int, place: Column, sign: int) -> Column:
+    """A cell's value with the placed digests that belong in it added or taken away."""
+    return F.aggregate(placed, value, lambda s, d: F.when(d[f"p{table_}"] == place, s + d["x"] if sign > 0 else s - d["x"]).otherwise(s))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
-def peel(cells: Column, size: int) -> Column:
-    """``ok`` and the digests ``found``: as they are if the first version has them, negative if the second."""
-    state = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("found"), F.lit(False).alias("stuck"))
+def _pure(cells: Column) -> Column:
+    """The digests that are alone in a cell: as they are, or negative if they were taken away."""
+    size = (F.size(cells) / TABLES).cast("int")
+    is_digest = lambda v: (F.abs(v) < _long(1 << (HASH_BITS + CHECK_BITS))) & (
+        F.abs(v).bitwiseAND(_long(_CHECK)) == _check(F.shiftright(F.abs(v), CHECK_BITS))
+    )
+
+    def alone(n: Column) -> Column:
+        own = lambda t: F.transform(
+            F.slice(cells, n * t + 1, n), lambda v, i: F.when((v != 0) & is_digest(v) & (_cell_of(F.abs(v), t, n) == i), v)
+        )
+        return F.array_distinct(F.array_compact(F.concat(*[own(t) for t in range(TABLES)])))
+
+    return let(size, alone)
+
+
+def peel(cells: Column, rounds: int = ROUNDS) -> Column:
+    """``ok`` and the digests ``found`` of a difference: as they are if the first version has them, negative if the second."""
+    state = F.struct(cells.alias("cells"), _empty().alias("found"), F.lit(False).alias("over"))
 
     def without(now: Column, pure: Column) -> Column:
-        left = F.zip_with(
-            now["cells"], _places(size),
-            lambda c, p: F.aggregate(pure, c, lambda s, x: F.when(_goes(F.abs(x), p), s - x).otherwise(s)),
-        )
-        stuck = F.struct(now["cells"].alias("cells"), now["found"].alias("found"), F.lit(True).alias("stuck"))
-        peeled = F.struct(left.alias("cells"), F.concat(now["found"], pure).alias("found"), F.lit(False).alias("stuck"))
-        return F.when(F.size(pure) == 0, stuck).otherwise(peeled)
-
-    def take(now: Column) -> Column:
-        pure = F.array_distinct(F.filter(now["cells"], lambda c: (c != 0) & _is_digest(c)))
-        return let(pure, lambda x: without(now, x))
+        size = (F.size(now["cells"]) / TABLES).cast("int")
+        cell = lambda d, n, t, i: let(F.get(now["cells"], n * t + i), lambda v: F.when(v == 0, v).otherwise(_moved(v, d, t, i, -1)))
+        left = let(size, lambda n: let(_placed(pure, n), lambda d: _tables(n, lambda t, i: cell(d, n, t, i))))
+        over = F.struct(now["cells"].alias("cells"), now["found"].alias("found"), F.lit(True).alias("over"))
+        peeled = F.struct(left.alias("cells"), F.concat(now["found"], pure).alias("found"), F.lit(False).alias("over"))
+        return F.when(F.size(pure) == 0, over).otherwise(peeled)
 
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), state,
-        lambda now, _: F.when(now["stuck"], now).otherwise(take(now)),
+        F.sequence(F.lit(1), F.lit(rounds)), state,
+        lambda now, _: F.when(now["over"], now).otherwise(let(_pure(now["cells"]), lambda x: without(now, x))),
         lambda now: F.struct((~F.exists(now["cells"], lambda c: c != 0)).alias("ok"), now["found"].alias("found")),
     )
 
 
-def _blocks(a: Column, b: Column, ids: Column, n_blocks: Column) -> Column:
-    """The difference of ``a`` and ``b`` in each block of ``ids``: ``id, ok, found``."""
+def sketch(placed: Column, cells: Column) -> Column:
+    """A block of placed digests with so many cells in each table."""
+    return _tables(cells, lambda t, i: _moved(_long(0), placed, t, i, 1))
 
-    def one(at: Column) -> Column:
-        own = lambda x: _block(x, n_blocks) == at
-        part = F.struct(F.filter(a, own).alias("a"), F.filter(b, own).alias("b"))
-        cells = lambda v: F.transform(_places(BLOCK_CELLS), lambda p: _cell(_cell(_zero(), v["a"], p, 1), v["b"], p, -1))
-        done = lambda r: F.struct(at.alias("id"), r["ok"].alias("ok"), r["found"].alias("found"))
-        return let(let(part, cells), lambda c: let(peel(c, BLOCK_CELLS), done))
 
-    return F.transform(ids, one)
+def block(found: Column) -> Column:
+    """A block of digests with the fewest cells (CELLS in each table, doubled and doubled again) that peeling recovers them all from."""
 
+    def peels(cells: Column, placed: Column, n: Column) -> Column:
+        # Where each digest is alone in one of its cells, one round does it.
+        alone = lambda d: (F.get(cells, d["p0"]) == d["x"]) | (F.get(cells, n + d["p1"]) == d["x"]) | (F.get(cells, n * 2 + d["p2"]) == d["x"])
+        return F.forall(placed, alone) | peel(cells)["ok"]
 
-def with_difference(df: DataFrame, a: str, b: str, out: str, base_a: str, base_b: str) -> DataFrame:
-    """``df`` with ``out``: the number of digests that either of the columns a and b has alone.
+    def made(n: Column) -> Column:
+        done = lambda c, d: F.struct(c.alias("cells"), (peels(c, d, n) | (n >= CELLS << DOUBLINGS)).alias("ok"))
+        return let(_placed(found, n), lambda d: let(sketch(d, n), lambda c: done(c, d)))
 
-    base_a and base_b: their base sketches, which are tried first.
-    """
-    first, tries = f"_{out}_0", [f"_{out}_{k}" for k in range(1, RETRIES + 1)]
-    n_blocks = F.ceil((F.size(a) + F.size(b) + 1) / PER_BLOCK)
-    sizes = {f"_{out}_m{k}": n_blocks * 4**k for k in range(RETRIES)}
-    df = df.withColumns(sizes).withColumn(
-        first,
-        F.when(
-            F.col(base_a).isNotNull() & F.col(base_b).isNotNull(), peel(subtract(F.col(base_a), F.col(base_b)), BASE_CELLS)
-        ).otherwise(F.struct(F.lit(False).alias("ok"), F.array().cast("array<bigint>").alias("found"))),
+    start = F.struct(_empty().alias("cells"), F.lit(False).alias("ok"))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(DOUBLINGS)), start,
+        lambda now, k: F.when(now["ok"], now).otherwise(made(F.call_function("shiftleft", F.lit(CELLS), k))),
+        lambda now: now["cells"],
+    )
+
+
+# Fingerprints: an array of blocks, a power of 2 of them; a digest's block is told by its last bits.
+
+
+def _grouped(found: Column, n_blocks: Column) -> Column:
+    """Digests by block, empty blocks too, in n log n steps: sorted by block behind a mark of each, then cut at the marks."""
+    of = lambda x: F.struct(x.bitwiseAND(n_blocks - 1).cast("int").alias("b"), x.alias("x"))
+    marks = F.transform(_count_to(n_blocks), lambda b: F.struct(b.cast("int").alias("b"), _long(0).alias("x")))
+    ordered = F.sort_array(F.concat(F.transform(found, of), marks))
+    written = F.transform(ordered, lambda s: F.when(s["x"] == 0, F.lit("|")).otherwise(F.concat(F.lit(","), s["x"].cast("string"))))
+    parts = F.split(F.substring(F.array_join(written, ""), F.lit(2), F.lit(2**31 - 1)), r"\|")
+    return F.transform(parts, lambda p: F.transform(F.filter(F.split(p, ","), lambda x: x != ""), lambda x: x.cast("long")))
+
+
+def fingerprint(found: Column) -> Column:
+    """``n`` digests, and ``blocks`` of their number and cells. It depends on the set of digests alone."""
+    blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2((F.size(found) + 1) / PER_BLOCK)))).cast("int")
+    one = lambda x: F.struct(F.size(x).alias("n"), block(x).alias("cells"))
+    return F.struct(F.size(found).alias("n"), let(blocks, lambda n: F.transform(_grouped(found, n), one)).alias("blocks"))
+
+
+def _members(blocks: Column, at: Column, n_blocks: Column) -> Column:
+    """The blocks that fold into block ``at`` of ``n_blocks``."""
+    return F.transform(F.sequence(at, F.size(blocks) - 1, n_blocks), lambda j: F.get(blocks, j))
+
+
+def _folded(members: Column, cells: Column) -> Column:
+    """The sum of blocks, each folded to ``cells`` cells: neighbouring cells of a table are added."""
+
+    def one(cell: Column, i: Column) -> Column:
+        step = (F.size(cell) / cells).cast("int")
+        return F.aggregate(_count_to(step), _long(0), lambda s, k: s + F.get(cell, i * step + k))
+
+    summed = F.transform(_count_to(cells), lambda i: F.aggregate(members, _long(0), lambda s, m: s + one(m["cells"], i)))
+    alone = (F.size(members) == 1) & (F.size(F.get(members, F.lit(0))["cells"]) == cells)
+    return F.when(alone, F.get(members, F.lit(0))["cells"]).otherwise(summed)
+
+
+def _listed(members: Column) -> Column:
+    """All digests of blocks, by peeling each on its own; often the first look finds as many as there are."""
+    own = lambda m: let(_pure(m["cells"]), lambda p: F.when(F.size(p) == m["n"], p).otherwise(peel(m["cells"])["found"]))
+    return F.flatten(F.transform(members, own))
+
+
+def _difference_of_block(a: Column, b: Column) -> Column:
+    """How many digests two lists of blocks, of which one has a single block, do not share."""
+    cells = F.array_min(F.transform(F.concat(a, b), lambda m: F.size(m["cells"])))
+    apart = let(
+        F.struct(_listed(a).alias("a"), _listed(b).alias("b")),
+        lambda s: F.size(F.array_except(s["a"], s["b"])) + F.size(F.array_except(s["b"], s["a"])),
+    )
+    full = lambda c: F.size(F.filter(c, lambda x: x != 0)) > F.size(c) * MOST_FULL
+    tried = lambda c: F.when(full(c), apart).otherwise(let(peel(c, FIRST_ROUNDS), lambda r: F.when(r["ok"], F.size(r["found"])).otherwise(apart)))
+    folded = let(cells, lambda n: let(subtract(_folded(a, n), _folded(b, n)), tried))
+    few = F.size(a) + F.size(b) <= MOST_FOLDED + 1
+    return F.when(a == b, 0).when(few, folded).otherwise(apart)
+
+
+def difference(a: Column, b: Column) -> Column:
+    """How many digests two fingerprints do not share."""
+    blocks = F.least(F.size(a["blocks"]), F.size(b["blocks"]))
+    one = lambda i, n: let(
+        F.struct(_members(a["blocks"], i, n).alias("a"), _members(b["blocks"], i, n).alias("b")), lambda s: _difference_of_block(s["a"], s["b"])
     )
-    nothing = F.array().cast("array<struct<id:bigint,ok:boolean,found:array<bigint>>>")
-    for k, name in enumerate(tries):
-        n = F.col(f"_{out}_m{k}")
-        if k == 0:
-            ids = F.sequence(F.lit(0).cast("long"), n - 1)
-            df = df.withColumn(name, F.when(F.col(first)["ok"], nothing).otherwise(_blocks(F.col(a), F.col(b), ids, n)))
-        else:
-            failed = F.filter(F.col(tries[k - 1]), lambda r: ~r["ok"])
-            ids = F.flatten(F.transform(failed, lambda r: F.transform(F.array(*[F.lit(j) for j in range(4)]), lambda j: r["id"] + j * F.col(f"_{out}_m{k - 1}"))))
-            df = df.withColumn(name, _blocks(F.col(a), F.col(b), ids, n))
-    size = lambda rows: F.aggregate(rows, F.lit(0), lambda s, r: s + F.when(r["ok"], F.size(r["found"])).otherwise(0))
-    total = F.size(F.col(first)["found"])
-    counted = sum((size(F.col(t)) for t in tries), F.lit(0))
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    stuck = F.exists(F.col(tries[-1]), lambda r: ~r["ok"])
-    return df.withColumn(out, F.when(F.col(first)["ok"], total).when(stuck, exact).otherwise(counted)).drop(first, *sizes, *tries)
-
-
-def likeness(a: str, b: str, differing: str) -> Column:
-    """Share of common digests among all digests of two texts, from the number that differ; 1 for two empty ones."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, 1.0).otherwise((both - F.col(differing)) / (both + F.col(differing)))
-
-
-def written(cells: Column, found: Column) -> Column:
-    """A base sketch as a string, its cells in hexadecimal; of more than BASE_MOST digests, cells modulo 2^52."""
-    rest = F.lit((1 << HASH_BITS + CHECK_BITS) - 1)
-    folded = F.transform(
-        _places(BASE_CELLS),
-        lambda p: F.aggregate(found, _zero(), lambda s, x: F.when(_goes(x, p), (s + x).bitwiseAND(rest)).otherwise(s)),
+    return let(blocks, lambda n: F.aggregate(_count_to(n), F.lit(0), lambda s, i: s + one(i, n)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """Share of common digests among all digests of two fingerprints, from the number that differ; 1 for two empty ones."""
+    both = a["n"] + b["n"]
+    return F.when(both == 0, 1.0).otherwise(let(difference(a, b), lambda d: (both - d) / (both + d)))
+
+
+def written(mark: Column) -> Column:
+    """A fingerprint as a string: the number of digests, then each block's own number and its cells in hexadecimal."""
+    cells = lambda b: F.array_join(F.transform(b["cells"], lambda c: F.when(c == 0, "").otherwise(F.lower(F.hex(c)))), ".")
+    blocks = F.transform(mark["blocks"], lambda b: F.concat(b["n"].cast("string"), F.lit("/"), cells(b)))
+    return F.concat(mark["n"].cast("string"), F.lit(":"), F.array_join(blocks, ";"))
+
+
+def read(text: Column) -> Column:
+    """A fingerprint from what ``written`` makes of it."""
+    cell = lambda c: F.when(c == "", _long(0)).otherwise(F.conv(c, 16, 10).cast("long"))
+    one = lambda b: F.struct(
+        F.substring_index(b, "/", 1).cast("int").alias("n"), F.transform(F.split(F.substring_index(b, "/", -1), r"\."), cell).alias("cells")
     )
-    return F.array_join(F.transform(F.coalesce(cells, folded), lambda c: F.lower(F.hex(c))), ".")
+    blocks = F.transform(F.split(F.substring_index(text, ":", -1), ";"), one)
+    return F.struct(F.substring_index(text, ":", 1).cast("int").alias("n"), blocks.alias("blocks"))
 
 
 _NO_ID = -(1 << 63)
 _FINE = 64
 
 
-def _bucket(doc_id: Column, cuts: list[int]) -> Column:
-    """How many cuts lie below an id, found among every _FINE-th cut, then among those between."""
-    below = lambda xs: F.size(F.filter(xs, lambda c: c < doc_id))
+def _below(doc_id: Column, cuts: list[int], how: Callable[[Column, Column], Column]) -> Column:
+    """How many cuts lie below an id (as ``how`` compares them), found among every _FINE-th cut, then among those between."""
+    count = lambda xs: F.size(F.filter(xs, lambda c: how(c, doc_id)))
     if not cuts:
         return F.lit(0)
     rows = [cuts[i : i + _FINE] for i in range(0, len(cuts), _FINE)]
     coarse = F.array(*[F.lit(r[-1]) for r in rows])
     fine = F.array(*[F.array(*map(F.lit, r)) for r in rows])
-    at = below(coarse)
-    return at * _FINE + F.coalesce(below(F.get(fine, at)), F.lit(0))
+    at = count(coarse)
+    return at * _FINE + F.coalesce(count(F.get(fine, at)), F.lit(0))
+
+
+def _bucket(doc_id: Column, hashed: Column, cuts: list[int]) -> Column:
+    """The range of a row. An id that many rows share is several cuts at once; its rows are spread by hash over the ranges between."""
+    low, high = _below(doc_id, cuts, lambda c, x: c < x), _below(doc_id, cuts, lambda c, x: c <= x)
+    part = hashed.cast("double") / F.lit(2.0**64) + 0.5
+    return low + F.least(high - low, F.floor(part * (high - low + 1)).cast("int"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, digests`` with ``next_text, next_digests`` of the next row in descending doc_id.
+    """``doc_id, text, mark`` with ``next_text, next_mark`` of the next row in descending doc_id; mark: the fingerprint.
 
     After the last row comes the first. Ids are cut into ranges at their quantiles; each range is
     ordered on its own, with a copy of the row that follows it at its end. Texts are shuffled once.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), text_or_empty().alias("text"))
-    ids = plain.select("_id")
+    plain = plain.withColumn("_h", F.xxhash64("text"))
     n_ranges = max(8, min(8192, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     points = [(i + 1) / n_ranges for i in range(n_ranges - 1)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("_id", points, 10 * n_ranges)).first()[0] or []))
-    bucketed = plain.withColumn("_bucket", _bucket(F.col("_id"), cuts))
+    cuts = sorted(plain.agg(F.percentile_approx("_id", points, 10 * n_ranges)).first()[0] or [])
+    bucketed = plain.withColumn("b", _bucket(F.col("_id"), F.col("_h"), cuts))
     # The first row of each range, n_ranges at most.
-    heads = ids.withColumn("_bucket", _bucket(F.col("_id"), cuts)).groupBy("_bucket").agg(F.max("_id").alias("m")).collect()
-    order = sorted(((r["_bucket"], r["m"]) for r in heads), reverse=True)
-    after = {order[k][1]: order[k - 1][0] for k in range(len(order))}  # the head's id: the range that it follows
-    heads_at = F.create_map(*[F.lit(x) for b, m in order for x in (b, after[m])]) if order else None
-    is_head = F.create_map(*[F.lit(x) for b, m in order for x in (b, m)]) if order else None
-    placed = bucketed.withColumn("digests", digests(F.col("text")))
+    heads = bucketed.groupBy("b").agg(F.max(F.struct("_id", "_h")).alias("m")).collect()
+    order = sorted(((r["b"], r["m"]["_id"], r["m"]["_h"]) for r in heads), reverse=True)
+    placed = bucketed.withColumn("mark", fingerprint(digests(F.col("text"))))
+    own = F.struct(F.col("b").alias("b"), F.lit(0).alias("ghost"))
     if order:
-        own = F.struct(F.col("_bucket").alias("b"), F.lit(0).alias("ghost"))
-        ghost = F.struct(heads_at[F.col("_bucket")].alias("b"), F.lit(1).alias("ghost"))
-        spots = F.when(F.col("_id") == is_head[F.col("_bucket")], F.array(own, ghost)).otherwise(F.array(own))
-        placed = placed.withColumn("_spot", F.explode(spots)).select("_id", "text", "digests", "_spot.*")
+        known = lambda k: F.create_map(*[F.lit(x) for row in order for x in (row[0], row[k])])[F.col("b")]
+        after = F.create_map(*[F.lit(x) for k, row in enumerate(order) for x in (row[0], order[k - 1][0])])[F.col("b")]
+        ghost = F.struct(after.alias("b"), F.lit(1).alias("ghost"))
+        is_head = (F.col("_id") == known(1)) & (F.col("_h") == known(2))
+        spots = F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))
     else:
-        placed = placed.select("_id", "text", "digests", F.lit(0).alias("b"), F.lit(0).alias("ghost"))
-    down = Window.partitionBy("b").orderBy("ghost", F.desc("_id"), F.xxhash64("text"))
+        spots = F.array(own)
+    placed = placed.withColumn("_spot", F.explode(spots)).select("_id", "_h", "text", "mark", "_spot.*")
+    down = Window.partitionBy("b").orderBy("ghost", F.desc("_id"), F.desc("_h"))
     return (
         placed.withColumn("next_text", F.lead("text").over(down))
-        .withColumn("next_digests", F.lead("digests").over(down))
+        .withColumn("next_mark", F.lead("mark").over(down))
         .where("ghost = 0")
-        .select(F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "text", "digests", "next_text", "next_digests")
+        .select(F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "text", "mark", "next_text", "next_mark")
     )
 
 
@@ -252,26 +323,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     * A null text is as an empty one: no paragraph, all cells zero. Two such texts are alike (1.0).
     * A fingerprint depends on the set of a text's paragraphs alone: equal texts have equal ones.
-    * Rows that share a doc_id follow each other by a hash of their text. A null doc_id comes last
-      and stays null. A single row is followed by itself. An empty table gives an empty result.
+    * A text of n paragraphs, whatever their number, takes about n log n steps; fingerprints grow with n.
+    * Rows that share a doc_id follow each other by a hash of their text, downwards. A null doc_id comes
+      last and stays null. A single row is followed by itself. An empty table gives an empty result.
+    * Rows equal in doc_id and text are ordered in one task.
     * Only doc_id and text are read.
     """
     paired = (
         with_next(docs)
         .withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
-        .withColumn("edited_digests", digests(F.col("edited")))
-        .withColumn("n_chars", F.char_length("text").cast("long"))
-        .withColumn("edited_sha256", F.sha2("edited", 256))
-        .select("doc_id", "n_chars", "edited_sha256", "digests", "edited_digests", "next_digests")
-        .withColumns({f"{x}sketch": base_sketch(F.col(f"{x}digests")) for x in ("", "edited_", "next_")})
+        .withColumn("edited_mark", fingerprint(digests(F.col("edited"))))
+        .select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "mark", "edited_mark", "next_mark")
     )
-    paired = with_difference(paired, "digests", "edited_digests", "d_edited", "sketch", "edited_sketch")
-    paired = with_difference(paired, "digests", "next_digests", "d_next", "sketch", "next_sketch")
     return paired.select(
         "doc_id", "n_chars", "edited_sha256",
-        written(F.col("sketch"), F.col("digests")).alias("fingerprint"), written(F.col("edited_sketch"), F.col("edited_digests")).alias("edited_fingerprint"),
-        likeness("digests", "edited_digests", "d_edited").alias("near_edited"),
-        likeness("digests", "next_digests", "d_next").alias("near_next"),
+        written(F.col("mark")).alias("fingerprint"), written(F.col("edited_mark")).alias("edited_fingerprint"),
+        likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
+        likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
     )
 
 

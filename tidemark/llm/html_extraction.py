@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import dom
-from tidemark.llm.common import bounded_ids, small_batches, table
+from tidemark.llm.common import bounded_ids, materialize, slices, table
 
 #: Bounds on training: pages sampled, code points of each, layouts made of each.
 MAX_PAGES, MAX_CHARS, LAYOUTS = 240, 20_000, 6
@@ -317,14 +317,13 @@ def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     * If no sampled page has landmarks to train on, landmarks and names alone decide.
     * One row per row, repeated ones too; nulls in page_id and url stay. Other columns are not read.
     """
-    small_batches(pages.sparkSession)
     trees = fit_trees(pages, max_pages)
 
     @F.pandas_udf("string")
     def text_of(html: pd.Series) -> pd.Series:
         out = []
-        for at in range(0, len(html), 64):
-            out += main_texts(html.iloc[at : at + 64].tolist(), trees)
+        for part in slices(html):
+            out += main_texts(html.iloc[part].tolist(), trees)
         return pd.Series(out, dtype=object)
 
     return pages.select("page_id", "url", text_of(F.col("html").cast("string")).alias("text")).withColumn(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, SPACES, UPPER, table, text_or_empty
+from tidemark.llm.common import LOWER, SPACES, UPPER, materialize, spare, table, text_or_empty
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -30,7 +30,7 @@ def _key_hash(key: Column) -> list[Column]:
 
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Positions of the lines to drop, one row per (id, text hash) that loses any: ``_id, _h, _drop``."""
-    keyed = (
+    keyed = materialize(
         docs.select(
             F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"),
             F.xxhash64(text_or_empty()).alias("_h"),
@@ -38,23 +38,22 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
         )
         .select("_id", "_h", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("_id", "_h", "pos", *_key_hash(F.col("key")))
+        .select("_id", "_h", "pos", *_key_hash(F.col("key"))),
+        "lines",
     )
     # Documents of a hot line are first counted apart (the exchange is by line and document),
     # then summed from partial counts.
     per_doc = keyed.groupBy("h1", "h2", "_id").agg(F.lit(1).alias("one"))
-    hot = (
+    hot = materialize(
         per_doc.groupBy("h1", "h2")
         .agg(F.count("one").alias("n_docs"), F.max("_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
-        .select("h1", "h2", "keeper")
-    )
-    return (
-        keyed.join(hot, ["h1", "h2"])
-        .where(F.col("_id") != F.col("keeper"))
-        .groupBy("_id", "_h")
-        .agg(F.collect_set("pos").alias("_drop"))
+        .select("h1", "h2", "keeper"),
+        "hot",
     )
+    # Both sides are tables, so the partition of a very common line is split between tasks.
+    gone = keyed.join(hot, ["h1", "h2"]).where(F.col("_id") != F.col("keeper"))
+    return gone.groupBy("_id", "_h").agg(F.collect_set("pos").alias("_drop"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -66,27 +65,27 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     * A document whose every line goes has the empty text. Rows that share a doc_id are one
       document when documents are counted; each of them loses its own lines. A null doc_id
       counts as the smallest id and stays null.
-    * Other columns are passed on; names beginning with ``_`` are the operator's.
+    * A text of any length is one row of its lines; only ids, hashes and positions of lines are compared.
+    * Other columns are passed on, but for any of the names of the two counts, which are replaced.
     """
-    columns = docs.columns
-    drops = dropped_positions(docs, min_chars, min_docs)
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_h": F.xxhash64(text_or_empty())}
-    )
-    joined = keyed.join(drops.hint("shuffle_hash"), ["_id", "_h"], "left")
-    lines = F.split(text_or_empty(), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop"))
+    kept = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped")]
+    docs = docs.select(*kept)
+    at, hashed, drop, lines, left = spare(docs, "_id", "_h", "_drop", "_lines", "_text")
+    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("_id").alias(at), F.col("_h").alias(hashed), F.col("_drop").alias(drop))
+    keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), hashed: F.xxhash64(text_or_empty())})
+    joined = keyed.join(drops.hint("shuffle_hash"), [at, hashed], "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))
     return (
-        joined.withColumn("_lines", lines)
+        joined.withColumn(lines, F.split(text_or_empty(), "\n"))
         .withColumn(
-            "_text",
-            F.when(F.col("_drop").isNull(), text_or_empty()).otherwise(
-                F.array_join(F.transform(stay, lambda p: F.get("_lines", p)), "\n")
-            ),
+            left,
+            F.when(F.col(drop).isNull(), text_or_empty()).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n")),
+        )
+        .select(
+            *[F.col(left).alias(c) if c.lower() == "text" else F.col(c) for c in kept],
+            F.size(lines).cast("long").alias("_n_lines"),
+            F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("_n_dropped"),
         )
-        .withColumn("_n_lines", F.size("_lines").cast("long"))
-        .withColumn("_n_dropped", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in columns], "_n_lines", "_n_dropped")
     )
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tidemark.llm.common import materialize, small_batches, table
+from tidemark.llm.common import Remembered, materialize, slices, spare, table
 from tidemark.llm.components import connected_components
 
 SHINGLE = 5
@@ -41,14 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def shingle_bag(text: str | None, known: dict) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and their counts. Fewer words than a shingle: one shingle of them all."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -130,8 +122,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     """``doc_id, node, n, bands``: the name of a document's multiset, its size, and its band hashes."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _WordHashes()
-        for batch in batches:
+        known = Remembered(xxhash.xxh64_intdigest)
+        for batch in (whole.iloc[s] for whole in batches for s in slices(whole["text"])):
             bags = [shingle_bag(t, known) for t in batch["text"]]
             sizes = [len(k) for k, _ in bags]
             made = bag_minhash(
@@ -139,7 +131,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 np.concatenate([c for _, c in bags] or [np.zeros(0, np.int64)]), len(bags), N_BANDS * BAND_ROWS,
             )
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "node": [_node(bag_elements(*bag)) for bag in bags],
+                "doc_id": batch["doc_id"].to_numpy(), "node": [_node(bag_elements(*bag)) for bag in bags],
                 "n": [int(c.sum()) for _, c in bags], "bands": list(_bands(made)),
             })
 
@@ -148,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 @F.pandas_udf(BinaryType())
 def _node_of(texts: pd.Series) -> pd.Series:
-    known = _WordHashes()
+    known = Remembered(xxhash.xxh64_intdigest)
     return pd.Series([_node(bag_elements(*shingle_bag(t, known))) for t in texts], dtype=object)
 
 
@@ -156,8 +148,8 @@ def bags_of(docs: DataFrame) -> DataFrame:
     """``node, bag`` of the rows whose ``want`` is the name of their text's multiset."""
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _WordHashes()
-        for batch in batches:
+        known = Remembered(xxhash.xxh64_intdigest)
+        for batch in (whole.iloc[s] for whole in batches for s in slices(whole["text"])):
             elements = [bag_elements(*shingle_bag(t, known)) for t in batch["text"]]
             keep = [k for k, e in enumerate(elements) if _node(e) == bytes(batch["want"].iloc[k])]
             yield pd.DataFrame({"node": [batch["want"].iloc[k] for k in keep], "bag": [elements[k].astype(np.int64) for k in keep]})
@@ -193,7 +185,6 @@ def _can_reach(n: Column, m: Column, threshold: float) -> Column:
 
 def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """The rows' signatures, and of every node ``label`` (its class), ``rep`` (its smallest doc_id), ``copies``."""
-    small_batches(docs.sparkSession)
     signed = materialize(signatures(docs), "signed")
     nodes = signed.groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")
@@ -221,6 +212,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     * Texts of fewer than five words are one shingle, so linked only to texts of the same words.
     * Rows that share a doc_id are classed by their own texts. A null doc_id counts as the
       smallest id and is returned as null. Similarity equal to the threshold is a link.
+    * A text of any length is one bag, signed and compared as a whole.
     * Only doc_id and text are read; an empty table gives an empty result.
     """
     signed, named = _classed(docs, threshold)
@@ -235,20 +227,23 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     A class is told by its row's doc_id and node, so rows that share a doc_id, or have none, stay or go by
     their own texts. Nodes are computed again only for rows whose doc_id does not tell which text is meant.
+    Rows of one doc_id and one multiset differ in other columns or white space alone; any one of them stays.
+    All columns are returned as they are, whatever their names; an empty table gives an empty result.
     """
     signed, named = _classed(docs, threshold)
-    first = named.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias("_id"), F.col("k.node").alias("_node"))
+    at, node = spare(docs, "_id", "_node")
+    first = named.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias(at), F.col("k.node").alias(node))
     several = signed.groupBy("doc_id").agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("doc_id") == _NO_ID))
-    several = materialize(several.select(F.col("doc_id").alias("_id")), "several")
+    several = materialize(several.select(F.col("doc_id").alias(at)), "several")
     kept = materialize(first, "kept")
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    alone = keyed.join(kept.join(several, "_id", "left_anti"), "_id", "left_semi")
+    keyed = docs.withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
+    alone = keyed.join(kept.join(several, at, "left_anti"), at, "left_semi")
     if several.isEmpty():
         return alone.select(*docs.columns)
     # Rows without an id are not joined by it: there may be very many.
-    mixed = keyed.where(F.col("_id") == _NO_ID).unionByName(keyed.where(F.col("_id") != _NO_ID).join(several, "_id", "left_semi"))
-    mixed = mixed.withColumn("_node", _node_of(F.col("text").cast("string"))).dropDuplicates(["_id", "_node"])
-    chosen = mixed.join(kept.join(several, "_id", "left_semi"), ["_id", "_node"], "left_semi")
+    mixed = keyed.where(F.col(at) == _NO_ID).unionByName(keyed.where(F.col(at) != _NO_ID).join(several, at, "left_semi"))
+    mixed = mixed.withColumn(node, _node_of(F.col("text").cast("string"))).dropDuplicates([at, node])
+    chosen = mixed.join(kept.join(several, at, "left_semi"), [at, node], "left_semi")
     return alone.select(*docs.columns).union(chosen.select(*docs.columns))
 
 
@@ -258,7 +253,7 @@ def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     mixed = buckets
     for turn in range(ROUNDS):
         rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("r"), F.col("node").alias("node"), F.col("n").alias("n"))
-        centre = mixed.groupBy("h").agg(F.min(rank).alias("c"))
+        centre = materialize(mixed.groupBy("h").agg(F.min(rank).alias("c")), f"centre{turn}")
         pairs = (
             mixed.join(centre, "h")
             .where((F.col("node") != F.col("c.node")) & _can_reach(F.col("n"), F.col("c.n"), threshold))
@@ -303,11 +298,11 @@ def _missed(mixed: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """
     nodes = mixed.select("node", "n", "label").distinct()
     elements = nodes.join(bags, "node").select("node", "n", "label", F.explode("bag").alias("e"))
-    held = elements.groupBy("e").agg(F.count("*").alias("k"))
+    held = materialize(elements.groupBy("e").agg(F.count("*").alias("k")).where("k > 1"), "held")
+    elements = elements.join(held, "e", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     rare_first = Window.partitionBy("node").orderBy("k", "e")
     prefix = materialize(
-        elements.join(held, "e")
-        .withColumn("i", F.row_number().over(rare_first) - 1)
+        elements.withColumn("i", F.row_number().over(rare_first) - 1)
         .where((F.col("k") > 1) & (F.col("n") - F.col("i") >= threshold * F.col("n") - 1e-9))
         .withColumn("past", F.collect_list("e").over(rare_first.rowsBetween(-PAST, -1)))
         .select("e", "node", "n", "label", "i", "past"),

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import Remembered, table
 
 N_BUCKETS = 1 << 14
 #: Mean log-likelihood ratio per n-gram that a document must reach to stay.
@@ -39,17 +39,7 @@ RULES_SCHEMA = (
 )
 
 
-class _WordHashes(dict):
-    """Hash of a word, remembered up to a number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def _word_hashes(words: list[bytes], known: _WordHashes) -> np.ndarray:
+def _word_hashes(words: list[bytes], known: Remembered) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
@@ -77,7 +67,7 @@ def repeated_words(hashes: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def _rules(text: str | None, weights: np.ndarray | None, min_ratio: float, known: _WordHashes) -> tuple:
+def _rules(text: str | None, weights: np.ndarray | None, min_ratio: float, known: Remembered) -> tuple:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -99,7 +89,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(n_buckets, dtype=np.int64), np.zeros(n_buckets, dtype=np.int64)
-        known = _WordHashes()
+        known = Remembered(xxhash.xxh64_intdigest)
         for batch in batches:
             for text, good in zip(batch["text"], batch["good"].notna(), strict=True):
                 words = (text or "").encode("utf-8", "surrogatepass").split()
@@ -124,7 +114,6 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS
 
 def fit_log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS) -> np.ndarray | None:
     """``log p_target - log p_raw`` by bucket; None if there is no trusted document."""
-    small_batches(docs.sparkSession)
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     if good.isEmpty():
         return None
@@ -145,23 +134,24 @@ def rules_column(weights: np.ndarray | None, min_ratio: float = MIN_RATIO) -> Ca
     @F.pandas_udf(RULES_SCHEMA)
     def rules(texts: pd.Series) -> pd.DataFrame:
         nonlocal known
-        known = _WordHashes() if known is None else known
+        known = Remembered(xxhash.xxh64_intdigest) if known is None else known
         names = [x.split()[0] for x in RULES_SCHEMA.split(", ")]
         return pd.DataFrame([_rules(t, weights, min_ratio, known) for t in texts], columns=names)
 
     return rules
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO) -> DataFrame:
-    """``docs`` with a struct ``_rules`` of RULES_SCHEMA.
+def quality_rules(docs: DataFrame, labels: DataFrame, min_ratio: float = MIN_RATIO, into: str = "_rules") -> DataFrame:
+    """``docs`` with a struct ``into`` of RULES_SCHEMA.
 
     * Null or empty text: no word, so the base rules fail it; ``llr`` is 0.
     * Without a trusted document (or over empty tables) every ratio is 0 and the base rules decide.
     * A ratio equal to the threshold is kept. Repeated rows each count in the raw multinomial.
-    * Only doc_id and text are read; other columns are passed on, whatever their names.
+    * A text of any length is judged as a whole, in time in proportion to it (n log n for repeated windows).
+    * Only doc_id and text are read; other columns are passed on, but for one named ``into``, which is replaced.
     """
     weights = fit_log_ratios(docs, labels)
-    return docs.withColumn("_rules", rules_column(weights, min_ratio)(F.col("text").cast("string")))
+    return docs.withColumn(into, rules_column(weights, min_ratio)(F.col("text").cast("string")))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,20 +1,27 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-The lattice of a text's pieces is searched left to right. Each boundary keeps its best way back; only
-boundaries within the longest piece's length of the newest one can still be built on, so once
-their ways back all run through one boundary, the ids before it are final and are given out.
-Memory is bounded by that window and by how far back ways differ, not by the text.
+A text is read once, character by character. An automaton over the pieces tells at each boundary
+which pieces end there, and each boundary keeps its best way back to an earlier one. Only boundaries
+within the longest piece's length of the newest can still be built on: that is the window. Once all
+ways back out of the window run through one boundary, the ids before it are final and are given out,
+so memory is bounded by the window and by how far back ways differ, not by the text.
 
 What "best" means comes from the model file. For a unigram model it is the largest sum of scores.
 A BPE model's text is what its merges make; a row of pieces is that result exactly if each two
 neighbours would come out as they are if merged alone (merges happen in order of rank, and nothing
 but the two neighbours decides whether one happens across their boundary). So for a BPE model a
-piece may follow another only if that holds, and each boundary has exactly one way back.
+way is ruled out unless its last two pieces may follow each other, and exactly one is left at each boundary.
+
+All ways meet before a space mark that follows another character if no piece reaches over one. What
+lies between two such places, a stretch, has the same ids whatever is around it, so a worker keeps
+the ids of stretches that it met lately; every other stretch is searched.
 """
 
 from __future__ import annotations
 
+import zlib
 from array import array
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import Remembered, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words longer than this are searched without being remembered.
-_LONGEST_KNOWN, _MAX_KNOWN, _MAX_PARTS = 48, 300_000, 200_000
-_MAX_PREFIXES, _MAX_PAIRS = 400_000, 300_000
+#: Bounds on what a worker keeps: stretches whose ids it knows (as Remembered counts them), pairs of pieces.
+KNOWN_BYTES, KNOWN_PAIRS = 40_000_000, 600_000
+#: What a character outside all pieces costs beside the lowest score of a unigram model.
+UNKNOWN_COST = 10.0
 
 
 @dataclass(frozen=True)
@@ -45,16 +53,18 @@ class PieceModel:
 
 
 def read_model(path: str = MODEL) -> PieceModel:
+    """The model in a file; what this module does not do raises ValueError (see ``_check_supported``)."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     with open(path, "rb") as file:
         proto.ParseFromString(file.read())
+    _check_supported(proto)
     kind = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
     pieces, raw, unknown, texts = {}, {}, 0, []
     for i, p in enumerate(proto.pieces):
         text = b""
-        if p.type == kind.NORMAL or p.type == kind.USER_DEFINED:
+        if p.type == kind.NORMAL:
             pieces[p.piece] = (i, p.score)
             text = p.piece.replace(SPACE, " ").encode()
         elif p.type == kind.BYTE:
@@ -62,25 +72,76 @@ def read_model(path: str = MODEL) -> PieceModel:
             text = bytes([int(p.piece[3:5], 16)])
         elif p.type == kind.UNKNOWN:
             unknown, text = i, " ⁇ ".encode()
+        elif p.type != kind.CONTROL:
+            raise ValueError(f"pieces of type {p.type} are not supported")
         texts.append(text)
     bytes_known = tuple(raw[b] for b in range(256)) if len(raw) == 256 else ()
     return PieceModel(proto.trainer_spec.model_type == 2, pieces, bytes_known, unknown, tuple(texts))
 
 
-class _KnownWords(dict):
-    """Ids of words; a word without a space mark before it stands for the word with one."""
+def _check_supported(proto) -> None:
+    """Unigram and BPE models without a character map, with a space put in front and all white space kept."""
+    rules, trainer = proto.normalizer_spec, proto.trainer_spec
+    wrong = {
+        "model type": trainer.model_type not in (1, 2),
+        "character map": bool(rules.precompiled_charsmap or rules.normalization_rule_tsv),
+        "no space in front": not rules.add_dummy_prefix,
+        "white space removed": rules.remove_extra_whitespaces,
+        "white space not marked": not rules.escape_whitespaces,
+        "space mark as suffix": trainer.treat_whitespace_as_suffix,
+    }
+    if any(wrong.values()):
+        raise ValueError("not supported: " + ", ".join(k for k, v in wrong.items() if v))
+
 
-    def __init__(self, encoder: "Encoder") -> None:
-        super().__init__()
-        self.encoder = encoder
+class Automaton:
+    """Which pieces end after each character read, in one step a character.
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encoder._word(word if word[0] == SPACE else SPACE + word)
-        if len(word) <= _LONGEST_KNOWN:
-            if len(self) > _MAX_KNOWN:
-                self.clear()
-            self[word] = ids
-        return ids
+    ``step[state][char]`` is the next state; where it is missing, failure links are followed and the
+    answer is added. ``ends[state]``: (length, number) of pieces, longest first.
+    """
+
+    def __init__(self, pieces: list[str]) -> None:
+        self.step: list[dict[str, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.link = [0]
+        own = [-1]
+        depth = [0]
+        for number, piece in enumerate(pieces):
+            state = 0
+            for char in piece:
+                if char not in self.step[state]:
+                    self.step[state][char] = len(self.step)
+                    self.step.append({})
+                    self.ends.append(())
+                    self.link.append(0)
+                    own.append(-1)
+                    depth.append(depth[state] + 1)
+                state = self.step[state][char]
+            own[state] = number
+        tree = [dict(s) for s in self.step]
+        queue = deque([0])
+        while queue:
+            state = queue.popleft()
+            for char, child in tree[state].items():
+                at = self.link[state]
+                while state and char not in tree[at] and at:
+                    at = self.link[at]
+                self.link[child] = tree[at].get(char, 0) if state else 0
+                shorter = self.ends[self.link[child]]
+                self.ends[child] = ((depth[child], own[child]), *shorter) if own[child] >= 0 else shorter
+                queue.append(child)
+        self.tree = tree
+
+    def after(self, state: int, char: str) -> int:
+        """The next state where ``step`` has none yet."""
+        at = state
+        while at and char not in self.tree[at]:
+            at = self.link[at]
+        found = self.tree[at].get(char, 0)
+        if found:  # a character outside all pieces is not remembered: there may be very many
+            self.step[state][char] = found
+        return found
 
 
 class Encoder:
@@ -88,22 +149,22 @@ class Encoder:
 
     def __init__(self, model: PieceModel) -> None:
         self.model = model
-        self.longest = max(map(len, model.pieces), default=1)
-        self.lowest = min((s for _, s in model.pieces.values()), default=0.0) - 10.0
+        # BPE: the outermost symbols of each piece that merges make; of a unigram model every piece counts.
+        edges = {p: self._edges(p) if model.bpe else ([], []) for p in model.pieces}
+        made = [p for p in model.pieces if edges[p] is not None]
+        self.edges = [edges[p] for p in made]
+        self.ids = [model.pieces[p][0] for p in made]
+        self.scores = [model.pieces[p][1] for p in made]
+        self.lengths = [*map(len, made), 1]
+        self.other = len(made)  # the number of a character that no piece holds
+        self.longest = max(self.lengths)
+        self.lowest = min(self.scores, default=0.0) - UNKNOWN_COST
+        self.automaton = Automaton(made)
         # No piece reaches over a space mark that follows another character: words are apart.
-        self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in model.pieces)
-        self.edges: dict[str, tuple[list, list] | None] = {}
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.known = _KnownWords(self)
-        self.parts: dict[str, bytes] = {}
-        self.last: dict[str, str] = {}
-        # Neighbouring characters within pieces: between others nothing ever merges.
-        self.joined = {p[i : i + 2] for p in model.pieces for i in range(len(p) - 1)}
-        # Length of the longest piece of three characters or more that ends in these three.
-        self.reach: dict[str, int] = {}
-        for p in model.pieces:
-            if len(p) >= 3:
-                self.reach[p[-3:]] = max(len(p), self.reach.get(p[-3:], 0))
+        self.words_apart = not any(SPACE in p.lstrip(SPACE) for p in made)
+        self.follows: dict[int, bool] = {}
+        self.known = Remembered(self._known_word, KNOWN_BYTES)
+        self.searched = 0
 
     # BPE: how a piece's outermost symbols come about, and whether two pieces stay apart.
 
@@ -113,8 +174,6 @@ class Encoder:
         A symbol is (piece, key): key tells when it is made, first by the highest rank of all merges
         that it needs, then by the rank of its own.
         """
-        if piece in self.edges:
-            return self.edges[piece]
         symbols = [(c, (0.0, 0.0)) for c in piece]
         left, right = [symbols[0]], [symbols[-1]]
         while len(symbols) > 1:
@@ -132,23 +191,18 @@ class Encoder:
                 left.append(made)
             if at == len(symbols) - 1:
                 right.append(made)
-        self.edges[piece] = out = (left, right) if len(symbols) == 1 else None
-        return out
-
-    def _may_follow(self, first: str, second: str) -> bool:
-        key = (first, second)
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) > _MAX_PAIRS:
-                self.follows.clear()
-            known = self.follows[key] = self._apart(first, second)
-        return known
-
-    def _apart(self, first: str, second: str) -> bool:
-        a, b = self._edges(first), self._edges(second)
-        if a is None or b is None:
-            return False
-        right, left = a[1], b[0]
+        return (left, right) if len(symbols) == 1 else None
+
+    def _may_follow(self, pair: int) -> bool:
+        """Whether the merges leave the pieces of ``pair`` (numbers, the first times 65,536) apart."""
+        first, second = pair >> 16, pair & 0xFFFF
+        if len(self.follows) >= KNOWN_PAIRS:
+            self.follows.clear()
+        apart = first == self.other or second == self.other or self._apart(self.edges[first][1], self.edges[second][0])
+        self.follows[pair] = apart
+        return apart
+
+    def _apart(self, right: list, left: list) -> bool:
         i = j = 0
         while True:
             (x, x_key), (y, y_key) = right[i], left[j]
@@ -170,132 +224,107 @@ class Encoder:
 
     # The search.
 
-    def _ids(self, piece: str) -> list[int]:
-        found = self.model.pieces.get(piece)
-        if found:
-            return [found[0]]
-        if self.model.byte_ids:
-            return [self.model.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
-        return [self.model.unknown]
-
-    def search(self, text: str) -> Iterator[str]:
-        """The pieces of ``text`` (spaces already marked), each as soon as it is certain."""
-        pieces, longest, bpe = self.model.pieces, self.longest, self.model.bpe
-        back: dict[int, int] = {}
-        score = {0: 0.0}
-        given = 0
-        for end in range(1, len(text) + 1):
-            best, way = None, end - 1
-            for start in range(max(given, end - longest), end):
-                piece = text[start:end]
-                found = pieces.get(piece)
-                if found is None and end - start > 1:
-                    continue
-                if bpe:
-                    if start not in score:
+    def search(self, text: str) -> Iterator[tuple[int, list[int]]]:
+        """Where in ``text`` (spaces already marked) a run of pieces begins and their numbers, as soon as they are certain.
+
+        ``back[k]`` is the number of the piece that ends at boundary ``given + k``.
+        """
+        self.searched += 1
+        step, ends, after = self.automaton.step, self.automaton.ends, self.automaton.after
+        follows, other, lengths, longest, bpe = self.follows, self.other, self.lengths, self.longest, self.model.bpe
+        scores, lowest = self.scores, self.lowest
+        back: list[int] = [other]
+        total = [0.0]
+        given = state = end = 0
+        look = 4 * longest
+        for char in text:
+            state = step[state].get(char) or after(state, char)
+            end += 1
+            way = other
+            if bpe:
+                for size, number in ends[state]:
+                    at = end - size
+                    if at:
+                        pair = back[at] << 16 | number
+                        fits = follows.get(pair)
+                        if fits is None:
+                            fits = self._may_follow(pair)
+                        if not fits:
+                            continue
+                    elif given:
                         continue
-                    if start == 0:
-                        fits = self._edges(piece) is not None
-                    else:
-                        fits = self._may_follow(text[back[start] : start], piece)
-                    if fits:
-                        best, way = 0.0, start
-                        break
-                else:
-                    total = score[start] + (found[1] if found else self.lowest)
-                    if best is None or total > best:
-                        best, way = total, start
-            back[end], score[end] = way, best or 0.0
-            if end - given > 4 * longest and end % longest == 0:
-                meet = self._meeting(back, given, end)
-                if meet > given:
-                    yield from self._path(text, back, given, meet)
-                    last = back[meet]
-                    for k in [k for k in back if k < meet]:
-                        del back[k]
-                    for k in [k for k in score if k < meet]:
-                        del score[k]
-                    back[meet], given = last, meet
-        yield from self._path(text, back, given, len(text))
-
-    def _meeting(self, back: dict[int, int], given: int, end: int) -> int:
-        """The last boundary that every way back from the window runs through."""
-        ways = set(range(max(given, end - self.longest + 1), end + 1))
+                    way = number
+                    break
+            else:
+                best, alone = None, False
+                for size, number in ends[state]:
+                    alone = alone or size == 1
+                    if end >= size and (best is None or total[end - size] + scores[number] >= best):
+                        best, way = total[end - size] + scores[number], number
+                if not alone and (best is None or total[end - 1] + lowest > best):
+                    best, way = total[end - 1] + lowest, other
+                total.append(best)
+            back.append(way)
+            if end >= look:
+                meet = self._meeting(back, end)
+                if meet:
+                    yield given, self._path(back, meet)
+                    del back[:meet]
+                    if not bpe:
+                        del total[:meet]
+                    given += meet
+                    end -= meet
+                look = end + 4 * longest
+        yield given, self._path(back, end)
+
+    def _meeting(self, back: list[int], end: int) -> int:
+        """The last boundary that every way back from the window runs through, counted from what was given."""
+        ways = set(range(max(0, end - self.longest + 1), end + 1))
         while len(ways) > 1:
             top = max(ways)
             ways.remove(top)
-            ways.add(max(given, back[top]) if top > given else given)
+            ways.add(top - self.lengths[back[top]])
         return ways.pop()
 
-    @staticmethod
-    def _path(text: str, back: dict[int, int], start: int, end: int) -> list[str]:
+    def _path(self, back: list[int], end: int) -> list[int]:
         out = []
-        while end > start:
-            out.append(text[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-    def _remembered(self, word: str) -> list[str]:
-        """``search`` for a short word under a BPE model: a boundary's way back depends on what is before it alone,
-        so the last piece of each prefix is remembered and shared by all words that begin so."""
-        last, pieces, reach, follows = self.last, self.model.pieces, self.reach, self.follows
-        if len(last) > _MAX_PREFIXES:
-            last.clear()
-        for end in range(1, len(word) + 1):
-            prefix = word[:end]
-            if prefix in last:
+        lengths = self.lengths
+        while end > 0:
+            number = back[end]
+            out.append(number)
+            end -= lengths[number]
+        out.reverse()
+        return out
+
+    def _known_word(self, word: str) -> bytes:
+        """Ids of a stretch; without a space mark in front it stands for itself with one."""
+        return self.stretch_ids(word if word[0] == SPACE else SPACE + word)
+
+    def stretch_ids(self, stretch: str) -> bytes:
+        out = array("i")
+        ids, other, model = self.ids, self.other, self.model
+        unknown = False
+        for at, numbers in self.search(stretch):
+            if other not in numbers:
+                out.extend([ids[n] for n in numbers])
+                unknown = False
                 continue
-            last[prefix] = word[end - 1]
-            for start in range(max(0, end - reach.get(word[end - 3 : end], 2) if end >= 3 else 0), end - 1):
-                piece = word[start:end]
-                if piece not in pieces:
-                    continue
-                if start:
-                    before = last[word[:start]]
-                    fits = follows.get((before, piece))
-                    if fits is None:
-                        fits = self._may_follow(before, piece)
-                else:
-                    fits = self._edges(piece) is not None
-                if fits:
-                    last[prefix] = piece
-                    break
-        out = []
-        while word:
-            out.append(last[word])
-            word = word[: -len(out[-1])]
-        return out[::-1]
-
-    def _cut(self, word: str) -> Iterator[str]:
-        """``word`` cut between characters that are never neighbours within a piece."""
-        start = 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in self.joined:
-                yield word[start:i]
-                start = i
-        yield word[start:]
-
-    def _part(self, part: str) -> bytes:
-        ids = self.parts.get(part)
-        if ids is None:
-            short = self.model.bpe and len(part) <= _LONGEST_KNOWN
-            pieces = self._remembered(part) if short else self.search(part)
-            ids = array("i", [i for piece in pieces for i in self._ids(piece)]).tobytes()
-            if short:
-                if len(self.parts) > _MAX_PARTS:
-                    self.parts.clear()
-                self.parts[part] = ids
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self._part, self._cut(word))) if self.model.bpe else self._part(word)
+            for number in numbers:
+                if number != other:
+                    out.append(ids[number])
+                elif model.byte_ids:
+                    out.extend([model.byte_ids[b] for b in stretch[at].encode("utf-8", "surrogatepass")])
+                elif not unknown:  # neighbours that no piece holds are one unknown id
+                    out.append(model.unknown)
+                at, unknown = at + self.lengths[number], number == other
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
         marked = SPACE + text.replace(" ", SPACE)
         if not self.words_apart:
-            return self._word(marked)
+            return self.stretch_ids(marked)
         parts = marked.split(SPACE)[1:]
         # Nearly always single spaces: then a word's key is the word without its mark.
         return b"".join(map(self.known.__getitem__, parts if all(parts) else self._words(marked)))
@@ -316,9 +345,9 @@ class Encoder:
             yield SPACE * marks
 
 
-def decode(ids: np.ndarray, texts: tuple[bytes, ...]) -> str:
-    """The text of ids: pieces joined, without the space put before the first."""
-    return b"".join(map(texts.__getitem__, ids.tolist())).removeprefix(b" ").decode("utf-8", "replace")
+def decode(ids: np.ndarray, texts: tuple[bytes, ...]) -> bytes:
+    """The UTF-8 bytes of the text of ids: pieces joined, without the space put before the first."""
+    return b"".join(map(texts.__getitem__, ids.tolist())).removeprefix(b" ")
 
 
 _built: dict[int, Encoder] = {}
@@ -332,27 +361,29 @@ def _encoder(model: PieceModel) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, model_path: str = MODEL) -> DataFrame:
-    """``doc_id, ids``: the ids of each whole text.
+    """``doc_id, ids, decoded_crc32``: the ids of each whole text, and the checksum of the UTF-8 text that they decode to.
 
-    * Null and empty texts have no ids. A character that no piece holds becomes ids of its UTF-8
-      bytes (or the unknown id, if the model has no byte pieces).
-    * The model is read once, on the driver, and broadcast: its size does not depend on the data.
+    * Null and empty texts have no ids, and decode to nothing (checksum 0). A character that no piece
+      holds becomes ids of its UTF-8 bytes (or the unknown id, if the model has no byte pieces).
+    * A text of any length is searched as a whole; what is kept of it is the window, its ids and its bytes.
+    * The model is read once, on the driver, and broadcast: its size does not depend on the data. A model
+      that needs what is not supported raises ValueError on the driver.
     * One row per row, repeated ones too; a null doc_id stays null. Only doc_id and text are read.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    model = spark.sparkContext.broadcast(read_model(model_path))
+    model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model.value)
+        encoder, texts = _encoder(model.value), model.value.texts
         for batch in batches:
             made = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            flat = np.frombuffer(b"".join(made), dtype=np.int32)
             offsets = np.concatenate([[0], np.cumsum([len(b) // 4 for b in made])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(made), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
+            sums = [zlib.crc32(decode(flat[a:b], texts)) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(sums, pa.int64())], names=["doc_id", "ids", "decoded_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        encode, "doc_id long, ids array<int>"
+        encode, "doc_id long, ids array<int>, decoded_crc32 long"
     )
 
 
@@ -369,12 +400,12 @@ def count_column(spark: SparkSession, model_path: str = MODEL):
 
 
 def decoded_column(spark: SparkSession, model_path: str = MODEL):
-    """A column function from ids to their text; null ids: null."""
+    """A column function from ids to their text; null ids: null. Ids that make no whole characters give U+FFFD for them."""
     texts = spark.sparkContext.broadcast(read_model(model_path).texts)
 
     @F.pandas_udf("string")
     def decoded(ids):
-        return ids.map(lambda x: None if x is None else decode(x, texts.value))
+        return ids.map(lambda x: None if x is None else decode(x, texts.value).decode("utf-8", "replace"))
 
     return decoded
 
@@ -382,7 +413,4 @@ def decoded_column(spark: SparkSession, model_path: str = MODEL):
 def op6_sentencepiece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document, how many they are, and the checksum of the text that they decode to."""
     encoded = encode_documents(table(spark, sf_dir, "documents"))
-    text = decoded_column(spark)(F.col("ids"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.crc32(text.cast("binary")).alias("decoded_crc32")
-    )
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "decoded_crc32")

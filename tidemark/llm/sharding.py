@@ -1,11 +1,13 @@
 """Shards of even row counts by balanced label propagation, in DataFrame operations only.
 
 Nodes are groups of equal texts; two nodes are linked by every line (of LINE_CHARS code points or
-more) that both hold. Labels start from a hash. In each round a line speaks for the label that
-most of its nodes have, a node wishes to move to the label that its lines speak for most, and of
-the wishes from one label to another only as many are granted as there are wishes back (plus what
-room there is), so labels stay even. Documents are then laid out label by label, groups
-together, and cut into shards whose row counts differ by one at most.
+more) that both hold. In each round a line speaks for the label that most of its nodes have, a node
+wishes to move to the label that its lines speak for most, and only as many wishes are granted as
+quotas allow. This is done twice. First every node has a label of its own and labels grow to
+clusters, up to a share of a shard. Then clusters are dealt over the shards and a label is a shard:
+of the wishes from one shard to another as many are granted as there are wishes back (plus
+what room there is), so shards stay even. Documents are then laid out shard by shard, clusters and
+groups together, and cut into shards whose row counts differ by one at most.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from tidemark.llm.common import materialize, table, text_or_empty
 from tidemark.llm.line_dedup import line_key
 
 N_SHARDS = 16
-ROUNDS = 4
+#: Rounds in which clusters grow, and in which nodes move between shards.
+GROWING, ROUNDS = 4, 3
+#: A cluster has this share of a shard at most.
+CLUSTER_SHARE = 0.5
 LINE_CHARS = 20
 #: Buckets of hash prefixes within a label, and what share of all rows makes a group a hot one.
 PREFIXES = 512
@@ -29,33 +34,72 @@ def _hash01(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(_SCALE)) / F.lit(float(_SCALE))
 
 
+def _wishes(edges: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
+    """``g, to``: the label that the lines of each node speak for most. Ties go by hash, the same way everywhere."""
+    tie = lambda c: F.xxhash64(F.lit(turn), c).alias("tie")
+    tied = edges.join(labelled.select("g", "label"), "g")
+    per_label = tied.groupBy("l", "label").agg(F.count("*").alias("k"))
+    spoken = materialize(
+        per_label.groupBy("l")
+        .agg(F.max(F.struct("k", tie("label"), "label")).alias("top"), F.sum("k").alias("all"))
+        .select("l", F.col("top.label").alias("to"), F.floor(1000 * F.col("top.k") / F.col("all")).alias("voice")),
+        "spoken",
+    )
+    # Both sides are tables, so the partition of a very common line is split between tasks.
+    return (
+        edges.join(spoken, "l")
+        .groupBy("g", "to").agg(F.sum("voice").alias("voice"))
+        .groupBy("g").agg(F.max(F.struct("voice", tie("to"), "to")).alias("best"))
+        .select("g", F.col("best.to").alias("to"))
+    )
+
+
+def _half(turn: int) -> Column:
+    """Half of the nodes stay where they are in a round, so that linked nodes do not swap places."""
+    return _hash01(F.lit(turn), F.col("g")) < 0.5
+
+
+def clusters(nodes: DataFrame, edges: DataFrame, most: float, rounds: int = GROWING) -> DataFrame:
+    """``g, w, label`` for ``nodes`` (g, w): clusters of weight ``most`` or less, named by one of their nodes.
+
+    Every node starts as a cluster. Where more weight wishes to join a cluster than there is room, a
+    share of the wishes is granted, chosen by hash.
+    """
+    labelled = nodes.withColumn("label", F.col("g"))
+    for turn in range(rounds):
+        labelled = materialize(labelled, f"clusters{turn}")
+        wished = materialize(labelled.join(_wishes(edges, labelled, -1 - turn), "g", "left").withColumn("to", F.when(_half(-1 - turn), F.col("to"))), f"joins{turn}")
+        moving = wished.where("to != label")
+        held = wished.groupBy("label").agg(F.sum("w").alias("held"))
+        asked = moving.groupBy("to").agg(F.sum("w").alias("asked"))
+        grants = materialize(
+            asked.join(held.withColumnRenamed("label", "to"), "to", "left")
+            .select("to", ((F.lit(float(most)) - F.coalesce("held", F.lit(0))) / F.col("asked")).alias("share")),
+            f"grants{turn}",
+        )
+        granted = _hash01(F.lit(500 + turn), F.col("g")) < F.coalesce("share", F.lit(0.0))
+        labelled = (
+            wished.join(grants, "to", "left")
+            .select("g", "w", F.when(F.col("to").isNotNull() & granted, F.col("to")).otherwise(F.col("label")).alias("label"))
+        )
+    return materialize(labelled, "clusters")
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, n_labels: float, rounds: int = ROUNDS) -> DataFrame:
-    """``g, label`` for ``nodes`` (g, w) under ``edges`` (g, l: a line that at least two nodes hold).
+    """``g, label, cluster`` for ``nodes`` (g, w) under ``edges`` (g, l: a line that at least two nodes hold).
 
     n_labels may have a fraction: the last label is then smaller by it.
     """
     capacity = nodes.agg(F.sum("w").alias("w")).first()["w"] / n_labels
-    labelled = nodes.withColumn("label", F.floor(_hash01(F.lit(-1), F.col("g")) * n_labels).cast("int"))
+    grown = clusters(nodes, edges, max(1.0, CLUSTER_SHARE * capacity))
+    start = F.floor(_hash01(F.lit(-1), F.col("label")) * n_labels).cast("int")
+    labelled = grown.select("g", "w", start.alias("label"), F.col("label").alias("cluster"))
     count = int(-(-n_labels // 1))
     for turn in range(rounds):
         labelled = materialize(labelled, f"labels{turn}")
-        tied = edges.join(labelled.select("g", "label", "w"), "g")
-        per_label = tied.groupBy("l", "label").agg(F.count("*").alias("k"))
-        spoken = per_label.groupBy("l").agg(
-            F.max(F.struct("k", F.xxhash64(F.lit(turn), "l", "label").alias("tie"), "label")).alias("top"),
-            F.sum("k").alias("all"),
-        ).select("l", F.col("top.label").alias("to"), F.floor(1000 * F.col("top.k") / F.col("all")).alias("voice"))
-        wishes = (
-            edges.join(spoken, "l")
-            .groupBy("g", "to").agg(F.sum("voice").alias("voice"))
-            .groupBy("g").agg(F.max(F.struct("voice", "to")).alias("best"))
-            .select("g", F.col("best.to").alias("to"))
-        )
-        # Half of the nodes stay where they are in a round, so that linked nodes do not swap places.
-        turn_of = _hash01(F.lit(turn), F.col("g"))
         wished = materialize(
-            labelled.join(wishes, "g", "left").withColumn(
-                "to", F.when((turn_of < 0.5) & (F.col("w") <= capacity / 2), F.col("to"))
+            labelled.join(_wishes(edges, labelled, turn), "g", "left").withColumn(
+                "to", F.when(_half(turn) & (F.col("w") <= capacity / 2), F.col("to"))
             ),
             f"wishes{turn}",
         )
@@ -70,8 +114,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, n_labels: float, rounds: int =
         ]
         granted = F.get(F.array(*map(F.lit, share)), F.col("label") * count + F.col("to"))
         moves = F.col("to").isNotNull() & (_hash01(F.lit(1000 + turn), F.col("g")) < granted)
-        labelled = wished.select("g", "w", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"))
-    return labelled.select("g", "label")
+        labelled = wished.select("g", "w", F.when(moves, F.col("to")).otherwise(F.col("label")).alias("label"), "cluster")
+    return labelled.select("g", "label", "cluster")
 
 
 def _links(base: DataFrame) -> DataFrame:
@@ -87,6 +131,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> Da
     from 0 in each shard without gaps. Equal texts lie together: a group is cut only where it
     meets a shard's end, so one larger than a shard spans as few as it can.
 
+    * A text of any length is one row; its lines are compared by hashes.
     * A null text is as an empty one: size 1, checksum 0. A null doc_id is placed and stays null.
     * Rows that share a doc_id are placed one by one. Fewer rows than shards: some shards are empty.
     * An empty table gives an empty result. Only doc_id and text are read.
@@ -111,22 +156,23 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> Da
     if n_labels > 1:
         labels = propagate(rest, materialize(_links(base), "links").join(rest.select("g"), "g", "left_semi"), n_labels, rounds)
     else:
-        labels = rest.select("g", F.lit(0).alias("label"))
+        labels = rest.select("g", F.lit(0).alias("label"), F.col("g").alias("cluster"))
     return _laid_out(base.drop("lines"), nodes, labels, total, n_shards)
 
 
 def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int, n_shards: int) -> DataFrame:
-    """Positions 0 to total - 1 by label and group, from counts of small buckets; shards cut them."""
+    """Positions 0 to total - 1 by label, cluster and group, from counts of small buckets; shards cut them."""
     marked = nodes.join(labels, "g", "left").select(
         "g",
         F.coalesce("label", F.lit(n_shards)).alias("label"),
+        F.coalesce("cluster", "g").alias("cluster"),
         # Hot groups, HOT_SHARE at most, are buckets of their own, and several by doc_id if need be.
         F.when(F.col("w") * HOT_SHARE > total, F.col("g")).alias("hot"),
         F.greatest(F.lit(1), F.ceil(F.col("w") * (4 * HOT_SHARE) / max(1, total))).alias("salts"),
     )
     placed = base.join(marked, "g").select(
-        "doc_id", "size", "text_crc32", "g", "label", F.coalesce("hot", F.lit(0)).alias("hot"),
-        F.when(F.col("hot").isNull(), F.pmod(F.xxhash64(F.lit(5), "g"), F.lit(PREFIXES)))
+        "doc_id", "size", "text_crc32", "g", "label", "cluster", F.coalesce("hot", F.lit(0)).alias("hot"),
+        F.when(F.col("hot").isNull(), F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(PREFIXES)))
         .otherwise(F.pmod(F.xxhash64("doc_id", "size"), F.col("salts"))).alias("part"),
     )
     placed = materialize(placed, "placed")
@@ -135,7 +181,7 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
     # At most n_shards * PREFIXES + 5 * HOT_SHARE buckets, however many rows: one task may sum them up.
     before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*key).orderBy("g", F.xxhash64("doc_id"), "doc_id", "text_crc32")
+    within = Window.partitionBy(*key).orderBy("cluster", "g", F.xxhash64("doc_id"), "doc_id", "text_crc32")
     position = F.col("before") + F.row_number().over(within) - 1
     each, over = divmod(total, n_shards)
     cut = over * (each + 1)

@@ -16,12 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, table
+from tidemark.llm.common import Remembered, table
 
 #: Where the vocabulary is read from by default: a public SentencePiece file; see ``read_vocabulary``.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_MARK = "▁"
-_MAX_KNOWN = 400_000
 
 
 def read_vocabulary(path: str = VOCABULARY) -> tuple[list[str], list[str]]:
@@ -91,21 +90,7 @@ class LongestMatch:
         return pieces
 
 
-class _Known(dict):
-    """Pieces of words as bytes of UTF-8, remembered up to a number of words."""
-
-    def __init__(self, automaton: LongestMatch) -> None:
-        super().__init__()
-        self.automaton = automaton
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _MAX_KNOWN:
-            self.clear()
-        self[word] = n = self.automaton.count(word.decode("utf-8", "surrogatepass"))
-        return n
-
-
-_built: dict[int, _Known] = {}
+_built: dict[int, Remembered] = {}
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -113,11 +98,11 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     * Words are runs of anything but ASCII white space. A word that greedy longest match does not
       get through is one unknown token. Null, empty and blank texts have none of either.
+    * Texts and words of any length are read as a whole, in time in proportion to their length.
     * The vocabulary is read once, on the driver, and broadcast: its size does not depend on the data.
     * One row per row, repeated ones too; a null doc_id stays null. Only doc_id and text are read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     pieces = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +110,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         known = _built.get(id(value))
         if known is None:
             _built.clear()
-            known = _built[id(value)] = _Known(LongestMatch(*value))
+            automaton = LongestMatch(*value)
+            known = _built[id(value)] = Remembered(lambda word: automaton.count(word.decode("utf-8", "surrogatepass")))
+            known.vocabulary = value  # kept, so that its id stays its own
         for batch in batches:
             rows = []
             for text in batch["text"]:
