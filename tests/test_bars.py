@@ -67,7 +67,7 @@ def test_violations_and_order(spark):
         validate_bars(good.drop("close"))
     texts = good.select(F.col("date").cast("string").alias("date"), F.lit(2330).alias("ticker"), *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close", "volume")])
     assert validate_bars(texts).first()["ticker"] == "2330"
-    with pytest.raises(BarError, match="missing_close"):
+    with pytest.raises(BarError, match="not_numeric_close"):
         validate_bars(texts.withColumn("close", F.lit("x")))
 
 

@@ -88,11 +88,16 @@ def with_positions(df: DataFrame) -> DataFrame:
     return df.join(starts, "date").withColumn("pos", F.col("_start") + rank).drop("_start")
 
 
+def check_keys(df: DataFrame) -> None:
+    """Raises where a date or ticker is missing or a pair of them is found twice."""
+    bad = df.where(F.col("date").isNull() | F.col("ticker").isNull()).limit(1).count()
+    if bad or df.groupBy("date", "ticker").count().where("count > 1").limit(1).count():
+        raise BarError("missing or duplicate date and ticker")
+
+
 def feature_matrix(df: DataFrame, label: str, chosen: Sequence[str] | None = None, check: bool = True) -> DataFrame:
     """``pos, date, ticker, <features>, y``. Rows with missing labels stay."""
     columns = feature_columns(df, label, chosen)
     if check:
-        bad = df.where(F.col("date").isNull() | F.col("ticker").isNull()).limit(1).count()
-        if bad or df.groupBy("date", "ticker").count().where("count > 1").limit(1).count():
-            raise BarError("missing or duplicate date and ticker")
+        check_keys(df)
     return with_positions(df).select("pos", "date", "ticker", *columns, F.col(label).alias("y"))

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.medians import prefix_medians
+
 PREDICTION_COLUMNS = ("model_name", "method", "split", "pos", "y", "prediction")
 
 
@@ -26,10 +29,14 @@ def check_inputs(data: DataFrame, columns: list[str]) -> None:
 
 
 def fit_constant(data: DataFrame, method: str = "mean") -> float:
-    """Mean or exact median of the train labels."""
+    """Mean or exact median of the train labels. No task sees them all (``medians``)."""
     if method not in ("mean", "median"):
         raise ValueError(f"unknown method: {method}")
-    value = data.where("split = 'train'").agg((F.avg if method == "mean" else F.median)("y")).first()[0]
+    train = data.where("split = 'train'")
+    if method == "mean":
+        value = train.agg(F.avg("y")).first()[0]
+    else:
+        value = prefix_medians(train.select(F.lit(0).cast("long").alias("window"), "y"), 1).get(0)
     if value is None:
         raise ValueError("no train labels")
     return value
@@ -50,8 +57,8 @@ class LinearModel:
 def fit_ols(data: DataFrame, columns: list[str], fit_intercept: bool = True) -> LinearModel:
     """Least squares of least norm by a tall-skinny QR: factors of k by k are all that leaves a task.
 
-    Each partition gives one factor; factors are combined in at most 64 groups before the driver
-    solves the last, small system.
+    Each partition gives one factor; factors are combined in at most 64 groups, by partition number, before
+    the driver solves the last, small system.
     """
     k = len(columns) + int(fit_intercept) + 1
 
@@ -65,7 +72,7 @@ def fit_ols(data: DataFrame, columns: list[str], fit_intercept: bool = True) ->
             if len(x):
                 held = np.linalg.qr(np.vstack([held, np.hstack([np.ones((len(x), int(fit_intercept))), x])]), mode="r")
         if len(held):
-            yield factor(held).assign(part=np.random.default_rng(abs(hash(held.tobytes()))).integers(64))
+            yield factor(held).assign(part=TaskContext.get().partitionId() % 64)
 
     fields = ", ".join(f"c{i} double" for i in range(k))
     factors = data.where("split = 'train'").select(*columns, "y").mapInPandas(by_partition, f"{fields}, part long")
@@ -88,16 +95,21 @@ def predict_ols(data: DataFrame, model: LinearModel, name: str = "linear_regress
 
 def boosted_params(
     n_estimators: int = 100, learning_rate: float = 0.05, num_leaves: int = 31, min_child_samples: int = 20,
-    feature_fraction: float = 1.0, bagging_fraction: float = 1.0, seed: int = 42,
+    feature_fraction: float = 1.0, bagging_fraction: float = 1.0, bagging_freq: int = 0, seed: int = 42,
 ) -> dict:
-    """Parameters of Spark's boosted trees that play the same part, after range checks."""
+    """Parameters of Spark's boosted trees that play the same part, after range checks.
+
+    Rows are sampled for every tree (bagging_freq 1) or never (0); Spark has nothing between.
+    """
+    if bagging_freq not in (0, 1):
+        raise ValueError("bagging_freq must be 0 or 1")
     if n_estimators < 1 or learning_rate <= 0 or num_leaves < 2 or min_child_samples < 1:
         raise ValueError("tree counts, rates and sizes must be positive")
     if not (0 < feature_fraction <= 1 and 0 < bagging_fraction <= 1):
         raise ValueError("fractions must be above 0 and at most 1")
     return {
         "maxIter": n_estimators, "stepSize": learning_rate, "maxDepth": max(1, int(np.ceil(np.log2(num_leaves)))), "minInstancesPerNode": min_child_samples,
-        "featureSubsetStrategy": "all" if feature_fraction == 1 else str(feature_fraction), "subsamplingRate": bagging_fraction, "seed": seed,
+        "featureSubsetStrategy": "all" if feature_fraction == 1 else str(feature_fraction), "subsamplingRate": bagging_fraction if bagging_freq else 1.0, "seed": seed,
     }
 
 
@@ -121,15 +133,41 @@ def bundle(predicted: DataFrame, name: str, method: str) -> DataFrame:
     return predicted.select(F.lit(name.strip()).alias("model_name"), F.lit(method).alias("method"), "split", "pos", "y", "prediction")
 
 
-def check_bundle(predictions: DataFrame) -> None:
-    """Positions are unique in a model, no prediction is missing, and train and test have some."""
+def check_bundle(predictions: DataFrame) -> DataFrame:
+    """The predictions; raises unless positions are unique in a model, none is missing, and train and test have some."""
     if predictions.groupBy("model_name", "pos").count().where("count > 1").limit(1).count():
         raise ValueError("a position is predicted twice")
-    row = predictions.agg(
-        F.count_if(F.col("prediction").isNull()).alias("missing"), F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test")
-    ).first()
-    if row["missing"] or not row["train"] or not row["test"]:
-        raise ValueError("missing predictions, or none for train or test")
+    for row in predictions.groupBy("model_name").agg(
+        F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("missing"),
+        F.count_if(F.col("split") == "train").alias("train"), F.count_if(F.col("split") == "test").alias("test"),
+    ).collect():
+        if row["missing"] or not row["train"] or not row["test"]:
+            raise ValueError(f"missing predictions, or none for train or test: {row['model_name']}")
+    return predictions
+
+
+def with_actuals(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
+    """``predictions`` (without their y) with y from ``actuals`` (pos, y) by position.
+
+    Raises unless positions are unique on both sides and every prediction has an actual row.
+    """
+    kinds = dict(actuals.dtypes)
+    if kinds["y"] not in ("double", "float", "int", "bigint", "smallint", "tinyint"):
+        raise ValueError("actual values must be numbers")
+    if actuals.groupBy("pos").count().where("count > 1 or pos is null").limit(1).count():
+        raise ValueError("a position has two actual values, or none has a position")
+    if predictions.join(actuals, "pos", "left_anti").limit(1).count():
+        raise ValueError("a prediction has no actual row")
+    check_bundle(predictions)
+    return predictions.drop("y").join(actuals.select("pos", F.col("y").cast("double").alias("y")), "pos").select(*PREDICTION_COLUMNS)
+
+
+def check_evaluations(evaluations: DataFrame) -> DataFrame:
+    """The evaluations; raises where a model has a split without any actual value."""
+    empty = evaluations.where("non_missing_count = 0").select("model_name", "split").limit(1).collect()
+    if empty:
+        raise ValueError(f"no actual values: {empty[0]['model_name']}, {empty[0]['split']}")
+    return evaluations
 
 
 def evaluate(predictions: DataFrame) -> DataFrame:

@@ -48,6 +48,28 @@ def performance_summary(returns: DataFrame, periods_per_year: float = 252, risk_
     )
 
 
+def log_growth(returns: DataFrame, periods_per_year: float = 252) -> DataFrame:
+    """``series_id, log10_growth, log10_annual_growth, max_drawdown`` by sums of logarithms, for series whose growth leaves a double.
+
+    A return of -1 or less ends a series: its growth has no logarithm (NULL) and its drawdown is -1.
+    Series without a usable return have zeros.
+    """
+    line = Window.partitionBy("series_id").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    step = F.when(F.col("ret") > -1, F.log1p("ret"))
+    curve = clean(returns).withColumn("equity", F.sum(step).over(line)).withColumn("peak", F.max("equity").over(line))
+    ended, n = F.count_if(F.col("ret") <= -1), F.count("*")
+    stats = curve.groupBy("series_id").agg(
+        F.when(ended == 0, F.sum(step) / F.log(F.lit(10.0))).alias("g"), n.alias("k"),
+        F.when(ended > 0, F.lit(-1.0)).otherwise(F.min(F.exp(F.col("equity") - F.col("peak")) - 1)).alias("mdd"),
+    )
+    none = F.col("k").isNull()
+    return returns.select("series_id").distinct().join(stats, "series_id", "left").select(
+        "series_id", F.when(none, 0.0).otherwise(F.col("g")).alias("log10_growth"),
+        F.when(none, 0.0).otherwise(F.col("g") * float(periods_per_year) / F.col("k")).alias("log10_annual_growth"),
+        F.when(none, 0.0).otherwise(F.col("mdd")).alias("max_drawdown"),
+    )
+
+
 def coverage(df: DataFrame, feature: str, label: str) -> DataFrame:
     """Rows, labels and whether the first row lacks the feature, by ticker."""
     return df.groupBy("ticker").agg(

@@ -72,27 +72,60 @@ def assign_windows(matrix: DataFrame, n: int, train: int, validation: int, test:
     return found[0].unionByName(found[1])
 
 
+def first_window(train: int, step: int):
+    """The first window that trains on a position."""
+    return F.greatest(F.lit(0), F.floor((F.col("pos") - train) / step) + 1).cast("long")
+
+
 def train_prefix_stats(matrix: DataFrame, columns: list[str], n: int, train: int, step: int) -> DataFrame:
     """``window, n_train, n_labels, label_mean, <c>_mean, <c>_std`` over each window's train rows in one pass.
 
-    Rows are added up by the first window that trains on them; windows are running sums of that.
+    Rows are put together by the first window that trains on them; windows are running sums over
+    those groups, of squared deviations from one middle value per column, so that large means cancel nothing.
     """
-    first = F.greatest(F.lit(0), F.floor((F.col("pos") - train) / step) + 1).cast("long")
-    rows = matrix.withColumn("window", first).where(F.col("window") < n)
-    sums = [F.count("*").alias("n_train"), F.count("y").alias("n_labels"), F.sum("y").alias("sum_y")]
-    sums += [f(c, k) for c in columns for k, f in (("s", lambda c, k: F.sum(c).alias(f"{c}_{k}")), ("q", lambda c, k: F.sum(F.col(c) * F.col(c)).alias(f"{c}_{k}")))]
-    added = rows.groupBy("window").agg(*sums)
-    every = matrix.sparkSession.range(n).withColumnRenamed("id", "window").join(added, "window", "left")
+    rows = matrix.withColumn("window", first_window(train, step)).where(F.col("window") < n)
+    groups = rows.groupBy("window").agg(
+        F.count("*").alias("n_train"), F.count("y").alias("n_labels"), F.sum("y").alias("sum_y"),
+        *[f(F.col(c)).alias(f"{c}_{k}") for c in columns for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))],
+    )
+    every = matrix.sparkSession.range(n).withColumnRenamed("id", "window").join(groups, "window", "left")
     so_far = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, 0)  # over windows alone
-    names = [c for c in added.columns if c != "window"]
-    run = every.select("window", *[F.sum(F.coalesce(F.col(c), F.lit(0))).over(so_far).alias(c) for c in names])
-    stats = [x for c in columns for x in (
-        (F.col(f"{c}_s") / F.col("n_train")).alias(f"{c}_mean"),
-        F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}_q") / F.col("n_train") - F.pow(F.col(f"{c}_s") / F.col("n_train"), 2))).alias(f"{c}_std"),
-    )]
+    whole = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    middle = {f"{c}_c": F.first(f"{c}_m", ignorenulls=True).over(whole) for c in columns}
+    every = every.withColumns(middle)
+    parts = {"n_train": F.col("n_train"), "n_labels": F.col("n_labels"), "sum_y": F.col("sum_y")}
+    for c in columns:
+        k, off = F.col(f"{c}_n"), F.col(f"{c}_m") - F.col(f"{c}_c")
+        parts |= {f"{c}_n": k, f"{c}_s": k * off, f"{c}_q": k * (F.col(f"{c}_v") + off * off)}
+    run = every.select("window", *[f"{c}_c" for c in columns], *[F.sum(zero(x)).over(so_far).alias(name) for name, x in parts.items()])
+    stats = []
+    for c in columns:
+        k, mean = F.col(f"{c}_n"), F.col(f"{c}_s") / F.nullif(F.col(f"{c}_n"), F.lit(0))
+        spread = F.sqrt(F.greatest(F.lit(0.0), F.col(f"{c}_q") / F.nullif(k, F.lit(0)) - mean * mean))
+        stats += [(F.col(f"{c}_c") + mean).alias(f"{c}_mean"), spread.alias(f"{c}_std")]
     return run.select("window", "n_train", "n_labels", F.when(F.col("n_labels") > 0, F.col("sum_y") / F.col("n_labels")).alias("label_mean"), *stats)
 
 
+def window_dates(assigned: DataFrame) -> DataFrame:
+    """``window, split, n, first_date, last_date``: observed dates of each window's validation and test rows."""
+    return assigned.groupBy("window", "split").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def scale_by_window(assigned: DataFrame, stats: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of windows with ``columns`` scaled by their window's train statistics; a constant column raises ValueError."""
+    if stats.where(" or ".join(f"not {c}_std > 0" for c in columns)).limit(1).count():
+        raise ValueError("constant train values in a window")
+    params = stats.select("window", *[f"{c}_{k}" for c in columns for k in ("mean", "std")])
+    made = {c: (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_std") for c in columns}
+    return assigned.join(params, "window").withColumns(made).drop(*[f"{c}_{k}" for c in columns for k in ("mean", "std")])
+
+
+def join_labels(matrix: DataFrame, labels: DataFrame) -> DataFrame:
+    """``matrix`` with y from ``labels`` (pos, y) of another table, by position; rows without a label row go."""
+    return matrix.drop("y").join(labels.select("pos", "y"), "pos")
+
+
 def fit_scaler(split: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation of train rows. Missing values and constant columns raise."""
     kinds = dict(split.dtypes)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.sources.bars import BAR_COLUMNS
 
 NUMBERS = ("open", "high", "low", "close", "volume")
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 class BarError(ValueError):
@@ -20,29 +21,41 @@ def check_columns(bars: DataFrame, required: tuple[str, ...] = BAR_COLUMNS) -> N
         raise BarError("missing required columns: " + ", ".join(missing))
 
 
-def _number(c: str) -> Column:
+def _number(c: str, kind: str) -> Column:
+    """A double (whole volumes stay whole). NaN is a missing value; infinity is a number."""
+    if c == "volume" and kind in WHOLE:
+        return F.col(c).cast("bigint")
     x = F.expr(f"try_cast(`{c}` as double)")
     return F.when(~F.isnan(x), x)
 
 
-def normalize(bars: DataFrame) -> DataFrame:
-    """Dates, tickers and numbers in their types; what does not parse becomes NULL. Extra columns are kept."""
-    check_columns(bars)
-    kind = dict(bars.dtypes)["date"]
-    date = F.to_timestamp_ntz(F.col("date").cast("string")) if kind in ("date", "timestamp", "timestamp_ntz") else F.expr("try_cast(`date` as timestamp_ntz)")
-    made = {"date": date, "ticker": F.col("ticker").cast("string"), **{c: _number(c) for c in NUMBERS}}
-    made["volume"] = F.expr("try_cast(try_cast(`volume` as double) as bigint)")
-    return bars.withColumns(made)
+def _date(kind: str) -> Column:
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.to_timestamp_ntz(F.col("date").cast("string"))
+    return F.expr("try_cast(`date` as timestamp_ntz)")
 
 
+def normalize(bars: DataFrame) -> DataFrame:
+    """Dates, tickers and numbers in their types; what does not parse becomes NULL. Extra columns are kept.
+
+    Volume is a bigint if it came as a whole number's type, else a double: nothing is cut off it.
+    """
+    check_columns(bars)
+    kinds = dict(bars.dtypes)
+    return bars.withColumns({"date": _date(kinds["date"]), "ticker": F.col("ticker").cast("string"), **{c: _number(c, kinds[c]) for c in NUMBERS}})
 
 
 def row_rules() -> list[tuple[str, Column]]:
+    """Rules of one row in the order in which they are reported. ``_raw`` holds the values as they came."""
     c = F.col
+    raw = lambda x: c("_raw")[x]
+    is_nan = lambda x: F.coalesce(F.isnan(F.expr(f"try_cast(_raw.`{x}` as double)")), F.lit(False))
     return [
-        ("missing_date", c("date").isNull()),
+        ("unreadable_date", c("date").isNull() & raw("date").isNotNull()),
+        ("missing_date", raw("date").isNull()),
         ("missing_ticker", c("ticker").isNull()),
-        *[(f"missing_{x}", c(x).isNull()) for x in NUMBERS],
+        *[(f"not_numeric_{x}", c(x).isNull() & raw(x).isNotNull() & ~is_nan(x)) for x in NUMBERS],
+        *[(f"missing_{x}", raw(x).isNull() | is_nan(x)) for x in NUMBERS],
         ("negative_volume", c("volume") < 0),
         ("high_below_low", c("high") < c("low")),
         ("open_outside", (c("open") < c("low")) | (c("open") > c("high"))),
@@ -52,18 +65,25 @@ def row_rules() -> list[tuple[str, Column]]:
 
 def violations(bars: DataFrame) -> DataFrame:
     """``date, ticker, rule``: one row for each rule that a row breaks; all rows of a duplicate key count."""
-    rows = normalize(bars).select(*BAR_COLUMNS)
+    check_columns(bars)
+    rows = normalize(bars.withColumn("_raw", F.struct(*BAR_COLUMNS))).select(*BAR_COLUMNS, "_raw")
     same_key = F.count(F.lit(1)).over(Window.partitionBy("date", "ticker")) > 1
     broken = F.array_compact(F.array(*[F.when(x, name) for name, x in row_rules()], F.when(F.col("_same"), "duplicate_key")))
     return rows.withColumn("_same", same_key).select("date", "ticker", F.explode(broken).alias("rule"))
 
 
 def validate_bars(bars: DataFrame) -> DataFrame:
-    """Normalized bars; raises for the first rule that is broken, with five examples in order of date and ticker."""
+    """Normalized bars; raises for the first rule that is broken, with five examples in order of date and ticker.
+
+    Missing numbers are one rule: the message names every column that lacks some.
+    """
     found = violations(bars)
-    counts = {r["rule"]: r["n"] for r in found.groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    counts = {r["rule"]: r["n"] for r in found.groupBy("rule").agg(F.count("*").alias("n")).collect()}  # a row per rule
+    lacking = [f"missing_{c}" for c in NUMBERS if f"missing_{c}" in counts]
     for rule in [name for name, _ in row_rules()] + ["duplicate_key"]:
         if rule in counts:
-            rows = found.where(F.col("rule") == rule).orderBy("date", "ticker").limit(5).collect()
-            raise BarError(f"{rule}: {counts[rule]} rows, such as " + "; ".join(f"{r['date']} {r['ticker']}" for r in rows))
+            names = lacking if rule in lacking else [rule]
+            rows = found.where(F.col("rule").isin(names)).select("date", "ticker").distinct().orderBy("date", "ticker").limit(5).collect()
+            what = ", ".join(f"{n}: {counts[n]} rows" for n in names)
+            raise BarError(f"{what}, such as " + "; ".join(f"{r['date']} {r['ticker']}" for r in rows))
     return normalize(bars)

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, models, splits
-from tidemark.operators.performance import equal_weight_returns, performance_summary
+from tidemark.operators.medians import prefix_medians
+from tidemark.operators.performance import equal_weight_returns, log_growth, performance_summary
+from tidemark.sources.staging import materialize
 
 SMOKE_FEATURES = ["price_momentum_1d", "price_momentum_3d", "price_volatility_3d", "volume_average_3d"]
 SMOKE_LABEL = "label_forward_return_3d_entry_lag_1d"
@@ -22,13 +24,18 @@ def smoke_summary(bars: DataFrame) -> DataFrame:
     frame = smoke_frame(bars)
     returns = equal_weight_returns(bars).select(F.lit("equal_weight").alias("series_id"), "date", "ret")
     counts = frame.agg(F.count("*").alias("row_count"), F.countDistinct("ticker").alias("ticker_count"), F.count(SMOKE_LABEL).alias("label_count"))
-    return performance_summary(returns).join(counts, F.lit(True))
+    return performance_summary(returns).drop("max_drawdown").join(log_growth(returns), "series_id").join(counts, F.lit(True))
 
 
 def complete_matrix(frame: DataFrame, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL, complete: bool = True) -> DataFrame:
-    """The feature matrix; with ``complete``, of rows that have every feature."""
+    """The feature matrix; with ``complete``, of rows that have every feature. Keys are checked.
+
+    It is written once: scaler, checks, models and evaluations all read it, and none builds the bars again.
+    """
     rows = frame.dropna(subset=columns) if complete else frame
-    return features.feature_matrix(rows, label, columns, check=False)
+    matrix = materialize(features.feature_matrix(rows, label, columns, check=False), "matrix")
+    features.check_keys(matrix)
+    return matrix
 
 
 def prepared(frame: DataFrame, train_end: str, validation_end: str, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL, strict: bool = True) -> DataFrame:
@@ -38,8 +45,10 @@ def prepared(frame: DataFrame, train_end: str, validation_end: str, columns: lis
 
 
 def baseline_modeling(frame: DataFrame, train_end: str, validation_end: str, method: str = "mean", label: str = SMOKE_LABEL, columns: list[str] = SMOKE_FEATURES) -> DataFrame:
+    """Errors of a constant over all rows, those with missing features or labels too."""
     split = splits.temporal_split(complete_matrix(frame, columns, label, complete=False), train_end, validation_end)
-    return models.evaluate(models.predict_constant(split, models.fit_constant(split, method), method))
+    predicted = models.check_bundle(models.predict_constant(split, models.fit_constant(split, method), method))
+    return models.check_evaluations(models.evaluate(predicted))
 
 
 def model_comparison(data: DataFrame, columns: list[str], method: str = "mean") -> DataFrame:
@@ -48,7 +57,8 @@ def model_comparison(data: DataFrame, columns: list[str], method: str = "mean")
     models.check_inputs(rows, columns)
     base = models.predict_constant(rows, models.fit_constant(rows, method), method)
     line = models.predict_ols(rows, models.fit_ols(rows, columns))
-    return models.compare(models.evaluate(base.unionByName(line)), "constant_baseline", "linear_regression", check=False)
+    evaluated = materialize(models.evaluate(models.check_bundle(base.unionByName(line))), "evaluations")
+    return models.compare(models.check_evaluations(evaluated), "constant_baseline", "linear_regression")
 
 
 def walk_forward_supervised(matrix: DataFrame, columns: list[str], train: int, validation: int, test: int, step: int | None = None, most: int | None = None, count: int | None = None) -> DataFrame:
@@ -71,10 +81,9 @@ def walk_forward_baseline(matrix: DataFrame, train: int, validation: int, test:
     n = splits.n_windows(count, train, validation, test, step, most)
     if method == "mean":
         fitted = splits.train_prefix_stats(matrix, [], n, train, step).select("window", F.col("label_mean").alias("prediction"))
-    else:  # an exact median is no sum of parts: labels of all windows' train rows, windows times rows
-        windows = splits.walk_forward_windows(matrix.sparkSession, count, train, validation, test, step, most)
-        labels = matrix.where("y is not null").select("pos", "y")
-        fitted = labels.join(windows, labels["pos"] <= windows["train_end"]).groupBy("window").agg(F.median("y").alias("prediction"))
+    else:
+        medians = prefix_medians(matrix.select(splits.first_window(train, step).alias("window"), "y"), n)
+        fitted = matrix.sparkSession.createDataFrame([(k, medians.get(k)) for k in range(n)], "window long, prediction double")
     held = splits.assign_windows(matrix, n, train, validation, test, step).where("y is not null").join(fitted, "window")
     e = F.col("prediction") - F.col("y")
     errors = held.groupBy("window", "split").agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_error"))

@@ -43,7 +43,7 @@ def bar_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bars_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = trade_bars(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in ("date", "ticker", "open", "high", "low", "close", "volume")])
-    return normalize(texts).select("ticker", F.col("date").cast("date").alias("date"), "open", "high", "low", "close", "volume")
+    return normalize(texts).select("ticker", F.col("date").cast("date").alias("date"), "open", "high", "low", "close", F.col("volume").cast("bigint").alias("volume"))
 
 
 def _featured(bars: DataFrame) -> DataFrame:
@@ -57,9 +57,9 @@ def price_volume_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Momentum over a price of zero is infinite."""
     df = features.add_price_volume_features(event_bars(spark, sf_dir), (1, 5), (3,), (5,))
-    text = F.when(F.abs("price_momentum_1d") < float("inf"), F.col("price_momentum_1d"))
-    return _keys(df.withColumn("price_momentum_1d", text), "price_momentum_1d", "price_volatility_3d", "volume_average_5d")
+    return _keys(df, "price_momentum_1d", "price_volatility_3d", "volume_average_5d")
 
 
 def technical_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(_matrix(spark, sf_dir), TRAIN_END, VALIDATION_END, strict=False)
+    return splits.temporal_split(_matrix(spark, sf_dir), TRAIN_END, VALIDATION_END)
 
 
 def feature_matrix_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,21 @@ def supervised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)
     both = [models.predict_constant(split, models.fit_constant(split, m), m, f"baseline_{m}") for m in ("mean", "median")]
-    return _rounded(models.evaluate(both[0].unionByName(both[1])))
+    return _rounded(models.evaluate(models.check_bundle(both[0].unionByName(both[1]))))
+
+
+def baseline_modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean baseline over all rows, those without features too."""
+    return _rounded(pipelines.baseline_modeling(_featured(trade_bars(spark, sf_dir)), TRAIN_END, VALIDATION_END, label=LABEL, columns=PAIR))
+
+
+def labels_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the mean label, evaluated against labels of a table of their own, found by position."""
+    split = _split(spark, sf_dir)
+    labels = split.select("pos", "y")
+    rows = splits.join_labels(split, labels)
+    predicted = models.predict_constant(rows, models.fit_constant(rows), "mean")
+    return _rounded(models.check_evaluations(models.evaluate(models.with_actuals(predicted, labels))))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +148,7 @@ def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ols_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _prepared(spark, sf_dir)
+    models.check_inputs(data, PAIR)
     return _rounded(models.evaluate(models.predict_ols(data, models.fit_ols(data, PAIR))))
 
 
@@ -143,7 +158,8 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gbt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _prepared(spark, sf_dir)
-    model = models.fit_boosted(data, PAIR, n_estimators=5, num_leaves=8)
+    models.check_inputs(data, PAIR)
+    model = models.fit_boosted(data, PAIR)
     return _rounded(models.evaluate(models.predict_boosted(data, PAIR, model)))
 
 
@@ -164,8 +180,8 @@ def drawdown_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smoke_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without growth and drawdown, which thousands of days of such bars take beyond a double."""
-    return _rounded(pipelines.smoke_summary(trade_bars(spark, sf_dir)).drop("total_return", "cagr", "max_drawdown"), 5)
+    """All five measures; growth as logarithms, as thousands of days of such bars take it beyond a double."""
+    return _rounded(pipelines.smoke_summary(trade_bars(spark, sf_dir)).drop("total_return", "cagr"), 5)
 
 
 def walk_forward_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +190,25 @@ def walk_forward_supervised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(pipelines.walk_forward_supervised(matrix, PAIR, *_sizes(count), count=count))
 
 
+def walk_forward_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation and test rows of each window, scaled by its own train statistics."""
+    matrix = _matrix(spark, sf_dir)
+    count = matrix.count()
+    train, validation, test, step = _sizes(count)
+    n = splits.n_windows(count, train, validation, test, step)
+    stats = splits.train_prefix_stats(matrix, PAIR, n, train, step)
+    rows = splits.scale_by_window(splits.assign_windows(matrix, n, train, validation, test, step), stats, PAIR)
+    return _rounded(rows.select("window", "split", "pos", *PAIR, "y"))
+
+
+def walk_forward_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = _matrix(spark, sf_dir)
+    count = matrix.count()
+    train, validation, test, step = _sizes(count)
+    n = splits.n_windows(count, train, validation, test, step)
+    return splits.window_dates(splits.assign_windows(matrix, n, train, validation, test, step))
+
+
 def _walk_forward(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         matrix = _matrix(spark, sf_dir)
@@ -189,7 +224,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         price_volume_features, bar_violations, bars_normalized, event_features, technical_indicators, forward_return_label, feature_matrix_positions,
         temporal_split_summary, walk_forward_plan, scaler_params, scaled_features, scaled_train_stats, supervised_counts, baseline_eval,
         ols_coefficients, ols_eval, model_comparison, gbt_eval, daily_equal_weight_return, ticker_coverage, performance_summary, drawdown_curve,
-        smoke_summary, walk_forward_supervised,
+        smoke_summary, walk_forward_supervised, walk_forward_scaled, walk_forward_dates, baseline_modeling, labels_by_position,
     )
 } | {f"walk_forward_baseline_{m}": _walk_forward(m) for m in ("mean", "median")}
 
@@ -213,6 +248,11 @@ def _full(x: str, n: int, f: str) -> str:
     return f"CASE WHEN count({x}) OVER {frame} >= {n} THEN {f}({x}) OVER {frame} END"
 
 
+def _over(a: str, b: str) -> str:
+    """a / b; a signed infinity over zero, nothing for zero by zero."""
+    return f"CASE WHEN {b} = 0 THEN CASE WHEN {a} > 0 THEN CAST('infinity' AS DOUBLE) WHEN {a} < 0 THEN CAST('-infinity' AS DOUBLE) END ELSE {a} / {b} END"
+
+
 def _mom(n: int) -> str:
     return f'"close" / nullif(lag("close", {n}) OVER ({_W}), 0) - 1'
 
@@ -264,8 +304,8 @@ ORACLES: dict[str, str] = {
     "price_volume_features": f"WITH {_BARS}, {_RET} SELECT ticker, date, "
     + ", ".join([_r(_mom(n), f"price_momentum_{n}d") for n in (5, 20, 60)] + [_r(_full("r", n, "stddev_pop"), f"price_volatility_{n}d") for n in (10, 20)] + [_r(_full("volume", n, "avg"), f"volume_average_{n}d") for n in (5, 20)])
     + " FROM ret",
-    "event_features": f"""WITH bars AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, last(value ORDER BY ts, value) AS "close", count(*) AS volume FROM events GROUP BY 1, 2), {_RET}
-SELECT ticker, date, {_r("r", "price_momentum_1d")}, {_r(_full("r", 3, "stddev_pop"), "price_volatility_3d")}, {_r(_full("volume", 5, "avg"), "volume_average_5d")} FROM ret""",
+    "event_features": f"""WITH bars AS (SELECT CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, last(value ORDER BY ts, value) AS "close", count(*) AS volume FROM events GROUP BY 1, 2), {_RET}, pre AS (SELECT *, lag("close") OVER ({_W}) AS b FROM ret)
+SELECT ticker, date, {_r(_over('"close"', "b") + " - 1", "price_momentum_1d")}, {_r(_full("r", 3, "stddev_pop"), "price_volatility_3d")}, {_r(_full("volume", 5, "avg"), "volume_average_5d")} FROM pre""",
     "technical_indicators": f"""WITH {_BARS}, mv AS (SELECT *, "close" - lag("close") OVER ({_W}) AS d FROM bars),
 gl AS (SELECT *, CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0.0 END AS g, CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0.0 END AS l,
   list("close") OVER ({_W} ROWS BETWEEN 235 PRECEDING AND CURRENT ROW) AS past, row_number() OVER ({_W}) AS k FROM mv),
@@ -313,9 +353,21 @@ SELECT "window", n_train, n_labels, {_r("label_mean", "label_mean")}, {_r("am",
     "smoke_summary": f"""WITH {_BARS}, one AS (SELECT *, {_mom(1)} AS r, lead("close", 3) OVER ({_W}) / nullif(lead("close", 1) OVER ({_W}), 0) - 1 AS y FROM bars),
 c AS (SELECT count(*) AS row_count, count(DISTINCT ticker) AS ticker_count, count(y) AS label_count FROM one),
 d AS (SELECT date, avg(r) AS ret FROM one GROUP BY date HAVING avg(r) IS NOT NULL),
-st AS (SELECT count(*) AS n, stddev_pop(ret) AS sd, avg(ret) AS mn FROM d)
-SELECT 'equal_weight' AS series_id, n, {_r("sd * sqrt(252)", "annual_volatility", 5)}, {_r("mn / sd * sqrt(252)", "sharpe_ratio", 5)}, row_count, ticker_count, label_count
+eq AS (SELECT *, sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM d),
+pk AS (SELECT *, max(e) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS top FROM eq),
+st AS (SELECT count(*) AS n, stddev_pop(ret) AS sd, avg(ret) AS mn, sum(ln(1 + ret)) / ln(10) AS g, min(exp(e - top) - 1) AS mdd FROM pk)
+SELECT 'equal_weight' AS series_id, n, {_r("g", "log10_growth", 5)}, {_r("g * 252 / n", "log10_annual_growth", 5)}, {_r("mdd", "max_drawdown", 5)}, {_r("sd * sqrt(252)", "annual_volatility", 5)}, {_r("mn / sd * sqrt(252)", "sharpe_ratio", 5)}, row_count, ticker_count, label_count
 FROM st, c""",
+    "walk_forward_scaled": f"""WITH {_MATRIX}, {_WF},
+tr AS (SELECT "window", avg(m5) AS am, stddev_pop(m5) AS sm, avg(v10) AS av, stddev_pop(v10) AS sv FROM win JOIN mat ON pos < e GROUP BY 1)
+SELECT "window", CASE WHEN pos < e + va THEN 'validation' ELSE 'test' END AS split, pos, {_r("(m5 - am) / sm", PAIR[0])}, {_r("(v10 - av) / sv", PAIR[1])}, {_r("y", "y")}
+FROM win JOIN mat ON pos >= e AND pos < e + va + te JOIN tr USING ("window")""",
+    "walk_forward_dates": f"""WITH {_MATRIX}, {_WF}
+SELECT "window", CASE WHEN pos < e + va THEN 'validation' ELSE 'test' END AS split, count(*) AS n, min(date) AS first_date, max(date) AS last_date
+FROM win JOIN mat ON pos >= e AND pos < e + va + te GROUP BY 1, 2""",
+    "baseline_modeling": f"""WITH {_BARS}, {_RET}, {_FEAT}, spl AS (SELECT y, CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train' WHEN date <= DATE '{VALIDATION_END}' THEN 'validation' ELSE 'test' END AS split FROM feat)
+SELECT 'constant_baseline' AS model_name, 'mean' AS method, split, {_EVAL} FROM spl, (SELECT avg(y) AS p FROM spl WHERE split = 'train') GROUP BY split""",
+    "labels_by_position": f"WITH {_SPLIT} SELECT 'constant_baseline' AS model_name, 'mean' AS method, split, {_EVAL} FROM spl, (SELECT avg(y) AS p FROM spl WHERE split = 'train') GROUP BY split",
     "walk_forward_baseline_mean": _walk_sql("avg"),
     "walk_forward_baseline_median": _walk_sql("median"),
 }
