@@ -93,6 +93,7 @@ def parse(page: str) -> list[Node]:
     """
     root = Node("html", None)
     nodes, stack = [root], [root]
+    open_tags: dict[str, int] = {}  # how many of each are on the stack, so that it is searched only for what it has
     pieces: list[str] = []
     linked = in_link = 0
     at, n = 0, len(page)
@@ -113,6 +114,8 @@ def parse(page: str) -> list[Node]:
         nonlocal in_link
         flush()
         in_link = 0
+        for node in stack[depth:]:
+            open_tags[node.tag] -= 1
         del stack[depth:]
 
     while at < n:
@@ -137,7 +140,7 @@ def parse(page: str) -> list[Node]:
                 in_link = 0 if closing else 1
             continue
         if closing:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if open_tags.get(tag) else ():
                 if stack[depth].tag == tag:
                     close_to(depth)
                     break
@@ -146,14 +149,14 @@ def parse(page: str) -> list[Node]:
             if tag == "hr":
                 flush()
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and open_tags.get("p"):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == "p":
                     close_to(depth)
                     break
                 if stack[depth].tag in ("td", "th", "table", "button"):
                     break
-        if tag in SIBLINGS:
+        if any(map(open_tags.get, SIBLINGS.get(tag, ()))):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag in SIBLINGS_WITHIN[tag]:
                     break
@@ -172,8 +175,9 @@ def parse(page: str) -> list[Node]:
         if tag in RAW:
             over = re.compile(rf"</{tag}[\s/>]", re.I).search(page, at)
             at = over.start() if over else n
-        if len(stack) < 400 and not found[0].endswith("/>"):
+        if not found[0].endswith("/>"):
             stack.append(node)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
     flush()
     _measure(nodes)
     return nodes

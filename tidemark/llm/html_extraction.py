@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import dom
 from tidemark.llm.common import bounded_ids, materialize, slices, table
 
-#: Bounds on training: pages sampled, code points of each, layouts made of each.
-MAX_PAGES, MAX_CHARS, LAYOUTS = 240, 20_000, 6
+#: Bounds on training: pages sampled (whole ones, of any length), layouts made of each, nodes of each
+#: page and layout that are learnt from (drawn from all over it).
+MAX_PAGES, LAYOUTS, MAX_NODES = 240, 6, 400
 TREES, DEPTH = 20, 5
 #: Log odds that leaving a node out of the main text costs if the node above it is in.
 CUT = 2.0
@@ -206,7 +207,7 @@ def _laid_out(title: str, paragraphs: list[str], links: list[str], asides: list[
     return f"<html><head><title>{title}</title></head><body>{whole}</body></html>"
 
 
-def _training_rows(page: str, seed: int) -> list[tuple[list[float], float, float]]:
+def _training_rows(page: str, seed: int) -> list[tuple[list[float], float]]:
     rng = random.Random(seed)
     nodes = dom.parse(page)
     if not _truth_of_landmarks(nodes):
@@ -226,9 +227,8 @@ def _training_rows(page: str, seed: int) -> list[tuple[list[float], float, float
         pages.append(made)
     rows = []
     for nodes in pages:
-        for row, y in zip(dom.features(nodes), _labels(nodes), strict=True):
-            if row:
-                rows.append((row, y, 1.0))
+        own = [(row, y) for row, y in zip(dom.features(nodes), _labels(nodes), strict=True) if row]
+        rows += own if len(own) <= MAX_NODES else rng.sample(own, MAX_NODES)
     return rows
 
 
@@ -241,28 +241,22 @@ def fit_trees(pages: DataFrame, max_pages: int = MAX_PAGES) -> Trees | None:
     # Wanted ids are max_pages at most.
     sample = (
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-        .where(F.length("html") <= MAX_CHARS)
+        .where(F.length("html") > 0)
         .join(F.broadcast(wanted), "page_id")
-        .dropDuplicates(["page_id"])
-    )
+        .groupBy("page_id").agg(F.min("html").alias("html"))
+    )
 
     def rows_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (int(i), k, row, y)
-                for i, page in zip(batch["page_id"], batch["html"], strict=True)
-                for k, (row, y, _) in enumerate(_training_rows(page, int(i)))
-            ]
-            yield pd.DataFrame(rows, columns=["page_id", "k", "row", "label"])
-
-    gathered = sample.mapInPandas(rows_of, "page_id long, k long, row array<double>, label double").collect()
-    gathered.sort(key=lambda r: (r["page_id"], r["k"]))
-    if len({r["label"] for r in gathered}) < 2:
+            for i, page in zip(batch["page_id"], batch["html"], strict=True):
+                rows = [(int(i), k, row, y) for k, (row, y) in enumerate(_training_rows(page, int(i)))]
+                yield pd.DataFrame(rows, columns=["page_id", "k", "row", "label"])
+
+    gathered = materialize(sample.mapInPandas(rows_of, "page_id long, k long, row array<double>, label double"), "nodes")
+    if gathered.select("label").distinct().count() < 2:
         return None
-    train = pages.sparkSession.createDataFrame([(r["row"], r["label"]) for r in gathered], "row array<double>, label double")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.25, minInstancesPerNode=8, seed=7).fit(
-        train.repartition(4).select(array_to_vector("row").alias("features"), "label").cache()
-    )
+    train = gathered.repartition(4, "page_id").sortWithinPartitions("page_id", "k").select(array_to_vector("row").alias("features"), "label")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.25, minInstancesPerNode=8, seed=7).fit(train)
     return read_trees(model.toDebugString, list(model.treeWeights))
 
 
@@ -314,6 +308,7 @@ def extract(pages: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     * Null or empty html, or a page without main text: the empty text.
     * Character references are decoded, white space in a block becomes one space, blocks are joined
       in page order by two line feeds. Scripts, styles, markup and form controls never give text.
+    * A page of any length and depth is read as a whole. Several training pages of one page_id: the smallest counts.
     * If no sampled page has landmarks to train on, landmarks and names alone decide.
     * One row per row, repeated ones too; nulls in page_id and url stay. Other columns are not read.
     """

@@ -5,6 +5,10 @@ the work is one grouped map over lengths (texts stay where they are). Within a s
 in decreasing length to the open bin that they leave least room in. If none has room, a bin of
 the permitted length with the least cost per token is opened, given what remains to be packed.
 At the end every bin shrinks to the smallest permitted length that holds its contents.
+
+A sequence costs something of its own, its length, and a part that grows with the length's square
+(attention). So neither the longest nor the shortest length is always best: long ones waste less
+on pieces that hardly fit and are needed by long documents, short ones are cheaper to attend over.
 """
 
 from __future__ import annotations
@@ -16,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, table
-from tidemark.llm.sentence_pieces import count_column
+from tidemark.llm.common import WORD, materialize, table
+from tidemark.llm.wordpiece import count_column
 
-#: Permitted sequence lengths, and what a sequence costs beside its tokens.
+#: Permitted sequence lengths; what a sequence costs beside its length, and the length at which attention costs as much as the rest.
 LENGTHS = (512, 1024, 2048, 4096)
-SEQUENCE_OVERHEAD = 48
+SEQUENCE_OVERHEAD, EVEN_LENGTH = 48, 16_384
 #: Pieces that a shard holds on average.
 SHARD_PIECES = 2_000
 
@@ -31,7 +35,7 @@ PACKED_SCHEMA = (
 
 
 def default_cost(capacity: int) -> float:
-    return float(capacity + SEQUENCE_OVERHEAD)
+    return SEQUENCE_OVERHEAD + capacity + capacity * capacity / EVEN_LENGTH
 
 
 def best_fit(
@@ -73,6 +77,7 @@ def pack(
     * A sequence is (shard, bin); pieces lie in it from bin_start on without gaps or overlap.
     * Ties in length go by doc_id, then piece; rows that share a doc_id are packed one by one. A
       null doc_id is packed and stays null. An empty table gives an empty result.
+    * A text of any length is counted as a whole.
     * More rows of one doc_id and text than a shard should hold are dealt over all shards.
     * Only doc_id and text are read.
     """
@@ -87,9 +92,8 @@ def pack(
         F.monotonically_increasing_id().alias("row"),
     )
     n_shards = max(1, -(-docs.count() // shard_pieces))
-    # At most rows / shard_pieces hashes.
     many = docs.select(hashed).groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") > shard_pieces).select("h", F.lit(True).alias("many"))
-    measured = measured.join(F.broadcast(many), "h", "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "row")).otherwise(F.col("h")))
+    measured = measured.join(materialize(many, "many"), "h", "left").withColumn("h", F.when(F.col("many"), F.xxhash64("h", "row")).otherwise(F.col("h")))
     pieces = measured.select(
         "doc_id",
         F.pmod("h", F.lit(n_shards)).alias("shard"),

@@ -93,6 +93,35 @@ class LongestMatch:
 _built: dict[int, Remembered] = {}
 
 
+def _known_words(vocabulary: tuple[list[str], list[str]]) -> Remembered:
+    """Pieces of words as bytes of UTF-8, by an automaton that a worker builds once."""
+    known = _built.get(id(vocabulary))
+    if known is None:
+        _built.clear()
+        automaton = LongestMatch(*vocabulary)
+        known = _built[id(vocabulary)] = Remembered(lambda word: automaton.count(word.decode("utf-8", "surrogatepass")))
+        known.vocabulary = vocabulary  # kept, so that its id stays its own
+    return known
+
+
+def _count(text: str | None, known: Remembered) -> tuple[int, int, int]:
+    found = list(map(known.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
+    unknown = found.count(0)
+    return len(found), sum(found) + unknown, unknown
+
+
+def count_column(spark: SparkSession, vocabulary: str = VOCABULARY):
+    """A column function from a text to its number of tokens, as ``token_counts`` has it."""
+    pieces = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        known = _known_words(pieces.value)
+        return pd.Series([_count(t, known)[1] for t in texts], dtype="int64")
+
+    return counted
+
+
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, n_words, n_tokens, n_unknown``.
 
@@ -106,19 +135,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     pieces = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        value = pieces.value
-        known = _built.get(id(value))
-        if known is None:
-            _built.clear()
-            automaton = LongestMatch(*value)
-            known = _built[id(value)] = Remembered(lambda word: automaton.count(word.decode("utf-8", "surrogatepass")))
-            known.vocabulary = value  # kept, so that its id stays its own
+        known = _known_words(pieces.value)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                found = list(map(known.__getitem__, (text or "").encode("utf-8", "surrogatepass").split()))
-                unknown = found.count(0)
-                rows.append((len(found), sum(found) + unknown, unknown))
+            rows = [_count(text, known) for text in batch["text"]]
             counted = pd.DataFrame(rows, columns=["n_words", "n_tokens", "n_unknown"], dtype="int64")
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), counted], axis=1)
 
