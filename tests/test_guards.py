@@ -4,6 +4,7 @@ import datetime as dt
 import random
 import statistics
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,15 @@ def test_baseline_modeling_by_hand(spark):
     got = pipelines.baseline_modeling(pipelines.smoke_frame(sample_bars(spark)), "2026-01-07", "2026-01-12", "median").collect()
     assert {r["split"]: r["row_count"] for r in got} == {"train": 8, "validation": 6, "test": 10}
     assert all(r["prediction_mean"] == pytest.approx(0.02337506967450309) for r in got)
+
+
+def test_ema_over_missing_prices(spark):
+    """Against pandas, which lets weights decay over missing values; both default spans."""
+    rng = random.Random(6)
+    prices = [None if rng.random() < 0.2 else rng.uniform(5, 20) for _ in range(700)]
+    rows = [(DAY + dt.timedelta(days=i), "A", p, 1.0) for i, p in enumerate(prices)]
+    frame = spark.createDataFrame(rows, "date timestamp_ntz, ticker string, close double, volume double")
+    got = features.add_technical_indicators(frame).orderBy("date").toPandas()
+    for span in (12, 26):
+        want = pd.Series(prices, dtype="float64").ewm(span=span, adjust=False, min_periods=span).mean()
+        pd.testing.assert_series_equal(got[f"ema_{span}d"], want, check_names=False, rtol=1e-12)

@@ -52,14 +52,25 @@ def volatility(returns: Column, n: int) -> Column:
 
 
 def ema(x: Column, span: int) -> Column:
-    """Exponential mean, missing before row ``span``.
+    """Exponential mean, missing before ``span`` values are there.
 
-    A fold over a bounded buffer: what lies further back weighs less than 1e-17 of the result.
+    A fold over a bounded buffer: what lies further back weighs less than 1e-17 of the result. At a
+    missing value the mean stays as it is, and what is before it has decayed by a step more at the next value.
     """
     a = 2.0 / (span + 1)
     reach = 0 if a >= 1 else math.ceil(math.log(1e-17) / math.log(1 - a))
-    past = F.collect_list(x).over(by_ticker().rowsBetween(-reach, 0))
-    folded = F.aggregate(F.slice(past, 2, reach + 1), F.element_at(past, 1), lambda e, v: e * (1 - a) + v * a)
+    frame = by_ticker().rowsBetween(-reach, 0)
+    past = F.collect_list(F.struct(x.alias("x"))).over(frame)["x"]
+    whole = F.aggregate(F.slice(past, 2, reach + 1), F.element_at(past, 1), lambda e, v: e * (1 - a) + v * a)
+    state = lambda e, w: F.struct(e.cast("double").alias("e"), w.alias("w"))
+    old = lambda s: s["w"] * (1 - a)
+    gapped = F.aggregate(
+        past, state(F.lit(None), F.lit(1.0)),
+        lambda s, v: F.when(s["e"].isNull(), state(v, F.lit(1.0))).when(v.isNull(), state(s["e"], old(s)))
+        .otherwise(state((old(s) * s["e"] + a * v) / (old(s) + a), F.lit(1.0))),
+        lambda s: s["e"],
+    )
+    folded = F.when(F.count(x).over(frame) == F.count(F.lit(1)).over(frame), whole).otherwise(gapped)
     return F.when(F.count(x).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) >= span, folded)
 
 

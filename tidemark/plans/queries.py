@@ -67,6 +67,11 @@ def technical_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(df, "sma_5d", "sma_20d", "sma_60d", "ema_12d", "rsi_14d")
 
 
+def ema_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slower of the two default spans."""
+    return _keys(features.add_technical_indicators(trade_bars(spark, sf_dir), (5,), (26,), (14,)), "ema_26d")
+
+
 def forward_return_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(features.add_forward_return_label(trade_bars(spark, sf_dir), 20, 1), LABEL)
 
@@ -221,7 +226,7 @@ def _walk_forward(method: str) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        price_volume_features, bar_violations, bars_normalized, event_features, technical_indicators, forward_return_label, feature_matrix_positions,
+        price_volume_features, bar_violations, bars_normalized, event_features, technical_indicators, ema_slow, forward_return_label, feature_matrix_positions,
         temporal_split_summary, walk_forward_plan, scaler_params, scaled_features, scaled_train_stats, supervised_counts, baseline_eval,
         ols_coefficients, ols_eval, model_comparison, gbt_eval, daily_equal_weight_return, ticker_coverage, performance_summary, drawdown_curve,
         smoke_summary, walk_forward_supervised, walk_forward_scaled, walk_forward_dates, baseline_modeling, labels_by_position,
@@ -313,6 +318,8 @@ av AS (SELECT *, {_full("g", 14, "avg")} AS ug, {_full("l", 14, "avg")} AS ul FR
 SELECT ticker, date, {_r(_full('"close"', 5, "avg"), "sma_5d")}, {_r(_full('"close"', 20, "avg"), "sma_20d")}, {_r(_full('"close"', 60, "avg"), "sma_60d")},
   {_r("CASE WHEN k >= 12 THEN list_reduce(past, lambda acc, x: acc * (1 - 2.0 / 13) + x * (2.0 / 13)) END", "ema_12d")},
   {_r("CASE WHEN ul = 0 AND ug = 0 THEN 50.0 WHEN ul = 0 THEN 100.0 ELSE 100 - 100 / (1 + ug / ul) END", "rsi_14d")} FROM av""",
+    "ema_slow": f"""WITH {_BARS}, past AS (SELECT ticker, date, list("close") OVER ({_W} ROWS BETWEEN 509 PRECEDING AND CURRENT ROW) AS past, row_number() OVER ({_W}) AS k FROM bars)
+SELECT ticker, date, {_r("CASE WHEN k >= 26 THEN list_reduce(past, lambda acc, x: acc * (1 - 2.0 / 27) + x * (2.0 / 27)) END", "ema_26d")} FROM past""",
     "forward_return_label": f"WITH {_BARS} SELECT ticker, date, {_r(_LAB, LABEL)} FROM bars",
     "bars_normalized": f'WITH {_BARS} SELECT ticker, date, "open", high, low, "close", volume FROM bars',
     "bar_violations": f"""WITH {_BARS}, m AS (SELECT *, (CAST(ticker AS INT) + dayofyear(date)) % 97 AS m FROM bars),
