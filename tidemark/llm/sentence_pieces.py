@@ -154,7 +154,7 @@ class Encoder:
         made = [p for p in model.pieces if edges[p] is not None]
         self.edges = [edges[p] for p in made]
         self.ids = [model.pieces[p][0] for p in made]
-        self.scores = [model.pieces[p][1] for p in made]
+        self.scores = [model.pieces[p][1] for p in made]  # of equal sums the one with the longest last piece counts
         self.lengths = [*map(len, made), 1]
         self.other = len(made)  # the number of a character that no piece holds
         self.longest = max(self.lengths)
@@ -259,7 +259,7 @@ class Encoder:
                 best, alone = None, False
                 for size, number in ends[state]:
                     alone = alone or size == 1
-                    if end >= size and (best is None or total[end - size] + scores[number] >= best):
+                    if end >= size and (best is None or total[end - size] + scores[number] > best):
                         best, way = total[end - size] + scores[number], number
                 if not alone and (best is None or total[end - 1] + lowest > best):
                     best, way = total[end - 1] + lowest, other
