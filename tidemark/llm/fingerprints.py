@@ -36,10 +36,11 @@ MOST_FOLDED = 64
 #: A digest: a check of 16 bits, and above it 36 bits of hash, of which each table looks at 12.
 CHECK_BITS, TABLE_BITS = 16, 12
 HASH_BITS = TABLES * TABLE_BITS
-#: Lines of more code points are cut where their own characters say: after sentences, between some
-#: words, and within what has no spaces.
-LONG_LINE = 160
-CUT = r"(?<=[.!?] )(?=[A-D])|(?<=[\u3002\uff01\uff1f])|(?<=[ns] )(?=[cd])|(?<=[0-3])(?=[A-H])"
+#: Lines of more code points are cut where their own characters say: between some sentences, and what is
+#: longer still after about one word in CUT_EVERY and after what is no word but a long run without spaces.
+LONG_LINE, CUT_EVERY, LONG_WORD = 200, 64, 40
+CUT = r"(?<=[.!?] )(?=[A-D])"
+WORD_END = r"(?<= )|(?<=[\u3002\uff01\uff1f])|(?<=[0-3])(?=[A-H])"
 
 _CHECK = (1 << CHECK_BITS) - 1
 
@@ -66,10 +67,22 @@ def _check(hashed: Column) -> Column:
     return F.xxhash64(hashed).bitwiseAND(_long(_CHECK))
 
 
+def _parts(lines: Column, cut: Callable[[Column], Column]) -> Column:
+    """``lines``, the long ones of them cut."""
+    return F.flatten(F.transform(lines, lambda x: F.when(F.char_length(x) > LONG_LINE, cut(x)).otherwise(F.array(x))))
+
+
+def _by_words(line: Column) -> Column:
+    """A line cut after words whose hash says so, and after very long ones."""
+    ends = lambda w: (F.pmod(F.xxhash64(w), F.lit(CUT_EVERY)) == 0) | (F.char_length(w) > LONG_WORD)
+    marked = F.transform(F.split(line, WORD_END), lambda w: F.when(ends(w), F.concat(w, F.lit("\n"))).otherwise(w))
+    return F.split(F.array_join(marked, ""), "\n")
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs, blank ones left out."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.when(F.char_length(x) > LONG_LINE, F.split(x, CUT)).otherwise(F.array(x)))
-    found = F.filter(F.flatten(lines), lambda x: F.btrim(x) != "")
+    parts = _parts(_parts(F.split(text, "\n"), lambda x: F.split(x, CUT)), _by_words)
+    found = F.filter(parts, lambda x: F.btrim(x) != "")
     hashed = F.transform(found, lambda x: F.greatest(_long(1), F.xxhash64(x).bitwiseAND(_long((1 << HASH_BITS) - 1))))
     return F.transform(F.array_distinct(hashed), lambda h: F.shiftleft(h, CHECK_BITS).bitwiseOR(_check(h)))
 

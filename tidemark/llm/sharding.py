@@ -162,23 +162,25 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> Da
 
 def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int, n_shards: int) -> DataFrame:
     """Positions 0 to total - 1 by label, cluster and group, from counts of small buckets; shards cut them."""
-    marked = nodes.join(labels, "g", "left").select(
-        "g",
-        F.coalesce("label", F.lit(n_shards)).alias("label"),
-        F.coalesce("cluster", "g").alias("cluster"),
-        # Hot groups, HOT_SHARE at most, are buckets of their own, and several by doc_id if need be.
-        F.when(F.col("w") * HOT_SHARE > total, F.col("g")).alias("hot"),
-        F.greatest(F.lit(1), F.ceil(F.col("w") * (4 * HOT_SHARE) / max(1, total))).alias("salts"),
-    )
+    marked = nodes.join(labels, "g", "left").select("g", "w", F.coalesce("label", F.lit(n_shards)).alias("label"), F.coalesce("cluster", "g").alias("cluster"))
+    # Hot groups and clusters, HOT_SHARE of each at most, are buckets of their own, and several if need be.
+    heavy = materialize(marked.groupBy("cluster").agg(F.sum("w").alias("weight")).where(F.col("weight") * HOT_SHARE > total), "heavy")
+    salts = lambda w: F.greatest(F.lit(1), F.ceil(F.col(w) * (4 * HOT_SHARE) / max(1, total)))
+    hot = F.col("w") * HOT_SHARE > total
+    marked = marked.join(F.broadcast(heavy), "cluster", "left").select(
+        "g", "label", "cluster",
+        F.when(hot, F.col("g")).when(F.col("weight").isNotNull(), F.col("cluster")).otherwise(0).alias("hot"),
+        F.when(hot, salts("w")).alias("by_doc"), F.when(~hot, salts("weight")).alias("by_group"),
+    )
+    by_doc, by_group = F.pmod(F.xxhash64("doc_id", "size"), F.col("by_doc")), F.pmod(F.xxhash64(F.lit(6), "g"), F.col("by_group"))
     placed = base.join(marked, "g").select(
-        "doc_id", "size", "text_crc32", "g", "label", "cluster", F.coalesce("hot", F.lit(0)).alias("hot"),
-        F.when(F.col("hot").isNull(), F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(PREFIXES)))
-        .otherwise(F.pmod(F.xxhash64("doc_id", "size"), F.col("salts"))).alias("part"),
+        "doc_id", "size", "text_crc32", "g", "label", "cluster", "hot",
+        F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(PREFIXES)).alias("region"), F.coalesce(by_doc, by_group, F.lit(0)).alias("part"),
     )
     placed = materialize(placed, "placed")
-    key = ["label", "hot", "part"]
+    key = ["label", "region", "hot", "part"]
     counts = placed.groupBy(*key).agg(F.count("*").alias("n"))
-    # At most n_shards * PREFIXES + 5 * HOT_SHARE buckets, however many rows: one task may sum them up.
+    # At most n_shards * PREFIXES + 10 * HOT_SHARE buckets and some of their labels, however many rows: one task may sum them up.
     before = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     within = Window.partitionBy(*key).orderBy("cluster", "g", F.xxhash64("doc_id"), "doc_id", "text_crc32")
