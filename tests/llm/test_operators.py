@@ -255,7 +255,7 @@ def test_classifier_held_out():
 
 def test_classifier_stage_learns_from_the_whole_table(spark, tmp_path):
     """Bad documents that pass the rules go, though none of those that the model could learn from passed."""
-    import corpus_pipeline
+    from tidemark.llm import pipeline as corpus_pipeline
 
     rng = random.Random(8)
     spam = ["".join(rng.choice("qwxzvjkpfy") for _ in range(6)) for _ in range(80)]
@@ -645,7 +645,7 @@ def test_slices_and_memory_bounds():
 
 
 def test_pipeline(spark):
-    import corpus_pipeline
+    from tidemark.llm import pipeline as corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     if not Path(sf).exists():
@@ -662,7 +662,7 @@ def test_pipeline(spark):
 
 def test_pipeline_stages_on_odd_tables(spark, docs, empty, labels, tmp_path):
     """Null, empty, repeated and very long rows, clashing names and empty tables go through every stage; each against what it stands for."""
-    import corpus_pipeline
+    from tidemark.llm import pipeline as corpus_pipeline
 
     odd = docs.selectExpr("*", "'a' as _id", "'b' as _rules", "'c' as _score", "'d' as _node")
     for name, table in (("whole", odd), ("none", odd.limit(0))):
