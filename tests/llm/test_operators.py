@@ -449,8 +449,14 @@ def test_near_duplicates(docs, empty):
         ids = [rows[k][0] for k in group]
         least = None if None in ids else min(ids)
         want.update((i, least, len(ids)) for i in ids)
-    got = Counter(tuple(r) for r in near_dedup.near_duplicates(docs).collect())
-    assert got == want
+    found = near_dedup.near_duplicates(docs).collect()
+    assert Counter(tuple(r)[:3] for r in found) == want
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in rows if (w := (t or "").split()) and i not in (None, 30)}
+    for r in found:
+        assert (r["partner_id"] is None and r["similarity"] is None) == (r["class_size"] == 1) or r["class_id"] is None
+        if r["doc_id"] in bags and r["partner_id"] in bags:
+            a, b = bags[r["doc_id"]], bags[r["partner_id"]]
+            assert r["similarity"] == pytest.approx((a & b).total() / (a | b).total()) and r["similarity"] >= 0.8
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns and kept.count() == len(list(classes(rows)))
     odd = docs.selectExpr("*", "'a' as _id", "'b' as _node", "'c' as node")
@@ -470,6 +476,30 @@ def test_keep_one_of_each_class(spark):
         assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_many_rows_without_ids_or_with_one(spark, monkeypatch):
+    """2,000 rows without an id and 2,000 of one id, half of them near copies: classes by text, no row meets another's."""
+    rng, rows = random.Random(8), []
+    for i in (None, 7):
+        for _ in range(1000):
+            words = [rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(60)]
+            rows += [(i, " ".join(words)), (i, " ".join([*words[:-1], "edit"]))]
+    sent, plain = [], near_dedup.bags_of
+    monkeypatch.setattr(near_dedup, "bags_of", lambda df: sent.append(df.count()) or plain(df))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = near_dedup.near_duplicates(docs).collect()
+    assert Counter((r["doc_id"], r["class_id"], r["class_size"], r["partner_id"]) for r in got) == {(None, None, 2, None): 2000, (7, 7, 2, 7): 2000}
+    assert {round(r["similarity"], 4) for r in got} == {round(55 / 57, 4)}
+    assert sent[0] <= len(rows)
+    assert near_dedup.keep_one(docs).count() == 2000 and sent[1] <= len(rows)
+
+
+def test_near_dedup_of_equal_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f g")] * 500 + [(None, None)] * 500 + [(1, "a b c d e f g")], "doc_id long, text string")
+    got = Counter((r["class_id"], r["class_size"], r["similarity"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(None, 501, 1.0): 501, (None, 500, 1.0): 500}
+    assert near_dedup.keep_one(docs).count() == 2
+
+
 def test_many_near_copies(spark):
     """One text and 300 copies, each with edits of its own, so that similarities lie about the threshold."""
     rng = random.Random(11)

@@ -18,7 +18,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from tidemark.llm.common import Remembered, materialize, slices, spare, table
 from tidemark.llm.components import connected_components
@@ -119,7 +118,7 @@ def _node(elements: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, n, bands``: the name of a document's multiset, its size, and its band hashes."""
+    """``doc_id, h, node, n, bands``: a hash of a document's text, the name of its multiset, its size, and its band hashes."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Remembered(xxhash.xxh64_intdigest)
@@ -131,17 +130,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 np.concatenate([c for _, c in bags] or [np.zeros(0, np.int64)]), len(bags), N_BANDS * BAND_ROWS,
             )
             yield pd.DataFrame({
-                "doc_id": batch["doc_id"].to_numpy(), "node": [_node(bag_elements(*bag)) for bag in bags],
+                "doc_id": batch["doc_id"].to_numpy(), "h": batch["h"].to_numpy(), "node": [_node(bag_elements(*bag)) for bag in bags],
                 "n": [int(c.sum()) for _, c in bags], "bands": list(_bands(made)),
             })
 
-    return _plain(docs).mapInPandas(sign, "doc_id long, node binary, n long, bands array<long>")
-
-
-@F.pandas_udf(BinaryType())
-def _node_of(texts: pd.Series) -> pd.Series:
-    known = Remembered(xxhash.xxh64_intdigest)
-    return pd.Series([_node(bag_elements(*shingle_bag(t, known))) for t in texts], dtype=object)
+    return _plain(docs).mapInPandas(sign, "doc_id long, h long, node binary, n long, bands array<long>")
 
 
 def bags_of(docs: DataFrame) -> DataFrame:
@@ -152,15 +145,19 @@ def bags_of(docs: DataFrame) -> DataFrame:
         for batch in (whole.iloc[s] for whole in batches for s in slices(whole["text"])):
             elements = [bag_elements(*shingle_bag(t, known)) for t in batch["text"]]
             keep = [k for k, e in enumerate(elements) if _node(e) == bytes(batch["want"].iloc[k])]
-            yield pd.DataFrame({"node": [batch["want"].iloc[k] for k in keep], "bag": [elements[k].astype(np.int64) for k in keep]})
+            if keep:
+                yield pd.DataFrame({"node": [batch["want"].iloc[k] for k in keep], "bag": [elements[k].astype(np.int64) for k in keep]})
 
     return docs.mapInPandas(gather, "node binary, bag array<long>")
 
 
+def _keys(doc_id: str = "doc_id", h: str = "h") -> list[Column]:
+    """What tells rows of different texts apart, whether or not they have ids of their own."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias(doc_id), F.xxhash64(F.col("text").cast("string")).alias(h)]
+
+
 def _plain(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
+    return docs.select(*_keys(), F.col("text").cast("string").alias("text"))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -173,8 +170,8 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return (
         pairs.join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
         .join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
-        .where(overlap(F.col("bag_a"), F.col("bag_b")) >= threshold)
-        .select("a", "b")
+        .select("a", "b", overlap(F.col("bag_a"), F.col("bag_b")).alias("similarity"))
+        .where(F.col("similarity") >= threshold)
     )
 
 
@@ -183,30 +180,33 @@ def _can_reach(n: Column, m: Column, threshold: float) -> Column:
     return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
 
-def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The rows' signatures, and of every node ``label`` (its class), ``rep`` (its smallest doc_id), ``copies``."""
+def _classed(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows' signatures; of every node ``label`` (its class), ``rep`` (its smallest doc_id, and hash), ``copies``; the links found."""
     signed = materialize(signatures(docs), "signed")
     nodes = signed.groupBy("node").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")
+        F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands")
     )
-    in_band = nodes.where("n > 0").select("node", "n", "rep", F.explode("bands").alias("h"))
-    crowded = in_band.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    buckets = materialize(in_band.join(crowded, "h"), "buckets")
-    wanted = buckets.groupBy("node").agg(F.min("rep").alias("doc_id")).select("doc_id", F.col("node").alias("want"))
+    in_band = nodes.where("n > 0").select("node", "n", "rep", F.explode("bands").alias("band"))
+    crowded = in_band.groupBy("band").agg(F.count("*").alias("k")).where("k > 1").select("band")
+    buckets = materialize(in_band.select("node", "n", "rep", F.col("band").alias("h")).join(crowded.withColumnRenamed("band", "h"), "h"), "buckets")
+    # One text for each node, told by id and hash: a row meets the node of its own text alone. Both sides are tables,
+    # so that very many equal rows are split between tasks.
+    wanted = materialize(buckets.groupBy("node").agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.h", F.col("node").alias("want")), "wanted")
     bags = materialize(
-        bags_of(_plain(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("want", "text")).dropDuplicates(["node"]),
+        bags_of(_plain(docs).join(wanted.hint("shuffle_hash"), ["doc_id", "h"]).select("want", "text")).dropDuplicates(["node"]),
         "bags",
     )
-    labels = _linked(buckets, bags, threshold)
-
+    labels, links = _linked(buckets, bags, threshold)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    return signed, named
+    return signed, named, links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class_id, class_size``.
+    """One row per row of ``docs``: ``doc_id, class_id, class_size, partner_id, similarity``.
 
-    class_id is the smallest doc_id of the class, class_size its rows.
+    class_id is the smallest doc_id of the class, class_size its rows. partner_id is the smallest doc_id of the
+    most similar text that was compared and is a near duplicate, and their similarity; where none but
+    copies of the same words in the same order are there, their smallest doc_id, and 1; null where a row is alone.
 
     * Texts without a word (null, empty, white space alone) have equal, empty bags: one class.
     * Texts of fewer than five words are one shingle, so linked only to texts of the same words.
@@ -215,40 +215,46 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     * A text of any length is one bag, signed and compared as a whole.
     * Only doc_id and text are read; an empty table gives an empty result.
     """
-    signed, named = _classed(docs, threshold)
-    classes = named.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("class_size"))
-    by_node = named.select("node", "label").join(classes, "label").select("node", "class_id", "class_size")
+    signed, named, links = _classed(docs, threshold)
+    classes = named.groupBy("label").agg(F.min("rep.doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other"), "similarity")
+    ends = ends.union(links.select(F.col("b").alias("node"), F.col("a").alias("other"), "similarity"))
+    best = ends.groupBy("node").agg(F.max(F.struct("similarity", "other")).alias("p")).select("node", "p.similarity", "p.other")
+    best = best.join(named.select(F.col("node").alias("other"), F.col("rep.doc_id").alias("partner_id")), "other").drop("other")
+    copies = F.col("copies") > 1
+    by_node = named.join(classes, "label").join(best, "node", "left").select(
+        "node", "class_id", "class_size",
+        F.when(F.col("similarity").isNotNull(), F.col("partner_id")).when(copies, F.col("rep.doc_id")).alias("partner_id"),
+        F.coalesce("similarity", F.when(copies, 1.0)).alias("similarity"),
+    )
     whole = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
-    return signed.select("doc_id", "node").join(by_node, "node").select(whole("doc_id"), whole("class_id"), "class_size")
+    return signed.select("doc_id", "node").join(materialize(by_node, "classes"), "node").select(
+        whole("doc_id"), whole("class_id"), "class_size", whole("partner_id"), "similarity"
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: one of the smallest doc_id, of such rows one of the smallest node.
+    """``docs`` with one row of each class: one of the smallest doc_id, of such rows one of the smallest hash of its text.
 
-    A class is told by its row's doc_id and node, so rows that share a doc_id, or have none, stay or go by
-    their own texts. Nodes are computed again only for rows whose doc_id does not tell which text is meant.
-    Rows of one doc_id and one multiset differ in other columns or white space alone; any one of them stays.
+    A class is told by its row's doc_id and text, so rows that share a doc_id, or have none, stay or go by
+    their own texts. Of rows equal in both, which differ in other columns at most, any one stays.
     All columns are returned as they are, whatever their names; an empty table gives an empty result.
     """
-    signed, named = _classed(docs, threshold)
-    at, node = spare(docs, "_id", "_node")
-    first = named.groupBy("label").agg(F.min(F.struct("rep", "node")).alias("k")).select(F.col("k.rep").alias(at), F.col("k.node").alias(node))
-    several = signed.groupBy("doc_id").agg(F.count("*").alias("k")).where((F.col("k") > 1) | (F.col("doc_id") == _NO_ID))
-    several = materialize(several.select(F.col("doc_id").alias(at)), "several")
-    kept = materialize(first, "kept")
-    keyed = docs.withColumn(at, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)))
-    alone = keyed.join(kept.join(several, at, "left_anti"), at, "left_semi")
+    signed, named, _ = _classed(docs, threshold)
+    at, h = spare(docs, "_id", "_hash")
+    first = materialize(named.groupBy("label").agg(F.min("rep").alias("k")).select(F.col("k.doc_id").alias(at), F.col("k.h").alias(h)), "first")
+    rows = signed.groupBy(F.col("doc_id").alias(at), F.col("h").alias(h)).agg(F.count("*").alias("k"))
+    kept = materialize(first.join(rows, [at, h]), "kept")
+    keyed = docs.select("*", *_keys(at, h))
+    alone = keyed.join(kept.where("k = 1").drop("k"), [at, h], "left_semi")
+    several = kept.where("k > 1").drop("k")
     if several.isEmpty():
         return alone.select(*docs.columns)
-    # Rows without an id are not joined by it: there may be very many.
-    mixed = keyed.where(F.col(at) == _NO_ID).unionByName(keyed.where(F.col(at) != _NO_ID).join(several, at, "left_semi"))
-    mixed = mixed.withColumn(node, _node_of(F.col("text").cast("string"))).dropDuplicates([at, node])
-    chosen = mixed.join(kept.join(several, at, "left_semi"), [at, node], "left_semi")
-    return alone.select(*docs.columns).union(chosen.select(*docs.columns))
+    return alone.union(keyed.join(several, [at, h], "left_semi").dropDuplicates([at, h])).select(*docs.columns)
 
 
-def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """``node, label`` of every node that has a link."""
+def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``node, label`` of every node that has a link, and the links ``a, b, similarity`` that show it."""
     links = tested = None
     mixed = buckets
     for turn in range(ROUNDS):
@@ -269,7 +275,7 @@ def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         labels = connected_components(links)
         mixed = materialize(_still_mixed(buckets, labels), f"mixed{turn}")
         if mixed.isEmpty():
-            return labels
+            return labels, links
     pairs = materialize(_missed(mixed, bags, threshold), "rest")
     # One partner for each node first: what that joins need not be compared any more.
     for end, other in (("a", "b"), ("b", "a")):
@@ -278,7 +284,7 @@ def _linked(buckets: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
         links = links.union(materialize(found, "links"))
     labels = connected_components(links)
     more = materialize(_verified(materialize(_apart(pairs, labels), "rest"), bags, threshold), "links")
-    return labels if more.isEmpty() else connected_components(links.union(more))
+    return (labels, links) if more.isEmpty() else (connected_components(links.union(more)), links.union(more))
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
