@@ -402,6 +402,39 @@ def test_unigram_search_against_the_library(tmp_path, byte_pieces):
         assert same >= 0.7 * len(texts)
 
 
+def test_vocabularies_of_any_size(tmp_path):
+    """A made-up BPE model of 70,000 pieces, more than two bytes can number, against the library."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng, proto = random.Random(2), sentencepiece_model_pb2.ModelProto()
+    kind = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
+    letters = ["▁", *"abcdefghijklmnopqrstuvwxyz"]
+    two = [a + b for a in letters for b in letters[1:]]
+    rng.shuffle(two)
+    three = [a + b for a in two for b in letters[1:]]
+    rng.shuffle(three)
+    four = [a + b for a in two[:350] for b in two if "▁" not in b]
+    rng.shuffle(four)
+    proto.pieces.add(piece="<unk>", score=0.0, type=kind.UNKNOWN)
+    for k, piece in enumerate(dict.fromkeys(two + three + four)):
+        if k < 70_000:
+            proto.pieces.add(piece=piece, score=-float(k), type=kind.NORMAL)
+    for k, piece in enumerate(letters):
+        proto.pieces.add(piece=piece, score=-80_000.0 - k, type=kind.NORMAL)
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 2, False
+    rules = proto.normalizer_spec
+    rules.name, rules.add_dummy_prefix, rules.remove_extra_whitespaces, rules.escape_whitespaces = "identity", True, False, True
+    path = tmp_path / "large.model"
+    path.write_bytes(proto.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    encoder = sentence_pieces.Encoder(sentence_pieces.read_model(str(path)))
+    assert len(encoder.lengths) > 70_000
+    for _ in range(400):
+        text = " ".join("".join(rng.choice(letters[1:]) for _ in range(rng.randrange(1, 14))) for _ in range(8))
+        assert np.frombuffer(encoder.encode(text), dtype=np.int32).tolist() == library.encode(text), text
+
+
 def test_unsupported_models_are_refused(tmp_path):
     for change in ("remove_extra_whitespaces", "user_defined", "suffix", "model_type"):
         proto = unigram_model(random.Random(1), True)

@@ -194,8 +194,8 @@ class Encoder:
         return (left, right) if len(symbols) == 1 else None
 
     def _may_follow(self, pair: int) -> bool:
-        """Whether the merges leave the pieces of ``pair`` (numbers, the first times 65,536) apart."""
-        first, second = pair >> 16, pair & 0xFFFF
+        """Whether the merges leave the pieces of ``pair`` (two numbers, the first times that of all pieces) apart."""
+        first, second = divmod(pair, len(self.lengths))
         if len(self.follows) >= KNOWN_PAIRS:
             self.follows.clear()
         apart = first == self.other or second == self.other or self._apart(self.edges[first][1], self.edges[second][0])
@@ -232,7 +232,7 @@ class Encoder:
         self.searched += 1
         step, ends, after = self.automaton.step, self.automaton.ends, self.automaton.after
         follows, other, lengths, longest, bpe = self.follows, self.other, self.lengths, self.longest, self.model.bpe
-        scores, lowest = self.scores, self.lowest
+        scores, lowest, many = self.scores, self.lowest, len(self.lengths)
         back: list[int] = [other]
         total = [0.0]
         given = state = end = 0
@@ -245,7 +245,7 @@ class Encoder:
                 for size, number in ends[state]:
                     at = end - size
                     if at:
-                        pair = back[at] << 16 | number
+                        pair = back[at] * many + number
                         fits = follows.get(pair)
                         if fits is None:
                             fits = self._may_follow(pair)
