@@ -44,9 +44,14 @@ def add_technical_indicators(
     m = F.col("_move")
     out = out.withColumns({"_gain": F.when(m.isNotNull(), F.greatest(m, F.lit(0.0))), "_loss": F.when(m.isNotNull(), F.greatest(-m, F.lit(0.0)))})
     made = {f"sma_{n}d": W.mean(p, n) for n in W.checked_windows("sma_windows", sma_windows)}
-    made |= {f"ema_{n}d": W.ema(p, n) for n in W.checked_windows("ema_spans", ema_spans)}
+    spans = W.checked_windows("ema_spans", ema_spans)
     made |= {f"rsi_{n}d": W.rsi(F.col("_gain"), F.col("_loss"), n) for n in W.checked_windows("rsi_windows", rsi_windows)}
-    return out.withColumns(made).drop("_move", "_gain", "_loss")
+    out = out.withColumns(made).drop("_move", "_gain", "_loss")
+    columns = out.columns
+    for n in spans:
+        out = W.with_ema(out, p, n, f"ema_{n}d")
+    at = len(bars.columns) + len(sma_windows)
+    return out.select(*columns[:at], *[f"ema_{n}d" for n in spans], *columns[at:])
 
 
 def add_forward_return_label(bars: DataFrame, horizon: int = 20, entry_lag: int = 1, price: str = "close", label: str | None = None) -> DataFrame:
@@ -76,16 +81,21 @@ def feature_columns(df: DataFrame, label: str, chosen: Sequence[str] | None = No
     return found
 
 
-def with_positions(df: DataFrame) -> DataFrame:
+def with_positions(df: DataFrame, repeated: str | None = None) -> DataFrame:
     """Adds ``pos``, 0 to N - 1 by date and ticker, without sorting the table in one task.
 
-    Rows before a date are counted on the small table of dates; within a date they are ranked.
+    Rows before a date are counted on the small table of dates; within a date they are ranked. ``repeated`` names a
+    column to add that tells rows whose date and ticker equal those of the row before.
     """
-    dates = df.groupBy("date").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # over dates alone
-    starts = dates.select("date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    rank = F.row_number().over(Window.partitionBy("date").orderBy("ticker")) - 1
-    return df.join(starts, "date").withColumn("pos", F.col("_start") + rank).drop("_start")
+    dates = df.groupBy(F.col("date").alias("_date")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_date").rowsBetween(Window.unboundedPreceding, -1)  # over dates alone
+    starts = dates.select("_date", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    in_date = Window.partitionBy("date").orderBy("ticker")
+    rank = F.row_number().over(in_date) - 1
+    out = df.join(starts, F.col("date").eqNullSafe(F.col("_date"))).withColumn("pos", F.col("_start") + rank)
+    if repeated:
+        out = out.withColumn(repeated, (F.col("pos") > F.col("_start")) & F.lag("ticker").over(in_date).eqNullSafe(F.col("ticker")))
+    return out.drop("_date", "_start")
 
 
 def check_keys(df: DataFrame) -> None:

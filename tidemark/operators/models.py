@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.medians import prefix_medians
+from tidemark.sources.staging import materialize
 
 PREDICTION_COLUMNS = ("model_name", "method", "split", "pos", "y", "prediction")
 
@@ -146,6 +147,19 @@ def check_bundle(predictions: DataFrame) -> DataFrame:
     return predictions
 
 
+def check_evaluated(evaluations: DataFrame) -> DataFrame:
+    """``check_bundle`` and ``check_evaluations`` by what ``evaluate`` has counted of predictions whose positions come from
+    one written matrix, so are unique: the evaluations, written (a few rows); raises where a prediction is missing, or train, test or a split's actual values are.
+    """
+    out = materialize(evaluations, "evaluations")
+    rows = out.select("model_name", "split", "row_count", "missing_prediction_count").collect()
+    for name in {r["model_name"] for r in rows}:
+        mine = [r for r in rows if r["model_name"] == name]
+        if any(r["missing_prediction_count"] for r in mine) or not {"train", "test"} <= {r["split"] for r in mine}:
+            raise ValueError(f"missing predictions, or none for train or test: {name}")
+    return check_evaluations(out).drop("missing_prediction_count")
+
+
 def with_actuals(predictions: DataFrame, actuals: DataFrame) -> DataFrame:
     """``predictions`` (without their y) with y from ``actuals`` (pos, y) by position.
 
@@ -170,12 +184,13 @@ def check_evaluations(evaluations: DataFrame) -> DataFrame:
     return evaluations
 
 
-def evaluate(predictions: DataFrame) -> DataFrame:
+def evaluate(predictions: DataFrame, count_missing: bool = False) -> DataFrame:
     """Errors by model and split, over rows with an actual value; the mean prediction is over all rows."""
+    missing = [F.count_if(F.col("prediction").isNull() | F.isnan("prediction")).alias("missing_prediction_count")] * count_missing
     e = F.col("prediction") - F.col("y")
     return predictions.groupBy("model_name", "method", "split").agg(
         F.count("*").alias("row_count"), F.count("y").alias("non_missing_count"), F.count_if(F.col("y").isNull()).alias("missing_actual_count"),
-        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_error"), F.avg("prediction").alias("prediction_mean"),
+        F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("mean_error"), F.avg("prediction").alias("prediction_mean"), *missing,
     )
 
 

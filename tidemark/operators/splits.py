@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.validation import BarError
+
 SPLITS = ("train", "validation", "test")
 
 
-def temporal_split(matrix: DataFrame, train_end: str, validation_end: str | None = None, test_end: str | None = None, strict: bool = True) -> DataFrame:
-    """Adds ``split``. With ``strict``, rows past test_end and empty requested splits raise."""
+def split_of(train_end: str, validation_end: str | None = None, test_end: str | None = None) -> Column:
+    """The split of a date; NULL past test_end. Boundaries that do not increase raise."""
     bounds = [dt.datetime.fromisoformat(b) for b in (train_end, validation_end, test_end) if b is not None]
     if any(a >= b for a, b in zip(bounds, bounds[1:], strict=False)):
         raise ValueError("boundaries must increase")
@@ -24,16 +26,77 @@ def temporal_split(matrix: DataFrame, train_end: str, validation_end: str | None
     split = F.when(d <= at(train_end), "train")
     if validation_end is not None:
         split = split.when(d <= at(validation_end), "validation")
-    split = split.when(F.lit(True) if test_end is None else d <= at(test_end), "test")
-    out = matrix.withColumn("split", split)
+    return split.when(F.lit(True) if test_end is None else d <= at(test_end), "test")
+
+
+def check_splits(counts: dict[str | None, int], validation: bool) -> None:
+    """Raises where rows lie past the last boundary or a requested split has none."""
+    wanted = ["train", "test"] + ["validation"] * validation
+    if counts.get(None) or any(not counts.get(w) for w in wanted):
+        raise ValueError(f"rows beyond the last boundary or an empty split: {counts}")
+
+
+def temporal_split(matrix: DataFrame, train_end: str, validation_end: str | None = None, test_end: str | None = None, strict: bool = True) -> DataFrame:
+    """Adds ``split``. With ``strict``, rows past test_end and empty requested splits raise."""
+    out = matrix.withColumn("split", split_of(train_end, validation_end, test_end))
     if strict:
         counts = {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count("*").alias("n")).collect()}
-        wanted = ["train", "test"] + ["validation"] * (validation_end is not None)
-        if None in counts or any(w not in counts for w in wanted):
-            raise ValueError(f"rows beyond the last boundary or an empty split: {counts}")
+        check_splits(counts, validation_end is not None)
     return out
 
 
+class Facts:
+    """What is counted of a split matrix while it is written: keys, splits, train statistics, values that models refuse.
+
+    ``watch`` puts the counters into a plan; once that has run, ``check_keys``, ``check_splits``, ``scaler`` and
+    ``check_inputs`` raise or answer as the functions of those names do, without another job.
+    """
+
+    def __init__(self, columns: list[str], validation: bool = True) -> None:
+        self.columns, self.validation, self.seen = list(columns), validation, Observation("facts")
+
+    def watch(self, rows: DataFrame, repeated: str) -> DataFrame:
+        """``rows`` have pos, date, ticker, the columns, y, split and the flag of repeated keys."""
+        at = lambda s: F.coalesce(F.col("split") == s, F.lit(False))
+        train, labelled = at("train"), F.col("y").isNotNull()
+        good = lambda c: F.coalesce(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) < float("inf")), F.lit(False))
+        made = [
+            F.count_if(F.col("date").isNull() | F.col("ticker").isNull() | F.col(repeated)).alias("bad_keys"), F.count_if(F.col("split").isNull()).alias("n_beyond"),
+            *[F.count_if(at(s)).alias(f"n_{s}") for s in SPLITS], F.count_if(train & labelled).alias("n_labelled"), F.count_if(train & labelled & ~good("y")).alias("bad_y"),
+        ]
+        for c in self.columns:
+            x = F.when(train, F.col(c))
+            made += [f(x).alias(f"{c}_{k}") for k, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max), ("n", F.count))]
+            made.append(F.count_if(labelled & ~good(c)).alias(f"{c}_bad"))
+        return rows.observe(self.seen, *made)
+
+    def __getitem__(self, name: str):
+        return self.seen.get[name]
+
+    def check_keys(self) -> None:
+        if self["bad_keys"]:
+            raise BarError("missing or duplicate date and ticker")
+
+    def check_splits(self) -> None:
+        check_splits({None: self["n_beyond"]} | {s: self[f"n_{s}"] for s in SPLITS}, self.validation)
+
+    def scaler(self) -> dict[str, tuple[float, float]]:
+        for c in self.columns:
+            if self[f"{c}_n"] < self["n_train"] or not self["n_train"]:
+                raise ValueError(f"missing train values: {c}")
+            if self[f"{c}_lo"] == self[f"{c}_hi"]:
+                raise ValueError(f"constant train values: {c}")
+        return {c: (self[f"{c}_m"], self[f"{c}_s"]) for c in self.columns}
+
+    def check_inputs(self) -> None:
+        """For models of the labelled rows."""
+        if not self["n_labelled"]:
+            raise ValueError("no train rows")
+        wrong = [c for c in self.columns if self[f"{c}_bad"]] + ["y"] * bool(self["bad_y"])
+        if wrong:
+            raise ValueError("missing or infinite values: " + ", ".join(wrong))
+
+
 def split_summary(split: DataFrame) -> DataFrame:
     return split.groupBy("split").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.bars import BAR_COLUMNS
 
 NUMBERS = ("open", "high", "low", "close", "volume")
+LACKING = tuple(f"missing_{c}" for c in NUMBERS)
+#: Keys that a message shows.
+EXAMPLES = 5
 WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -63,27 +66,62 @@ def row_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def violations(bars: DataFrame) -> DataFrame:
-    """``date, ticker, rule``: one row for each rule that a row breaks; all rows of a duplicate key count."""
+def _raw_rows(bars: DataFrame) -> DataFrame:
     check_columns(bars)
-    rows = normalize(bars.withColumn("_raw", F.struct(*BAR_COLUMNS))).select(*BAR_COLUMNS, "_raw")
-    same_key = F.count(F.lit(1)).over(Window.partitionBy("date", "ticker")) > 1
-    broken = F.array_compact(F.array(*[F.when(x, name) for name, x in row_rules()], F.when(F.col("_same"), "duplicate_key")))
-    return rows.withColumn("_same", same_key).select("date", "ticker", F.explode(broken).alias("rule"))
+    return normalize(bars.withColumn("_raw", F.struct(*BAR_COLUMNS))).select(*BAR_COLUMNS, "_raw")
+
+
+def _repeated_keys(bars: DataFrame) -> DataFrame:
+    """``date, ticker, n``: keys found more than once, by counts. Only keys are read and shuffled, and counted before they are."""
+    kinds = dict(bars.dtypes)
+    keys = bars.select(_date(kinds["date"]).alias("date"), F.col("ticker").cast("string").alias("ticker"))
+    return keys.groupBy("date", "ticker").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def violations(bars: DataFrame) -> DataFrame:
+    """``date, ticker, rule``: one row for each rule that a row breaks; all rows of a duplicate key count.
+
+    Rules of one row are read off it without a shuffle; a repeated key gives as many rows as it was counted.
+    """
+    broken = F.array_compact(F.array(*[F.when(x, name) for name, x in row_rules()]))
+    by_row = _raw_rows(bars).select("date", "ticker", F.explode(broken).alias("rule"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
+    by_key = _repeated_keys(bars).select("date", "ticker", each.alias("k")).select("date", "ticker", F.lit("duplicate_key").alias("rule"))
+    return by_row.unionByName(by_key)
+
+
+def _first_five(found: DataFrame, by: str) -> DataFrame:
+    """The first EXAMPLES keys of each value of ``by``: kept to so many in every task before and after the shuffle."""
+    first = F.row_number().over(Window.partitionBy(by).orderBy("date", "ticker"))
+    return found.withColumn("_nth", first).where(F.col("_nth") <= EXAMPLES)
 
 
 def validate_bars(bars: DataFrame) -> DataFrame:
     """Normalized bars; raises for the first rule that is broken, with five examples in order of date and ticker.
 
-    Missing numbers are one rule: the message names every column that lacks some.
+    Missing numbers are one rule: the message names every column that lacks some. The input is read once for
+    the rules of a row, whose counters are observed while examples are looked for, and, if none is
+    broken, once for its keys.
     """
-    found = violations(bars)
-    counts = {r["rule"]: r["n"] for r in found.groupBy("rule").agg(F.count("*").alias("n")).collect()}  # a row per rule
-    lacking = [f"missing_{c}" for c in NUMBERS if f"missing_{c}" in counts]
-    for rule in [name for name, _ in row_rules()] + ["duplicate_key"]:
-        if rule in counts:
-            names = lacking if rule in lacking else [rule]
-            rows = found.where(F.col("rule").isin(names)).select("date", "ticker").distinct().orderBy("date", "ticker").limit(5).collect()
-            what = ", ".join(f"{n}: {counts[n]} rows" for n in names)
-            raise BarError(f"{what}, such as " + "; ".join(f"{r['date']} {r['ticker']}" for r in rows))
+    rules = row_rules()
+    seen = Observation("rules")
+    kind = lambda name: "missing_numbers" if name in LACKING else name
+    broken = F.array_distinct(F.array_compact(F.array(*[F.when(x, kind(name)) for name, x in rules])))
+    counted = _raw_rows(bars).observe(seen, *[F.count_if(F.coalesce(x, F.lit(False))).alias(name) for name, x in rules])
+    keys = counted.select("date", "ticker", F.explode(broken).alias("rule")).groupBy("rule", "date", "ticker").agg(F.lit(1).alias("one"))
+    examples = _first_five(keys, "rule").orderBy("rule", "_nth").collect()  # five a rule at most
+    counts = seen.get
+    for name, _ in rules:
+        if counts[name]:
+            names = [n for n in LACKING if counts[n]] if name in LACKING else [name]
+            raise BarError(_message({n: counts[n] for n in names}, [r for r in examples if r["rule"] == kind(name)]))
+    repeated = Observation("keys")
+    found = _repeated_keys(bars).observe(repeated, F.sum("n").alias("n")).orderBy("date", "ticker").limit(EXAMPLES).collect()
+    if found:
+        raise BarError(_message({"duplicate_key": repeated.get["n"]}, found))
     return normalize(bars)
+
+
+def _message(counts: dict[str, int], examples: list) -> str:
+    what = ", ".join(f"{n}: {k} rows" for n, k in counts.items())
+    return f"{what}, such as " + "; ".join(f"{r['date']} {r['ticker']}" for r in examples)

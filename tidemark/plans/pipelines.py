@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, models, splits
@@ -27,38 +27,70 @@ def smoke_summary(bars: DataFrame) -> DataFrame:
     return performance_summary(returns).drop("max_drawdown").join(log_growth(returns), "series_id").join(counts, F.lit(True))
 
 
+def _written(rows: DataFrame, columns: list[str], label: str, split: Column, facts: splits.Facts) -> DataFrame:
+    columns = features.feature_columns(rows, label, columns)
+    numbered = features.with_positions(rows, repeated="_again").select("pos", "date", "ticker", *columns, F.col(label).alias("y"), split.alias("split"), "_again")
+    matrix = materialize(facts.watch(numbered, "_again").drop("_again"), "matrix")
+    facts.check_keys()
+    return matrix
+
+
 def complete_matrix(frame: DataFrame, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL, complete: bool = True) -> DataFrame:
-    """The feature matrix; with ``complete``, of rows that have every feature. Keys are checked.
+    """The feature matrix; with ``complete``, of rows that have every feature.
 
-    It is written once: scaler, checks, models and evaluations all read it, and none builds the bars again.
+    It is written once: scaler, models and evaluations all read it, and none builds the bars again. Keys are
+    checked as it is written.
     """
     rows = frame.dropna(subset=columns) if complete else frame
-    matrix = materialize(features.feature_matrix(rows, label, columns, check=False), "matrix")
-    features.check_keys(matrix)
-    return matrix
+    return _written(rows, columns, label, F.lit("train"), splits.Facts([])).drop("split")
+
+
+def split_matrix(
+    frame: DataFrame, train_end: str, validation_end: str, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL, strict: bool = True, complete: bool = True
+) -> tuple[DataFrame, splits.Facts]:
+    """The matrix with its temporal splits, and what was counted of it on the way to the table: the guards of keys, splits,
+    scaler and model inputs need no job of their own.
+    """
+    facts = splits.Facts(columns)
+    rows = frame.dropna(subset=columns) if complete else frame
+    split = _written(rows, columns, label, splits.split_of(train_end, validation_end), facts)
+    if strict:
+        facts.check_splits()
+    return split, facts
 
 
 def prepared(frame: DataFrame, train_end: str, validation_end: str, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL, strict: bool = True) -> DataFrame:
     """Split and scaled matrix."""
-    split = splits.temporal_split(complete_matrix(frame, columns, label), train_end, validation_end, strict=strict)
-    return splits.scale(split, splits.fit_scaler(split, columns))
+    split, facts = split_matrix(frame, train_end, validation_end, columns, label, strict)
+    return splits.scale(split, facts.scaler())
+
+
+def model_data(frame: DataFrame, train_end: str, validation_end: str, columns: list[str] = SMOKE_FEATURES, label: str = SMOKE_LABEL) -> DataFrame:
+    """Split and scaled rows with labels, whose features and train labels are all there and finite."""
+    split, facts = split_matrix(frame, train_end, validation_end, columns, label)
+    facts.check_inputs()
+    return splits.supervised(splits.scale(split, facts.scaler()))
 
 
 def baseline_modeling(frame: DataFrame, train_end: str, validation_end: str, method: str = "mean", label: str = SMOKE_LABEL, columns: list[str] = SMOKE_FEATURES) -> DataFrame:
     """Errors of a constant over all rows, those with missing features or labels too."""
-    split = splits.temporal_split(complete_matrix(frame, columns, label, complete=False), train_end, validation_end)
-    predicted = models.check_bundle(models.predict_constant(split, models.fit_constant(split, method), method))
-    return models.check_evaluations(models.evaluate(predicted))
+    split, _ = split_matrix(frame, train_end, validation_end, columns, label, complete=False)
+    return evaluated(models.predict_constant(split, models.fit_constant(split, method), method))
+
+
+def evaluated(predictions: DataFrame) -> DataFrame:
+    """Errors of predictions for rows of one written matrix; guards look at what was counted along with them."""
+    return models.check_evaluated(models.evaluate(predictions, count_missing=True))
 
 
-def model_comparison(data: DataFrame, columns: list[str], method: str = "mean") -> DataFrame:
-    """Least squares less the constant baseline, on the labelled rows of prepared data."""
+def model_comparison(data: DataFrame, columns: list[str], method: str = "mean", check: bool = True) -> DataFrame:
+    """Least squares less the constant baseline, on the labelled rows of prepared data. ``check=False``: inputs were checked before."""
     rows = splits.supervised(data)
-    models.check_inputs(rows, columns)
+    if check:
+        models.check_inputs(rows, columns)
     base = models.predict_constant(rows, models.fit_constant(rows, method), method)
     line = models.predict_ols(rows, models.fit_ols(rows, columns))
-    evaluated = materialize(models.evaluate(models.check_bundle(base.unionByName(line))), "evaluations")
-    return models.compare(models.check_evaluations(evaluated), "constant_baseline", "linear_regression")
+    return models.compare(evaluated(base.unionByName(line)), "constant_baseline", "linear_regression")
 
 
 def walk_forward_supervised(matrix: DataFrame, columns: list[str], train: int, validation: int, test: int, step: int | None = None, most: int | None = None, count: int | None = None) -> DataFrame:

@@ -81,7 +81,11 @@ def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.temporal_split(_matrix(spark, sf_dir), TRAIN_END, VALIDATION_END)
+    return _split_facts(spark, sf_dir)[0]
+
+
+def _split_facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, splits.Facts]:
+    return pipelines.split_matrix(_featured(trade_bars(spark, sf_dir)), TRAIN_END, VALIDATION_END, PAIR, LABEL)
 
 
 def feature_matrix_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +106,18 @@ def walk_forward_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scaler_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    params = splits.fit_scaler(_split(spark, sf_dir), PAIR)
+    params = _split_facts(spark, sf_dir)[1].scaler()
     return _rounded(spark.createDataFrame([(c, m, s) for c, (m, s) in params.items()], "feature string, mean double, std double"))
 
 
 def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _split(spark, sf_dir)
-    return _keys(splits.scale(split, splits.fit_scaler(split, PAIR)), "split", *PAIR)
+    split, facts = _split_facts(spark, sf_dir)
+    return _keys(splits.scale(split, facts.scaler()), "split", *PAIR)
 
 
 def scaled_train_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _split(spark, sf_dir)
-    train = splits.scale(split, splits.fit_scaler(split, PAIR)).where("split = 'train'")
+    split, facts = _split_facts(spark, sf_dir)
+    train = splits.scale(split, facts.scaler()).where("split = 'train'")
     return _rounded(train.agg(*[f(c).alias(f"{c}_{k}") for c in PAIR for k, f in (("mean", F.avg), ("std", F.stddev_pop))]))
 
 
@@ -124,7 +128,7 @@ def supervised_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def baseline_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     split = _split(spark, sf_dir)
     both = [models.predict_constant(split, models.fit_constant(split, m), m, f"baseline_{m}") for m in ("mean", "median")]
-    return _rounded(models.evaluate(models.check_bundle(both[0].unionByName(both[1]))))
+    return _rounded(pipelines.evaluated(both[0].unionByName(both[1])))
 
 
 def baseline_modeling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,8 +146,7 @@ def labels_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    split = _split(spark, sf_dir)
-    return splits.supervised(splits.scale(split, splits.fit_scaler(split, PAIR)))
+    return pipelines.model_data(_featured(trade_bars(spark, sf_dir)), TRAIN_END, VALIDATION_END, PAIR, LABEL)
 
 
 def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +156,11 @@ def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ols_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _prepared(spark, sf_dir)
-    models.check_inputs(data, PAIR)
-    return _rounded(models.evaluate(models.predict_ols(data, models.fit_ols(data, PAIR))))
+    return _rounded(pipelines.evaluated(models.predict_ols(data, models.fit_ols(data, PAIR))))
 
 
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(pipelines.model_comparison(_prepared(spark, sf_dir), PAIR))
+    return _rounded(pipelines.model_comparison(_prepared(spark, sf_dir), PAIR, check=False))
 
 
 def gbt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,7 +270,7 @@ _FEAT = f"feat AS (SELECT *, {_mom(5)} AS m5, {_full('r', 10, 'stddev_pop')} AS
 _MAT = "mat AS (SELECT row_number() OVER (ORDER BY date, ticker) - 1 AS pos, date, ticker, m5, v10, y FROM feat WHERE m5 IS NOT NULL AND v10 IS NOT NULL)"
 _SPL = f"spl AS (SELECT *, CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train' WHEN date <= DATE '{VALIDATION_END}' THEN 'validation' ELSE 'test' END AS split FROM mat)"
 _SCL = """par AS (SELECT avg(m5) AS am, stddev_pop(m5) AS sm, avg(v10) AS av, stddev_pop(v10) AS sv FROM spl WHERE split = 'train'),
-scl AS (SELECT pos, date, ticker, split, y, (m5 - am) / sm AS m5, (v10 - av) / sv AS v10 FROM spl, par)"""
+scl AS (SELECT pos, date, ticker, split, y, (m5 - am) / sm AS m5, (v10 - av) / sv AS v10 FROM spl JOIN par ON true)"""
 _OLS = """lab AS (SELECT * FROM scl WHERE y IS NOT NULL),
 mom AS (SELECT avg(m5) AS a1, avg(v10) AS a2, avg(y) AS ay, var_pop(m5) AS s11, var_pop(v10) AS s22, covar_pop(m5, v10) AS s12,
   covar_pop(m5, y) AS s1y, covar_pop(v10, y) AS s2y FROM lab WHERE split = 'train'),

@@ -5,19 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BAR_SCHEMA = "date timestamp_ntz, ticker string, open double, high double, low double, close double, volume bigint"
 BAR_COLUMNS = ("date", "ticker", "open", "high", "low", "close", "volume")
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Bars from files. Formats without types of their own (csv, json) are read with BAR_SCHEMA."""
-    reader = spark.read.options(**options)
-    return (reader.schema(BAR_SCHEMA) if fmt in ("csv", "json") else reader).format(fmt).load(path)
+    """Bars from files. Formats without types of their own (csv, json) are read as text, so that nothing is lost before
+    ``normalize`` and ``violations`` see it: what does not parse is reported as it came. Columns beside the bars' are kept.
+    """
+    reader = spark.read.options(**({"header": "true"} if fmt == "csv" else {}) | options)
+    if fmt == "json":
+        reader = reader.option("primitivesAsString", "true")
+    return reader.format(fmt).load(path)
 
 
 def write_bars(bars: DataFrame, path: str, fmt: str = "parquet") -> None:
     """One sorted run of dates per ticker and file, so that ticker filters prune row groups."""
-    bars.repartition("ticker").sortWithinPartitions("ticker", "date").write.format(fmt).save(path)
+    sorted_bars = bars.repartition("ticker").sortWithinPartitions("ticker", "date")
+    sorted_bars.write.format(fmt).options(**({"header": "true"} if fmt == "csv" else {})).save(path)
+
+
+def store_bars(bars: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """The bars as a table in buckets of tickers, each sorted by ticker and date, read back.
+
+    Windows and joins by ticker over the stored table need no shuffle, however often it is read. Each bucket is one
+    task, so buckets should be as many as a cluster has cores, or more; tickers are dealt before the write,
+    so a bucket is one file. ``path`` names the table's folder, a shared one (else the warehouse).
+    """
+    dealt = bars.repartition(buckets, "ticker").sortWithinPartitions("ticker", "date")
+    writer = dealt.write.bucketBy(buckets, "ticker").sortBy("ticker", "date").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+    return bars.sparkSession.table(table)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A summary table as lines of JSON, its columns and rows in sorted order; for results of a few rows (one file)."""
+    columns = sorted(summary.columns)
+    plain = [c for c, kind in summary.dtypes if not kind.startswith("map")]
+    summary.select(*columns).orderBy(*[c for c in columns if c in plain]).coalesce(1).write.json(path, ignoreNullFields=False)
 
 
 def _bars(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -46,7 +70,11 @@ def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bars(events, ["ts"])
 
 
-def sample_bars(spark: SparkSession, n_days: int = 12, specs: tuple = (("2317", 50.0, 0.65, 1200), ("2330", 100.0, 1.10, 2400))) -> DataFrame:
+#: Fixed values of the synthetic sample: ticker, first close, rise a day, first volume.
+SAMPLE_TICKERS = (("2317", 50.0, 0.65, 1200), ("2330", 100.0, 1.10, 2400))
+
+
+def sample_bars(spark: SparkSession, n_days: int = 12, specs: tuple = SAMPLE_TICKERS) -> DataFrame:
     """Synthetic bars of closed form: business days from 2026-01-02, one row of ``specs`` per ticker."""
     days = (
         spark.range(n_days * 7 // 5 + 7)
