@@ -4,16 +4,18 @@ import datetime as dt
 import random
 import statistics
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import checked_windows
+from tidemark.functions.windows import checked_windows, ema_reach, with_ema
 from tidemark.operators import features, models, performance, splits
+from tidemark.operators.blocks import in_blocks
 from tidemark.operators.medians import prefix_medians
 from tidemark.operators.validation import BarError, normalize, validate_bars, violations
 from tidemark.plans import pipelines
-from tidemark.sources.bars import read_bars, sample_bars, write_bars
+from tidemark.sources.bars import read_bars, sample_bars, store_bars, write_bars, write_summary
 
 DAY = dt.datetime(2026, 1, 1)
 PREDICTIONS = "model_name string, method string, split string, pos long, y double, prediction double"
@@ -52,7 +54,102 @@ def test_five_examples_in_order(spark):
 def test_bars_are_written_and_read(spark, tmp_path):
     for fmt in ("parquet", "csv", "json"):
         write_bars(sample_bars(spark), f"{tmp_path}/{fmt}", fmt)
-        assert read_bars(spark, f"{tmp_path}/{fmt}", fmt).exceptAll(sample_bars(spark)).count() == 0
+        got = normalize(read_bars(spark, f"{tmp_path}/{fmt}", fmt)).select(*sample_bars(spark).columns)
+        assert got.withColumn("volume", F.col("volume").cast("bigint")).exceptAll(sample_bars(spark)).count() == 0
+
+
+def test_faults_of_csv_bars_are_seen(spark, tmp_path):
+    """Text that is no number, a cut number and an unreadable date are reported as what they are."""
+    (tmp_path / "bars.csv").write_text("date,ticker,open,high,low,close,volume,note\n2026-01-05,A,x,11,9,10,100,n\n2026-01-06,A,10,11,9,10,100.7,n\n2026-13-40,A,10,11,9,10,,n\n")
+    bars = read_bars(spark, str(tmp_path / "bars.csv"), "csv")
+    assert {r["rule"] for r in violations(bars).collect()} == {"not_numeric_open", "unreadable_date", "missing_volume"}
+    assert [r["volume"] for r in normalize(bars).orderBy("volume").collect()] == [None, 100.0, 100.7] and "note" in bars.columns
+    with pytest.raises(BarError, match="unreadable_date: 1 rows, such as None A"):
+        validate_bars(bars)
+
+
+def test_repeated_keys_by_counts(spark):
+    bars = sample_bars(spark).union(sample_bars(spark).where("ticker = '2317'")).union(sample_bars(spark).limit(1))
+    got = violations(bars)
+    assert {r["rule"] for r in got.collect()} == {"duplicate_key"} and got.count() == 25
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(BarError, match="duplicate_key: 25 rows, such as 2026-01-02 00:00:00 2317; 2026-01-05"):
+        validate_bars(bars)
+
+
+def test_stored_bars_need_no_shuffle(spark, tmp_path):
+    stored = store_bars(sample_bars(spark), f"bars_{tmp_path.name.replace('-', '_')}", 4, f"{tmp_path}/bars")
+    made = features.add_price_volume_features(stored, (1,), (3,), (3,))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    plain = features.add_price_volume_features(sample_bars(spark), (1,), (3,), (3,))
+    assert made.exceptAll(plain).count() == plain.exceptAll(made).count() == 0
+
+
+def test_summary_as_sorted_json(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2.0, None), ("a", 1.5, 3)], "split string, mae double, n long")
+    write_summary(rows, f"{tmp_path}/summary")
+    lines = "".join(p.read_text() for p in (tmp_path / "summary").glob("*.json")).splitlines()
+    assert lines == ['{"mae":1.5,"n":3,"split":"a"}', '{"mae":2.0,"n":null,"split":"b"}']
+
+
+def test_windows_over_blocks_equal_plain_ones(spark):
+    """One ticker in blocks of 900 rows with halos, and as a whole."""
+    rng = random.Random(3)
+    rows = [(DAY + dt.timedelta(minutes=7 * i + rng.randrange(7)), "A", rng.choice([None, rng.uniform(5, 20)]) if i % 50 == 3 else rng.uniform(5, 20), float(i % 9)) for i in range(3000)]
+    rows += [(DAY + dt.timedelta(days=i), "B", 10.0 + i, 1.0) for i in range(30)]
+    bars = spark.createDataFrame(rows, "date timestamp_ntz, ticker string, close double, volume double")
+
+    def make(df):
+        made = features.add_price_volume_features(df, (5,), (10,), (5,))
+        return features.add_forward_return_label(features.add_technical_indicators(made, (20,), (12,), (14,)), 20, 1)
+
+    whole = {(r["ticker"], r["date"]): r for r in make(bars).collect()}
+    cut = in_blocks(bars, make, before=ema_reach(12) + 12, after=20, rows=900)
+    assert cut.columns == make(bars).columns
+    got = cut.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        for c in cut.columns[2:]:
+            a, b = r[c], whole[r["ticker"], r["date"]][c]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-12, abs=1e-12)), c
+    with pytest.raises(ValueError):
+        in_blocks(bars, make, before=1000, rows=900)
+
+
+def test_drawdown_by_blocks(spark):
+    """Blocks of 50 rows against the whole curve; returns of -1 and less too."""
+    rng = random.Random(5)
+    rows = [(s, DAY + dt.timedelta(days=i), rng.gauss(0.0002, 0.02)) for s in "ABC" for i in range(400)]
+    rows += [("D", DAY + dt.timedelta(days=i), x) for i, x in enumerate([0.1, -1.0, 0.2])] + [("E", DAY, -1.5), ("E", DAY + dt.timedelta(days=1), 0.5), ("F", DAY, None), ("G", DAY, -0.3)]
+    returns = spark.createDataFrame(rows, "series_id string, date timestamp_ntz, ret double")
+    want = {r["series_id"]: r["d"] for r in performance.drawdown_curve(returns).groupBy("series_id").agg(F.min("drawdown").alias("d")).collect()}
+    usual = returns.where("series_id in ('A', 'B', 'C', 'G')")
+    got = {r["series_id"]: np.expm1(r["log_fall"]) for r in performance.max_drawdowns(usual, rows=50).collect()}
+    assert got == {s: pytest.approx(want[s], abs=1e-12) for s in "ABCG"}
+    summary = {r["series_id"]: r for r in performance.performance_summary(returns).collect()}
+    assert {s: r["max_drawdown"] for s, r in summary.items()} == {s: pytest.approx(x, abs=1e-12) if x is not None else None for s, x in want.items()} | {"F": 0.0}
+    assert summary["F"]["n"] == 0 and summary["F"]["total_return"] == 0.0
+
+
+def test_guards_while_the_matrix_is_written(spark):
+    frame = pipelines.smoke_frame(sample_bars(spark))
+    split, facts = pipelines.split_matrix(frame, "2026-01-09", "2026-01-13")
+    assert facts.scaler() == {c: (pytest.approx(m), pytest.approx(s)) for c, (m, s) in splits.fit_scaler(split, pipelines.SMOKE_FEATURES).items()}
+    facts.check_inputs()
+    with pytest.raises(BarError):
+        pipelines.split_matrix(frame.union(frame.limit(20)), "2026-01-09", "2026-01-13")
+    with pytest.raises(BarError):
+        pipelines.complete_matrix(frame.withColumn("ticker", F.when(F.col("ticker") == "2317", F.col("ticker"))))
+    with pytest.raises(BarError):
+        pipelines.complete_matrix(frame.withColumn("date", F.when(F.col("ticker") == "2317", F.col("date"))))
+    with pytest.raises(ValueError, match="empty split"):
+        pipelines.split_matrix(frame, "2026-01-09", "2027-01-13")
+    bad = frame.withColumn("price_momentum_1d", F.when(F.col("date") == F.lit("2026-01-08").cast("timestamp_ntz"), float("inf")).otherwise(F.col("price_momentum_1d")))
+    with pytest.raises(ValueError, match="price_momentum_1d"):
+        pipelines.split_matrix(bad, "2026-01-09", "2026-01-13")[1].check_inputs()
+    with pytest.raises(ValueError, match="constant"):
+        pipelines.split_matrix(frame.withColumn("price_momentum_1d", F.lit(0.1)), "2026-01-09", "2026-01-13")[1].scaler()
 
 
 def test_windows_and_columns_are_checked(spark):
@@ -126,10 +223,9 @@ def test_boosted_trees_learn_a_step(spark):
     got = models.predict_boosted(data, ["a"], models.fit_boosted(data, ["a"], n_estimators=60, learning_rate=0.2)).collect()
     # Near the step it depends on where the trees put their threshold between two train values.
     assert len(got) == 400 and max(abs(r["prediction"] - r["y"]) for r in got if abs(r["pos"] % 100 - 40) > 3) < 0.1
-    assert models.boosted_params()["maxIter"] == 100 and models.boosted_params()["maxDepth"] == 5
-    for wrong in ({"n_estimators": 0}, {"learning_rate": 0.0}, {"num_leaves": 1}, {"feature_fraction": 1.5}, {"bagging_fraction": 0.0}, {"bagging_freq": 2}):
+    for wrong in ({"n_estimators": 0}, {"learning_rate": 0.0}, {"num_leaves": 1}, {"feature_fraction": 1.5}, {"bagging_fraction": 0.0}, {"bagging_freq": -1}):
         with pytest.raises(ValueError):
-            models.boosted_params(**wrong)
+            models.fit_boosted(data, ["a"], **wrong)
 
 
 def test_medians_against_sorting(spark):
@@ -164,6 +260,18 @@ def test_baseline_modeling_by_hand(spark):
     assert all(r["prediction_mean"] == pytest.approx(0.02337506967450309) for r in got)
 
 
+@pytest.mark.parametrize("span", [1, 2, 12, 250])
+def test_ema_of_any_span_over_blocks_and_gaps(spark, span):
+    """Several blocks, a gap longer than a block, nothing at the start; against pandas."""
+    rng = random.Random(span)
+    prices = [None] * 5 + [rng.uniform(5, 20) for _ in range(2500)] + [None] * 1500 + [rng.choice([None, rng.uniform(5, 20)]) for _ in range(1500)]
+    rows = [(DAY + dt.timedelta(days=i), "A", p) for i, p in enumerate(prices)] + [(DAY, "B", 3.0), (DAY, "C", None)]
+    frame = spark.createDataFrame(rows, "date timestamp_ntz, ticker string, close double")
+    got = with_ema(frame, F.col("close"), span, "e").where("ticker = 'A'").orderBy("date").toPandas()
+    want = pd.Series(prices, dtype="float64").ewm(span=span, adjust=False, min_periods=span).mean()
+    pd.testing.assert_series_equal(got["e"], want, check_names=False, rtol=1e-11)
+
+
 def test_ema_over_missing_prices(spark):
     """Against pandas, which lets weights decay over missing values; both default spans."""
     rng = random.Random(6)

@@ -11,6 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import boosting
 from tidemark.operators.medians import prefix_medians
 from tidemark.sources.staging import materialize
 
@@ -94,38 +95,15 @@ def predict_ols(data: DataFrame, model: LinearModel, name: str = "linear_regress
     return bundle(data.withColumn("prediction", total), name, model.method)
 
 
-def boosted_params(
-    n_estimators: int = 100, learning_rate: float = 0.05, num_leaves: int = 31, min_child_samples: int = 20,
-    feature_fraction: float = 1.0, bagging_fraction: float = 1.0, bagging_freq: int = 0, seed: int = 42,
-) -> dict:
-    """Parameters of Spark's boosted trees that play the same part, after range checks.
+def fit_boosted(data: DataFrame, columns: list[str], **params) -> boosting.Ensemble:
+    """Boosted trees of the parameters of ``boosting.Params``, grown leaf by leaf on the train rows."""
+    return boosting.fit(data, columns, boosting.Params(**params))
 
-    Rows are sampled for every tree (bagging_freq 1) or never (0); Spark has nothing between.
-    """
-    if bagging_freq not in (0, 1):
-        raise ValueError("bagging_freq must be 0 or 1")
-    if n_estimators < 1 or learning_rate <= 0 or num_leaves < 2 or min_child_samples < 1:
-        raise ValueError("tree counts, rates and sizes must be positive")
-    if not (0 < feature_fraction <= 1 and 0 < bagging_fraction <= 1):
-        raise ValueError("fractions must be above 0 and at most 1")
-    return {
-        "maxIter": n_estimators, "stepSize": learning_rate, "maxDepth": max(1, int(np.ceil(np.log2(num_leaves)))), "minInstancesPerNode": min_child_samples,
-        "featureSubsetStrategy": "all" if feature_fraction == 1 else str(feature_fraction), "subsamplingRate": bagging_fraction if bagging_freq else 1.0, "seed": seed,
-    }
-
-
-def fit_boosted(data: DataFrame, columns: list[str], **params):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(data.where("split = 'train'"))
-    return GBTRegressor(labelCol="y", **boosted_params(**params)).fit(vectors.select("features", "y"))
-
-
-def predict_boosted(data: DataFrame, columns: list[str], model, name: str = "boosted_trees") -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
 
-    return bundle(model.transform(VectorAssembler(inputCols=columns, outputCol="features").transform(data)), name, "gbt")
+def predict_boosted(data: DataFrame, columns: list[str], model: boosting.Ensemble, name: str = "boosted_trees") -> DataFrame:
+    if tuple(columns) != model.columns:
+        raise ValueError(f"the trees were grown on {', '.join(model.columns)}")
+    return bundle(boosting.with_predictions(data, model), name, "gbt")
 
 
 def bundle(predicted: DataFrame, name: str, method: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.sources.bars import BAR_COLUMNS
+from tidemark.sources.staging import materialize
 
 NUMBERS = ("open", "high", "low", "close", "volume")
 LACKING = tuple(f"missing_{c}" for c in NUMBERS)
@@ -71,6 +72,11 @@ def _raw_rows(bars: DataFrame) -> DataFrame:
     return normalize(bars.withColumn("_raw", F.struct(*BAR_COLUMNS))).select(*BAR_COLUMNS, "_raw")
 
 
+def _broken_rows(bars: DataFrame) -> DataFrame:
+    broken = F.array_compact(F.array(*[F.when(x, name) for name, x in row_rules()]))
+    return _raw_rows(bars).select("date", "ticker", F.explode(broken).alias("rule"))
+
+
 def _repeated_keys(bars: DataFrame) -> DataFrame:
     """``date, ticker, n``: keys found more than once, by counts. Only keys are read and shuffled, and counted before they are."""
     kinds = dict(bars.dtypes)
@@ -83,38 +89,27 @@ def violations(bars: DataFrame) -> DataFrame:
 
     Rules of one row are read off it without a shuffle; a repeated key gives as many rows as it was counted.
     """
-    broken = F.array_compact(F.array(*[F.when(x, name) for name, x in row_rules()]))
-    by_row = _raw_rows(bars).select("date", "ticker", F.explode(broken).alias("rule"))
+    by_row = _broken_rows(bars)
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))
     by_key = _repeated_keys(bars).select("date", "ticker", each.alias("k")).select("date", "ticker", F.lit("duplicate_key").alias("rule"))
     return by_row.unionByName(by_key)
 
 
-def _first_five(found: DataFrame, by: str) -> DataFrame:
-    """The first EXAMPLES keys of each value of ``by``: kept to so many in every task before and after the shuffle."""
-    first = F.row_number().over(Window.partitionBy(by).orderBy("date", "ticker"))
-    return found.withColumn("_nth", first).where(F.col("_nth") <= EXAMPLES)
-
-
 def validate_bars(bars: DataFrame) -> DataFrame:
     """Normalized bars; raises for the first rule that is broken, with five examples in order of date and ticker.
 
     Missing numbers are one rule: the message names every column that lacks some. The input is read once for
-    the rules of a row, whose counters are observed while examples are looked for, and, if none is
+    the rules of a row (broken ones are counted by key and written: nothing, for a clean table) and, if none is
     broken, once for its keys.
     """
-    rules = row_rules()
-    seen = Observation("rules")
-    kind = lambda name: "missing_numbers" if name in LACKING else name
-    broken = F.array_distinct(F.array_compact(F.array(*[F.when(x, kind(name)) for name, x in rules])))
-    counted = _raw_rows(bars).observe(seen, *[F.count_if(F.coalesce(x, F.lit(False))).alias(name) for name, x in rules])
-    keys = counted.select("date", "ticker", F.explode(broken).alias("rule")).groupBy("rule", "date", "ticker").agg(F.lit(1).alias("one"))
-    examples = _first_five(keys, "rule").orderBy("rule", "_nth").collect()  # five a rule at most
-    counts = seen.get
-    for name, _ in rules:
-        if counts[name]:
-            names = [n for n in LACKING if counts[n]] if name in LACKING else [name]
-            raise BarError(_message({n: counts[n] for n in names}, [r for r in examples if r["rule"] == kind(name)]))
+    rules = [name for name, _ in row_rules()]
+    broken = materialize(_broken_rows(bars).groupBy("rule", "date", "ticker").agg(F.count("*").alias("n")), "broken")
+    counts = {r["rule"]: r["n"] for r in broken.groupBy("rule").agg(F.sum("n").alias("n")).collect()}  # a row per rule
+    for rule in rules:
+        if rule in counts:
+            names = [n for n in LACKING if n in counts] if rule in LACKING else [rule]
+            keys = broken.where(F.col("rule").isin(names)).select("date", "ticker").distinct()
+            raise BarError(_message({n: counts[n] for n in names}, keys.orderBy("date", "ticker").limit(EXAMPLES).collect()))
     repeated = Observation("keys")
     found = _repeated_keys(bars).observe(repeated, F.sum("n").alias("n")).orderBy("date", "ticker").limit(EXAMPLES).collect()
     if found:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, models, performance, splits
+from tidemark.operators.blocks import in_blocks
 from tidemark.operators.validation import normalize, violations
 from tidemark.plans import pipelines
-from tidemark.sources.bars import event_bars, trade_bars
+from tidemark.sources.bars import event_bars, store_bars, trade_bars
+from tidemark.sources.staging import shared_dir
 
 TRAIN_END, VALIDATION_END = "1999-12-31", "2000-12-31"
 LABEL = "label_forward_return_20d_entry_lag_1d"
+TICKS_A_BLOCK = 8192
 PAIR = ["price_momentum_5d", "price_volatility_10d"]
 
 
@@ -72,6 +76,27 @@ def ema_slow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(features.add_technical_indicators(trade_bars(spark, sf_dir), (5,), (26,), (14,)), "ema_26d")
 
 
+def stored_bar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of bars that were stored in buckets of tickers: no shuffle before the windows."""
+    name = f"tidemark_bars_{uuid.uuid4().hex}"
+    stored = store_bars(trade_bars(spark, sf_dir), name, path=f"{shared_dir(spark)}/{name}")
+    return _keys(features.add_technical_indicators(features.add_price_volume_features(stored, (5,), (10,), (5,)), (20,), (12,), (14,)), "price_momentum_5d", "price_volatility_10d", "volume_average_5d", "sma_20d", "rsi_14d")
+
+
+def tick_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one series of ticks: a single ticker, worked on in blocks with halos."""
+    ticks = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.lit("all").alias("ticker"), F.col("ts").cast("timestamp_ntz").alias("date"), F.col("value").alias("close"), F.lit(1).alias("volume")
+    )
+
+    def make(df: DataFrame) -> DataFrame:
+        made = features.add_price_volume_features(df, (5,), (10,), (5,))
+        return features.add_forward_return_label(features.add_technical_indicators(made, (20,), (1,), (14,)), 20, 1)
+
+    df = in_blocks(ticks, make, before=20, after=20, rows=TICKS_A_BLOCK)
+    return _rounded(df.select("date", "price_momentum_5d", "price_volatility_10d", "sma_20d", "rsi_14d", LABEL))
+
+
 def forward_return_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _keys(features.add_forward_return_label(trade_bars(spark, sf_dir), 20, 1), LABEL)
 
@@ -165,9 +190,7 @@ def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gbt_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = _prepared(spark, sf_dir)
-    models.check_inputs(data, PAIR)
-    model = models.fit_boosted(data, PAIR)
-    return _rounded(models.evaluate(models.predict_boosted(data, PAIR, model)))
+    return _rounded(pipelines.evaluated(models.predict_boosted(data, PAIR, models.fit_boosted(data, PAIR))))
 
 
 def daily_equal_weight_return(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         price_volume_features, bar_violations, bars_normalized, event_features, technical_indicators, ema_slow, forward_return_label, feature_matrix_positions,
         temporal_split_summary, walk_forward_plan, scaler_params, scaled_features, scaled_train_stats, supervised_counts, baseline_eval,
         ols_coefficients, ols_eval, model_comparison, gbt_eval, daily_equal_weight_return, ticker_coverage, performance_summary, drawdown_curve,
-        smoke_summary, walk_forward_supervised, walk_forward_scaled, walk_forward_dates, baseline_modeling, labels_by_position,
+        smoke_summary, walk_forward_supervised, walk_forward_scaled, walk_forward_dates, baseline_modeling, labels_by_position, stored_bar_features, tick_features,
     )
 } | {f"walk_forward_baseline_{m}": _walk_forward(m) for m in ("mean", "median")}
 
@@ -268,8 +291,8 @@ _RET = f"ret AS (SELECT *, {_mom(1)} AS r FROM bars)"
 _LAB = f'lead("close", 20) OVER ({_W}) / nullif(lead("close", 1) OVER ({_W}), 0) - 1'
 _FEAT = f"feat AS (SELECT *, {_mom(5)} AS m5, {_full('r', 10, 'stddev_pop')} AS v10, {_LAB} AS y FROM ret)"
 _MAT = "mat AS (SELECT row_number() OVER (ORDER BY date, ticker) - 1 AS pos, date, ticker, m5, v10, y FROM feat WHERE m5 IS NOT NULL AND v10 IS NOT NULL)"
-_SPL = f"spl AS (SELECT *, CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train' WHEN date <= DATE '{VALIDATION_END}' THEN 'validation' ELSE 'test' END AS split FROM mat)"
-_SCL = """par AS (SELECT avg(m5) AS am, stddev_pop(m5) AS sm, avg(v10) AS av, stddev_pop(v10) AS sv FROM spl WHERE split = 'train'),
+_SPL = f"spl AS MATERIALIZED (SELECT *, CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train' WHEN date <= DATE '{VALIDATION_END}' THEN 'validation' ELSE 'test' END AS split FROM mat)"
+_SCL = """par AS MATERIALIZED (SELECT avg(m5) AS am, stddev_pop(m5) AS sm, avg(v10) AS av, stddev_pop(v10) AS sv FROM spl WHERE split = 'train'),
 scl AS (SELECT pos, date, ticker, split, y, (m5 - am) / sm AS m5, (v10 - av) / sv AS v10 FROM spl JOIN par ON true)"""
 _OLS = """lab AS (SELECT * FROM scl WHERE y IS NOT NULL),
 mom AS (SELECT avg(m5) AS a1, avg(v10) AS a2, avg(y) AS ay, var_pop(m5) AS s11, var_pop(v10) AS s22, covar_pop(m5, v10) AS s12,
@@ -322,6 +345,17 @@ SELECT ticker, date, {_r(_full('"close"', 5, "avg"), "sma_5d")}, {_r(_full('"clo
   {_r("CASE WHEN ul = 0 AND ug = 0 THEN 50.0 WHEN ul = 0 THEN 100.0 ELSE 100 - 100 / (1 + ug / ul) END", "rsi_14d")} FROM av""",
     "ema_slow": f"""WITH {_BARS}, past AS (SELECT ticker, date, list("close") OVER ({_W} ROWS BETWEEN 509 PRECEDING AND CURRENT ROW) AS past, row_number() OVER ({_W}) AS k FROM bars)
 SELECT ticker, date, {_r("CASE WHEN k >= 26 THEN list_reduce(past, lambda acc, x: acc * (1 - 2.0 / 27) + x * (2.0 / 27)) END", "ema_26d")} FROM past""",
+    "stored_bar_features": f"""WITH {_BARS}, mv AS (SELECT *, "close" - lag("close") OVER ({_W}) AS d, {_mom(1)} AS r FROM bars),
+gl AS (SELECT *, CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0.0 END AS g, CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0.0 END AS l FROM mv),
+av AS (SELECT *, {_full("g", 14, "avg")} AS ug, {_full("l", 14, "avg")} AS ul FROM gl)
+SELECT ticker, date, {_r(_mom(5), "price_momentum_5d")}, {_r(_full("r", 10, "stddev_pop"), "price_volatility_10d")}, {_r(_full("volume", 5, "avg"), "volume_average_5d")}, {_r(_full('"close"', 20, "avg"), "sma_20d")},
+  {_r("CASE WHEN ul = 0 AND ug = 0 THEN 50.0 WHEN ul = 0 THEN 100.0 ELSE 100 - 100 / (1 + ug / ul) END", "rsi_14d")} FROM av""",
+    "tick_features": f"""WITH bars AS (SELECT 'all' AS ticker, ts AS date, value AS "close" FROM events), {_RET},
+mv AS (SELECT *, "close" - lag("close") OVER ({_W}) AS d, lag("close", 5) OVER ({_W}) AS b5, lead("close", 20) OVER ({_W}) AS f20, lead("close", 1) OVER ({_W}) AS f1 FROM ret),
+gl AS (SELECT *, CASE WHEN d > 0 THEN d WHEN d <= 0 THEN 0.0 END AS g, CASE WHEN d < 0 THEN -d WHEN d >= 0 THEN 0.0 END AS l FROM mv),
+av AS (SELECT *, {_full("g", 14, "avg")} AS ug, {_full("l", 14, "avg")} AS ul FROM gl)
+SELECT CAST(date AS TIMESTAMP) AS date, {_r(_over('"close"', "b5") + " - 1", "price_momentum_5d")}, {_r(_full("r", 10, "stddev_pop"), "price_volatility_10d")}, {_r(_full('"close"', 20, "avg"), "sma_20d")},
+  {_r("CASE WHEN ul = 0 AND ug = 0 THEN 50.0 WHEN ul = 0 THEN 100.0 ELSE 100 - 100 / (1 + ug / ul) END", "rsi_14d")}, {_r(_over("f20", "f1") + " - 1", LABEL)} FROM av""",
     "forward_return_label": f"WITH {_BARS} SELECT ticker, date, {_r(_LAB, LABEL)} FROM bars",
     "bars_normalized": f'WITH {_BARS} SELECT ticker, date, "open", high, low, "close", volume FROM bars',
     "bar_violations": f"""WITH {_BARS}, m AS (SELECT *, (CAST(ticker AS INT) + dayofyear(date)) % 97 AS m FROM bars),
