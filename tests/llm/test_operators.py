@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import struct
@@ -304,6 +305,62 @@ def test_lengths_compete():
     assert total(joint) < 0.95 * total(packing.best_fit(sizes, (4096,)))
 
 
+PRICES = [
+    lambda r: r.randrange(513, 701), lambda r: r.randrange(1025, 1501), lambda r: r.randrange(1, 4097), lambda r: min(4096, int(r.lognormvariate(6, 1)) + 1),
+    lambda r: r.choice([40, 600, 1400, 3000]), lambda r: r.randrange(1, 60), lambda r: r.randrange(2049, 2700),
+]
+
+
+@pytest.mark.parametrize("kind", range(len(PRICES)))
+def test_no_set_of_lengths_is_cheaper(kind):
+    from itertools import combinations
+
+    rng = random.Random(kind)
+    sizes = sorted((PRICES[kind](rng) for _ in range(2000)), reverse=True)
+    price = lambda capacities: sum(map(packing.default_cost, capacities))
+    bins, starts, used, capacity = packing.jointly(sizes)
+    held = Counter()
+    for b, size in zip(bins, sizes, strict=True):
+        held[b] += size
+    assert [held[b] for b in range(len(used))] == used and all(u <= c for u, c in zip(used, capacity, strict=True))
+    for k in range(1, 5):
+        for opened in combinations(packing.LENGTHS, k):
+            if opened[-1] >= sizes[0]:
+                assert price(capacity) <= price(packing.best_fit(sizes, opened)[3]) + 1e-6
+
+
+def test_joint_lengths_against_the_optimum():
+    """Ten pieces, all ways to put them into bins: within a tenth of the least cost, and nearly always equal to it."""
+    rng, lengths, cost = random.Random(3), (4, 8, 16), lambda c: c + 1.0 + c * c / 64
+    equal = 0
+    for _ in range(40):
+        sizes = sorted((rng.randrange(1, 17) for _ in range(10)), reverse=True)
+        best = [math.inf]
+
+        def place(k, bins, sizes=sizes, best=best):
+            if sum(cost(next(c for c in lengths if c >= b)) for b in bins) >= best[0]:
+                return
+            if k == len(sizes):
+                best[0] = sum(cost(next(c for c in lengths if c >= b)) for b in bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] + sizes[k] <= 16 and bins[i] not in bins[:i]:
+                    place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+            place(k + 1, [*bins, sizes[k]])
+
+        place(0, [])
+        got = sum(map(cost, packing.jointly(sizes, lengths, cost)[3]))
+        assert best[0] - 1e-9 <= got <= 1.1 * best[0]
+        equal += got <= best[0] + 1e-9
+    assert equal >= 20
+
+
+def test_shards_are_bounded_in_pieces(spark):
+    docs = spark.createDataFrame([(1, "w " * 400_000), *((i, "a b c") for i in range(2, 300))], "doc_id long, text string")
+    got = Counter(r["shard"] for r in packing.pack(docs, shard_pieces=20).collect())
+    assert sum(got.values()) == 298 + 98 and max(got.values()) <= 45
+
+
 def test_packing_counts_tokens_and_deals_equal_rows(spark, tmp_path):
     texts = [None, "", "日本語 漢字", "漢字かな交じり文 " * 1500, sentence(random.Random(2), 4000)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

@@ -71,7 +71,8 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     kept = [c for c in docs.columns if c.lower() not in ("_n_lines", "_n_dropped")]
     docs = docs.select(*kept)
     at, hashed, drop, lines, left = spare(docs, "_id", "_h", "_drop", "_lines", "_text")
-    drops = dropped_positions(docs, min_chars, min_docs).select(F.col("_id").alias(at), F.col("_h").alias(hashed), F.col("_drop").alias(drop))
+    # Written, so that very many rows of one id and text are split between tasks where they meet it.
+    drops = materialize(dropped_positions(docs, min_chars, min_docs), "drops").select(F.col("_id").alias(at), F.col("_h").alias(hashed), F.col("_drop").alias(drop))
     keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), hashed: F.xxhash64(text_or_empty())})
     joined = keyed.join(drops.hint("shuffle_hash"), [at, hashed], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(drop))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Remembered, table
+from tidemark.llm.common import Remembered, materialize, table
 
 N_BUCKETS = 1 << 14
 #: Mean log-likelihood ratio per n-gram that a document must reach to stay.
@@ -115,6 +115,7 @@ def count_ngrams(docs: DataFrame, trusted: DataFrame, n_buckets: int = N_BUCKETS
 def fit_log_ratios(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS) -> np.ndarray | None:
     """``log p_target - log p_raw`` by bucket; None if there is no trusted document."""
     good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    good = materialize(good, "good")  # as a table, so that the join can split a hot id, or all rows without one
     if good.isEmpty():
         return None
     counts = count_ngrams(docs, good, n_buckets).collect()  # n_buckets rows at most

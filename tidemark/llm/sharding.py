@@ -144,6 +144,7 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> Da
             F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
             F.xxhash64(F.lit(3), text_or_empty()).alias("g"),
             F.array_distinct(F.transform(lines, lambda k: F.xxhash64(k))).alias("lines"),
+            F.monotonically_increasing_id().alias("row"),
         ),
         "base",
     )
@@ -172,7 +173,12 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
         F.when(hot, F.col("g")).when(F.col("weight").isNotNull(), F.col("cluster")).otherwise(0).alias("hot"),
         F.when(hot, salts("w")).alias("by_doc"), F.when(~hot, salts("weight")).alias("by_group"),
     )
-    by_doc, by_group = F.pmod(F.xxhash64("doc_id", "size"), F.col("by_doc")), F.pmod(F.xxhash64(F.lit(6), "g"), F.col("by_group"))
+    # Very many equal rows are told apart by their numbers; which of them lies where makes no difference. 4 * HOT_SHARE at most.
+    equal = base.groupBy("g", F.coalesce("doc_id", F.lit(0)).alias("_doc"), F.col("doc_id").isNull().alias("_none")).agg(F.count("*").alias("k"))
+    equal = materialize(equal.where(F.col("k") * (4 * HOT_SHARE) > total).drop("k").withColumn("many", F.lit(True)), "equal")
+    base = base.withColumns({"_doc": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}).join(F.broadcast(equal), ["g", "_doc", "_none"], "left")
+    apart = F.when(F.col("many"), F.col("row")).otherwise(0)
+    by_doc, by_group = F.pmod(F.xxhash64("doc_id", "size", apart), F.col("by_doc")), F.pmod(F.xxhash64(F.lit(6), "g"), F.col("by_group"))
     placed = base.join(marked, "g").select(
         "doc_id", "size", "text_crc32", "g", "label", "cluster", "hot",
         F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(PREFIXES)).alias("region"), F.coalesce(by_doc, by_group, F.lit(0)).alias("part"),
