@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_ids, materialize, table
 
-#: Bounds on the sample that is fitted on: labelled texts per class, bytes per class of the blocks that
-#: train a dictionary (blocks are drawn by hash from all over the sampled whole texts).
-MAX_PER_CLASS, SAMPLE_BYTES, BLOCK = 1_500, 8_000_000, 2048
+#: Bound on the sample that is fitted on: labelled texts per class, each of them whole.
+MAX_PER_CLASS = 1_500
+#: A text trains a dictionary in blocks of so many bytes.
+BLOCK = 2048
 #: A dictionary has an eighth of the bytes that it is trained on, and this many at most.
 DICTIONARY_BYTES = 256 * 1024
 #: Texts are compressed in pieces, so that what a text repeats of itself does not hide the dictionaries.
@@ -105,35 +106,27 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def _blocks(training: DataFrame, sample_bytes: int) -> dict[int, list[bytes]]:
-    """Blocks of the texts that build dictionaries: all of them, or about ``sample_bytes`` a class chosen by hash."""
-    build = training.where("build")
-    sizes = {r["quality"]: r["n"] for r in build.groupBy("quality").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    most = {q: int(2**64 * min(1.0, sample_bytes / max(1, n))) for q, n in sizes.items()}
+def _blocks(training: DataFrame) -> dict[int, list[bytes]]:
+    """All blocks of the whole texts that build dictionaries, by class; ordered by a hash, so not by partitions."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for doc_id, quality, text in zip(batch["doc_id"], batch["quality"], batch["text"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                for i in range(0, len(raw), BLOCK):
-                    h = xxhash.xxh64_intdigest(f"{doc_id} {i}")
-                    if h < most[quality]:
-                        rows.append((quality, h >> 1, raw[i : i + BLOCK]))
+                rows += [(quality, xxhash.xxh64_intdigest(f"{doc_id} {i}") >> 1, raw[i : i + BLOCK]) for i in range(0, len(raw), BLOCK)]
             yield pd.DataFrame(rows, columns=["quality", "h", "block"])
 
-    found = build.select("doc_id", "quality", "text").mapInPandas(cut, "quality int, h long, block binary").collect()
+    found = training.where("build").select("doc_id", "quality", "text").mapInPandas(cut, "quality int, h long, block binary").collect()
     found.sort(key=lambda r: (r["h"], bytes(r["block"])))
     return {q: [bytes(r["block"]) for r in found if r["quality"] == q] for q in (1, 0)}
 
 
-def fit_compression_model(
-    docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS, sample_bytes: int = SAMPLE_BYTES
-) -> CompressionModel | None:
+def fit_compression_model(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> CompressionModel | None:
     """Fit on a bounded sample of the labelled rows that are not held out, of which whole texts count.
 
-    Two thirds of the sample build the dictionaries, the rest sets the logistic curve. None where
-    either class has too few texts for that.
+    The bound is on rows alone: at most ``max_per_class`` of a class. Two thirds of the sample build the
+    dictionaries, the rest sets the logistic curve. None where either class has too few texts for that.
     """
     usable = labels.where(~held_out(F.col("doc_id")))
     ids = {q: bounded_ids(usable.where(F.col("quality") == q), "doc_id", max_per_class) for q in (1, 0)}
@@ -148,7 +141,7 @@ def fit_compression_model(
         .groupBy("doc_id", "quality", "build").agg(F.min("text").alias("text")),
         "training",
     )
-    blocks = _blocks(training, sample_bytes)
+    blocks = _blocks(training)
     good, bad = _dictionary(blocks[1]), _dictionary(blocks[0])
     if good is None or bad is None:
         return None
