@@ -69,7 +69,7 @@ class Node:
         self.start = self.chars = self.links = self.elements = self.paragraphs = self.marks = self.words = self.digits = self.capitals = 0
 
 
-def _attributes(node: Node, raw: str) -> None:
+def _attributes(node: Node, raw: str, marked: bool) -> None:
     for name, a, b, c in _ATTRIBUTE.findall(raw):
         name = name.lower()
         if name in ("class", "id", "role", "itemprop", "aria-label"):
@@ -80,16 +80,17 @@ def _attributes(node: Node, raw: str) -> None:
                     node.kinds |= 1 << kind
         elif name == "hidden" or (name == "aria-hidden" and "true" in (a, b, c)) or (name == "style" and "none" in (a or b or c)):
             node.hidden = True
-        elif name == "data-truth":
+        elif marked and name == "data-truth":
             node.truth = (a or b or c) == "1"
 
 
-def parse(page: str) -> list[Node]:
+def parse(page: str, marked: bool = False) -> list[Node]:
     """Block elements and text runs in page order; the first is the root.
 
     A run is text of one block that no other block interrupts; its white space is one space each.
     Elements within a line belong to their block, links among them are measured. Unclosed,
-    wrongly nested and cut-off markup is read as far as it goes.
+    wrongly nested and cut-off markup is read as far as it goes. ``marked``: a made-up page, whose
+    data-truth attributes say what is main; elsewhere that attribute is one like any other.
     """
     root = Node("html", None)
     nodes, stack = [root], [root]
@@ -169,7 +170,7 @@ def parse(page: str) -> list[Node]:
         node = Node(tag, stack[-1])
         node.silent = tag in SILENT or stack[-1].silent
         if found[3]:
-            _attributes(node, found[3])
+            _attributes(node, found[3], marked)
         stack[-1].children.append(node)
         nodes.append(node)
         if tag in RAW:

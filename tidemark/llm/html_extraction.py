@@ -223,7 +223,7 @@ def _training_rows(page: str, seed: int) -> list[tuple[list[float], float]]:
         k = rng.randrange(1, 9)
         chosen = own[1 : 1 + k] or own
         lent = [" ".join(t.split(" ")[: rng.randrange(4, 60)]) for t in rng.sample(own, min(len(own), 4))]
-        made = dom.parse(_laid_out(own[0][:120], chosen, links, asides + lent, rng))
+        made = dom.parse(_laid_out(own[0][:120], chosen, links, asides + lent, rng), marked=True)
         pages.append(made)
     rows = []
     for nodes in pages:
