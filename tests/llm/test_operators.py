@@ -239,6 +239,21 @@ def test_whole_texts_are_compressed():
     assert compression_classifier.size_difference(None, good, bad) == 0.0 and isinstance(good, zstandard.ZstdCompressor)
 
 
+def test_dictionaries_train_on_whole_texts(spark):
+    """Every byte of every sampled text trains, below 8 MB a class and above; the order does not depend on partitions."""
+    rng = random.Random(9)
+    for words in (300, 60_000):
+        rows = [(i, i % 2, i % 3 > 0, " ".join(f"{rng.choice(WORDS)}{rng.randrange(99)}" for _ in range(words)) + "\U0001f600") for i in range(60)]
+        training = spark.createDataFrame(rows, "doc_id long, quality int, build boolean, text string")
+        got = compression_classifier._blocks(training.repartition(5))
+        assert got == compression_classifier._blocks(training.repartition(2))
+        for q in (1, 0):
+            raw = [t.encode() for _, quality, build, t in rows if quality == q and build]
+            n = compression_classifier.BLOCK
+            assert sorted(got[q]) == sorted(r[i : i + n] for r in raw for i in range(0, len(r), n))
+    assert sum(map(len, got[1])) > 8_000_000
+
+
 def test_classifier_held_out():
     sf = "/root/testdata/sf0.01"
     if not Path(sf).exists():
@@ -689,6 +704,12 @@ def test_html_without_landmarks_long_and_deep(spark):
     assert right >= 0.9 * found and right >= 0.9 * kept
 
 
+def test_truth_marks_count_in_made_up_pages_only():
+    page = "<div data-truth='1'>one</div><p data-truth='0'>two</p>"
+    assert all(n.truth is None for n in dom.parse(page))
+    assert [n.truth for n in dom.parse(page, marked=True) if n.tag in ("div", "p")] == [True, False]
+
+
 def test_dom_reads_any_depth():
     """Depths beyond any limit are kept, ancestors are not closed early, and time grows with the page."""
     nodes = dom.parse("<div>" * 450 + "</div>" * 57 + "here" + "<p>x" * 3)
