@@ -178,8 +178,8 @@ def test_fingerprints(spark, docs, empty):
 def test_fingerprint_strings_hold_the_likeness(spark, docs):
     """near_edited again, from the two returned strings alone."""
     made = common.materialize(fingerprints.fingerprints(docs), "made")
-    read = lambda c: fingerprints.read(F.col(c))
-    again = made.select("near_edited", fingerprints.likeness(read("fingerprint"), read("edited_fingerprint")).alias("again")).collect()
+    read = made.select("near_edited", fingerprints.read(F.col("fingerprint")).alias("a"), fingerprints.read(F.col("edited_fingerprint")).alias("b"))
+    again = fingerprints.with_likeness(read, "a", "b", "again").collect()
     assert all(r["near_edited"] == r["again"] for r in again)
 
 
@@ -203,6 +203,40 @@ def test_peeling_alone(spark):
     assert any(len(row[1]) > 60 and not r["own"]["ok"] for r, row in zip(got, rows))
 
 
+def test_differences_are_retried_larger(spark):
+    """Differences of any size come out exact, however few cells the first try has; and blocks of unlike numbers too."""
+    rng = random.Random(11)
+    numbers = spark.createDataFrame([(f"paragraph {i} {rng.random()}",) for i in range(900)], "t string")
+    found = [r["d"][0] for r in numbers.select(fingerprints.digests(F.col("t")).alias("d")).collect()]
+    rows = []
+    for k in range(40):
+        shared = rng.sample(found, rng.randrange(200))
+        rows.append((k, list({*shared, *rng.sample(found, rng.randrange(60))}), list({*shared, *rng.sample(found, rng.randrange(4 if k % 2 else 300))})))
+    frame = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    a, b = F.col("a"), F.col("b")
+    direct = frame.select("k", fingerprints.difference_from(a, b, F.lit(4)).alias("direct"), fingerprints.fingerprint(a).alias("x"), fingerprints.fingerprint(b).alias("y"))
+    got = fingerprints.with_difference(direct, "x", "y", "blocks").orderBy("k").collect()
+    for r, (_, x, y) in zip(got, rows):
+        assert r["direct"] == r["blocks"] == len(set(x) ^ set(y))
+
+
+def test_fingerprints_of_very_many_equal_rows(spark):
+    """Rows equal in id and text follow each other, and the last of them the next text, as if each were ordered on its own."""
+    rng = random.Random(12)
+    texts = ["\n".join(sentence(rng, 12) for _ in range(6 + k)) for k in range(3)]
+    rows = [(None, None)] * 1500 + [(7, texts[0])] * 2500 + [(7, texts[1])] * 3 + [(i, texts[2]) for i in range(100, 150)]
+    made = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    got = made.groupBy("doc_id", "n_chars", "edited_sha256", "near_next").count().collect()
+    assert sum(r["count"] for r in got) == len(rows)
+    heavy = sorted(r["count"] for r in got if r["doc_id"] == 7 and r["n_chars"] == len(texts[0]))
+    assert heavy == [1, 2499]
+    assert next(r for r in got if r["count"] == 2499)["near_next"] == 1.0
+    empty_ones = [r for r in got if r["doc_id"] is None]
+    assert sum(r["count"] for r in empty_ones) == 1500 and {r["near_next"] for r in empty_ones} == {0.0, 1.0}
+    spread = made.where("doc_id = 7").groupBy(F.spark_partition_id()).count().count()
+    assert spread > 1
+
+
 def test_fingerprints_of_unlike_sizes_and_very_long_texts(spark):
     rng = random.Random(7)
     lines = [f"line {rng.random()} of many" for _ in range(32_000)]

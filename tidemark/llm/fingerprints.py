@@ -9,9 +9,10 @@ holds, and it belongs in that cell) holds that one alone, which is then taken ou
 
 Sizes are powers of 2, so a larger fingerprint folds into a smaller one by adding cells. Two
 fingerprints are first compared folded to the smaller of both sizes. Where that gets stuck in a
-block, it is retried larger, with each fingerprint's own cells: a block is built with so many
-cells that peeling recovers all its digests, so in the end every digest can be had. Nothing but
-the two fingerprints is read.
+block, the subtraction is retried larger: both sides are sketched again with more cells (and as
+many blocks as the larger fingerprint has), subtracted and peeled, and again with twice the cells
+until it works. What is sketched again comes from the fingerprints themselves: a block is built
+with so many cells that peeling recovers all its digests. Nothing but the two fingerprints is read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ PER_BLOCK, DOUBLINGS = 4, 10
 FIRST_ROUNDS, ROUNDS = 4, 16
 #: A difference with a larger share of its cells in use is taken for stuck: it would not peel.
 MOST_FULL = 0.75
-#: No more blocks than this are folded into one: so many digests would not peel from it, nor fit its cells.
+#: No more blocks than this are folded into one: so many digests would not peel from it, nor fit its cells. Beyond, the larger size comes first.
 MOST_FOLDED = 64
 #: A digest: a check of 16 bits, and above it 36 bits of hash, of which each table looks at 12.
 CHECK_BITS, TABLE_BITS = 16, 12
@@ -112,24 +113,24 @@ def _moved(value: Column, placed: Column, table_: int, place: Column, sign: int)
     return F.aggregate(placed, value, lambda s, d: F.when(d[f"p{table_}"] == place, s + d["x"] if sign > 0 else s - d["x"]).otherwise(s))
 
 
+def per_table(cells: Column) -> Column:
+    return (F.size(cells) / TABLES).cast("int")
+
+
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
 def _pure(cells: Column) -> Column:
     """The digests that are alone in a cell: as they are, or negative if they were taken away."""
-    size = (F.size(cells) / TABLES).cast("int")
+    n = per_table(cells)
     is_digest = lambda v: (F.abs(v) < _long(1 << (HASH_BITS + CHECK_BITS))) & (
         F.abs(v).bitwiseAND(_long(_CHECK)) == _check(F.shiftright(F.abs(v), CHECK_BITS))
     )
-
-    def alone(n: Column) -> Column:
-        own = lambda t: F.transform(
-            F.slice(cells, n * t + 1, n), lambda v, i: F.when((v != 0) & is_digest(v) & (_cell_of(F.abs(v), t, n) == i), v)
-        )
-        return F.array_distinct(F.array_compact(F.concat(*[own(t) for t in range(TABLES)])))
-
-    return let(size, alone)
+    own = lambda t: F.transform(
+        F.slice(cells, n * t + 1, n), lambda v, i: F.when((v != 0) & is_digest(v) & (_cell_of(F.abs(v), t, n) == i), v)
+    )
+    return F.array_distinct(F.array_compact(F.concat(*[own(t) for t in range(TABLES)])))
 
 
 def peel(cells: Column, rounds: int = ROUNDS) -> Column:
@@ -137,9 +138,9 @@ def peel(cells: Column, rounds: int = ROUNDS) -> Column:
     state = F.struct(cells.alias("cells"), _empty().alias("found"), F.lit(False).alias("over"))
 
     def without(now: Column, pure: Column) -> Column:
-        size = (F.size(now["cells"]) / TABLES).cast("int")
-        cell = lambda d, n, t, i: let(F.get(now["cells"], n * t + i), lambda v: F.when(v == 0, v).otherwise(_moved(v, d, t, i, -1)))
-        left = let(size, lambda n: let(_placed(pure, n), lambda d: _tables(n, lambda t, i: cell(d, n, t, i))))
+        n = per_table(now["cells"])
+        table_ = lambda d, t: F.transform(F.slice(now["cells"], n * t + 1, n), lambda v, i: F.when(v == 0, v).otherwise(_moved(v, d, t, i, -1)))
+        left = let(_placed(pure, n), lambda d: F.concat(*[table_(d, t) for t in range(TABLES)]))
         over = F.struct(now["cells"].alias("cells"), now["found"].alias("found"), F.lit(True).alias("over"))
         peeled = F.struct(left.alias("cells"), F.concat(now["found"], pure).alias("found"), F.lit(False).alias("over"))
         return F.when(F.size(pure) == 0, over).otherwise(peeled)
@@ -165,17 +166,21 @@ def block(found: Column) -> Column:
         return F.forall(placed, alone) | peel(cells)["ok"]
 
     def made(n: Column) -> Column:
-        done = lambda c, d: F.struct(c.alias("cells"), (peels(c, d, n) | (n >= CELLS << DOUBLINGS)).alias("ok"))
+        done = lambda c, d: F.struct(c.alias("cells"), peels(c, d, n).alias("ok"))
         return let(_placed(found, n), lambda d: let(sketch(d, n), lambda c: done(c, d)))
 
     start = F.struct(_empty().alias("cells"), F.lit(False).alias("ok"))
     return F.aggregate(
         F.sequence(F.lit(0), F.lit(DOUBLINGS)), start,
         lambda now, k: F.when(now["ok"], now).otherwise(made(F.call_function("shiftleft", F.lit(CELLS), k))),
-        lambda now: now["cells"],
+        lambda now: F.when(now["ok"], now["cells"]).otherwise(_never_peels("array<bigint>")),
     )
 
 
+def _never_peels(kind: str) -> Column:
+    return F.raise_error(F.lit(f"digests of a block do not peel from {TABLES} tables of {CELLS << DOUBLINGS} cells")).cast(kind)
+
+
 # Fingerprints: an array of blocks, a power of 2 of them; a digest's block is told by its last bits.
 
 
@@ -213,39 +218,100 @@ def _folded(members: Column, cells: Column) -> Column:
     return F.when(alone, F.get(members, F.lit(0))["cells"]).otherwise(summed)
 
 
-def _listed(members: Column) -> Column:
-    """All digests of blocks, by peeling each on its own; often the first look finds as many as there are."""
-    own = lambda m: let(_pure(m["cells"]), lambda p: F.when(F.size(p) == m["n"], p).otherwise(peel(m["cells"])["found"]))
-    return F.flatten(F.transform(members, own))
+def _own(member: Column) -> Column:
+    """All digests of a block, by peeling it; often the first look finds as many as there are."""
+    return let(_pure(member["cells"]), lambda p: F.when(F.size(p) == member["n"], p).otherwise(peel(member["cells"])["found"]))
 
 
-def _difference_of_block(a: Column, b: Column) -> Column:
-    """How many digests two lists of blocks, of which one has a single block, do not share."""
-    cells = F.array_min(F.transform(F.concat(a, b), lambda m: F.size(m["cells"])))
-    apart = let(
-        F.struct(_listed(a).alias("a"), _listed(b).alias("b")),
-        lambda s: F.size(F.array_except(s["a"], s["b"])) + F.size(F.array_except(s["b"], s["a"])),
-    )
-    full = lambda c: F.size(F.filter(c, lambda x: x != 0)) > F.size(c) * MOST_FULL
-    tried = lambda c: F.when(full(c), apart).otherwise(let(peel(c, FIRST_ROUNDS), lambda r: F.when(r["ok"], F.size(r["found"])).otherwise(apart)))
-    folded = let(cells, lambda n: let(subtract(_folded(a, n), _folded(b, n)), tried))
-    few = F.size(a) + F.size(b) <= MOST_FOLDED + 1
-    return F.when(a == b, 0).when(few, folded).otherwise(apart)
+def difference_from(a: Column, b: Column, cells: Column) -> Column:
+    """How many digests two lists do not share: their sketches subtracted and peeled, at first with so many cells in each table, then with twice as many, ...
+
+    A sketch is a sum, so that of the one's digests and the other's, negated, is the one's less the other's.
+    """
+    both = F.concat(a, F.transform(b, lambda x: -x))
 
+    def tried(n: Column) -> Column:
+        twice = F.least(n * 2, F.lit(CELLS << DOUBLINGS))
+        return F.struct(twice.alias("cells"), peel(let(_placed(both, n), lambda d: sketch(d, n))).alias("peeled"))
+
+    start = F.struct(F.lit(False).alias("ok"), _empty().alias("found"))
+    return F.aggregate(
+        F.sequence(F.lit(0), F.lit(DOUBLINGS)), F.struct(cells.cast("int").alias("cells"), start.alias("peeled")),
+        lambda now, _: F.when(now["peeled"]["ok"], now).otherwise(tried(now["cells"])),
+        lambda now: F.when(now["peeled"]["ok"], F.size(now["peeled"]["found"])).otherwise(_never_peels("int")),
+    )
+
+
+# A comparison is three columns, one made of the other: Spark's analyzer gives up on lambdas nested as deep as all three together.
+
+
+def first_tries(a: Column, b: Column) -> Column:
+    """For each block of the smaller fingerprint: its number ``at``, what folds into it of both, ``a`` and ``b``, and how many digests
+    ``differ``, from the difference of both sides folded to the fewest cells that a block of theirs has; -1 where it is stuck."""
+
+    def folded(s: Column) -> Column:
+        full = lambda c: F.size(F.filter(c, lambda x: x != 0)) > F.size(c) * MOST_FULL
+        tried = lambda c: F.when(full(c), -1).otherwise(let(peel(c, FIRST_ROUNDS), lambda r: F.when(r["ok"], F.size(r["found"])).otherwise(-1)))
+        few = F.size(s["a"]) + F.size(s["b"]) <= MOST_FOLDED + 1
+        found = let(_fewest(s), lambda n: let(subtract(_folded(s["a"], n), _folded(s["b"], n)), tried))
+        return F.when(s["a"] == s["b"], 0).when(few, found).otherwise(-1)
 
-def difference(a: Column, b: Column) -> Column:
-    """How many digests two fingerprints do not share."""
-    blocks = F.least(F.size(a["blocks"]), F.size(b["blocks"]))
     one = lambda i, n: let(
-        F.struct(_members(a["blocks"], i, n).alias("a"), _members(b["blocks"], i, n).alias("b")), lambda s: _difference_of_block(s["a"], s["b"])
+        F.struct(_members(a["blocks"], i, n).alias("a"), _members(b["blocks"], i, n).alias("b")),
+        lambda s: F.struct(i.alias("at"), s["a"].alias("a"), s["b"].alias("b"), folded(s).alias("differ")),
     )
-    return let(blocks, lambda n: F.aggregate(_count_to(n), F.lit(0), lambda s, i: s + one(i, n)))
+    return let(F.least(F.size(a["blocks"]), F.size(b["blocks"])), lambda n: F.transform(_count_to(n), lambda i: one(i, n)))
+
+
+def _fewest(tried: Column) -> Column:
+    return F.array_min(F.transform(F.concat(tried["a"], tried["b"]), lambda m: F.size(m["cells"])))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common digests among all digests of two fingerprints, from the number that differ; 1 for two empty ones."""
-    both = a["n"] + b["n"]
-    return F.when(both == 0, 1.0).otherwise(let(difference(a, b), lambda d: (both - d) / (both + d)))
+def recovered(tries: Column) -> Column:
+    """Tries as ``differ`` and, where one was stuck, ``pairs`` of lists of digests, and how many ``cells`` to subtract them with.
+
+    One side has a single block; its digests are dealt over as many blocks as the other has. Each pair is to be
+    subtracted with more cells than were tried, no fewer than its own block has, and 2 for each digest.
+    """
+
+    def pairs(t: Column, n_blocks: Column) -> Column:
+        a_few = F.size(t["a"]) <= F.size(t["b"])
+        single, many = F.get(F.when(a_few, t["a"]).otherwise(t["b"]), F.lit(0)), F.when(a_few, t["b"]).otherwise(t["a"])
+        total, tried = n_blocks * F.size(many), (_fewest(t) / TABLES).cast("int")
+        own = lambda few, j: F.filter(few, lambda x: x.bitwiseAND(total - 1) == t["at"] + j * n_blocks)
+
+        def pair(few: Column, m: Column) -> Column:
+            wanted = F.least(F.ceil(F.log2((F.size(few) + m["n"]) * (2.0 / TABLES))), F.lit(TABLE_BITS))
+            cells = F.greatest(tried * 2, per_table(m["cells"]), F.pow(F.lit(2), wanted).cast("int"))
+            return F.struct(few.alias("few"), _own(m).alias("many"), F.least(cells, F.lit(CELLS << DOUBLINGS)).alias("cells"))
+
+        return let(_own(single), lambda few: F.transform(many, lambda m, j: let(own(few, j), lambda x: pair(x, m))))
+
+    done = lambda t: F.struct(t["differ"].alias("differ"), F.array().cast(_PAIRS).alias("pairs"))
+    stuck = lambda t: F.struct(t["differ"].alias("differ"), pairs(t, F.size(tries)).alias("pairs"))
+    return F.transform(tries, lambda t: F.when(t["differ"] >= 0, done(t)).otherwise(stuck(t)))
+
+
+_PAIRS = "array<struct<few: array<bigint>, many: array<bigint>, cells: int>>"
+
+
+def retried(tries: Column) -> Column:
+    """How many digests differ, in blocks that came out at first and in those that are subtracted again."""
+    again = lambda t: F.aggregate(F.transform(t["pairs"], lambda p: difference_from(p["few"], p["many"], p["cells"])), F.lit(0), lambda s, x: s + x)
+    counts = F.transform(tries, lambda t: F.when(t["differ"] >= 0, t["differ"]).otherwise(again(t)))
+    return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
+
+
+def with_difference(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """A column more: how many digests two columns of fingerprints do not share."""
+    tries = df.withColumn(name, first_tries(F.col(a), F.col(b)))
+    return tries.withColumn(name, recovered(F.col(name))).withColumn(name, retried(F.col(name)))
+
+
+def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """A column more: the share of common digests among all digests of two columns of fingerprints, from the number that differ; 1 for two empty ones."""
+    both, d = F.col(a)["n"] + F.col(b)["n"], F.col(name)
+    return with_difference(df, a, b, name).withColumn(name, F.when(both == 0, 1.0).otherwise((both - d) / (both + d)))
 
 
 def written(mark: Column) -> Column:
@@ -267,6 +333,7 @@ def read(text: Column) -> Column:
 
 _NO_ID = -(1 << 63)
 _FINE = 64
+_AT_ONCE = 1024
 
 
 def _below(doc_id: Column, cuts: list[int], how: Callable[[Column, Column], Column]) -> Column:
@@ -288,18 +355,46 @@ def _bucket(doc_id: Column, hashed: Column, cuts: list[int]) -> Column:
     return low + F.least(high - low, F.floor(part * (high - low + 1)).cast("int"))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
+def _counted_once(plain: DataFrame, cuts: list[int], least: float) -> DataFrame:
+    """``plain`` with ``copies``: rows equal in id and text, where there are more than ``least`` of them, become one.
+
+    Only an id that is several cuts at once can have so many rows. Fewer than rows / ``least`` keys are
+    looked up. Copies are summed before they are shuffled.
+    """
+    ids = sorted({a for a, b in zip(cuts, cuts[1:]) if a == b})
+    if not ids:
+        return plain.withColumn("copies", F.lit(1).cast("long"))
+    keys = plain.where(F.col("_id").isin(ids)).groupBy("_id", "_h").count().where(F.col("count") > least).select("_id", "_h")
+    marked = plain.join(F.broadcast(keys.withColumn("_heavy", F.lit(True))), ["_id", "_h"], "left")
+    once = marked.where("_heavy").groupBy("_id", "_h", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return marked.where("_heavy is null").select("_id", "text", "_h", F.lit(1).cast("long").alias("copies")).unionByName(once)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as ``copies`` says, at most _AT_ONCE times in a row, so that many copies are spread over tasks."""
+    spots = F.explode(F.sequence(_long(0), F.floor((F.col("copies") - 1) / _AT_ONCE)))
+    spread = rows.withColumn("_spot", spots).repartition("doc_id", "_spot")
+    times = F.least(F.lit(_AT_ONCE), F.col("copies") - F.col("_spot") * _AT_ONCE)
+    return spread.withColumn("_time", F.explode(F.sequence(_long(1), times))).drop("_time", "_spot", "copies")
+
+
+def with_next(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``doc_id, text, mark`` with ``next_text, next_mark`` of the next row in descending doc_id; mark: the fingerprint.
 
     After the last row comes the first. Ids are cut into ranges at their quantiles; each range is
     ordered on its own, with a copy of the row that follows it at its end. Texts are shuffled once.
+    Very many rows of one id and text are ordered as one and follow each other; ``copies`` says how
+    many such rows a row stands for. Whether it is ever more than 1 is returned with the rows.
     """
     spark = docs.sparkSession
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("_id"), text_or_empty().alias("text"))
     plain = plain.withColumn("_h", F.xxhash64("text"))
     n_ranges = max(8, min(8192, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     points = [(i + 1) / n_ranges for i in range(n_ranges - 1)]
-    cuts = sorted(plain.agg(F.percentile_approx("_id", points, 10 * n_ranges)).first()[0] or [])
+    found, n_rows = plain.agg(F.percentile_approx("_id", points, 10 * n_ranges), F.count(F.lit(1))).first()
+    cuts = sorted(found or [])
+    many = len(set(cuts)) < len(cuts)
+    plain = _counted_once(plain, cuts, n_rows / n_ranges)
     bucketed = plain.withColumn("b", _bucket(F.col("_id"), F.col("_h"), cuts))
     # The first row of each range, n_ranges at most.
     heads = bucketed.groupBy("b").agg(F.max(F.struct("_id", "_h")).alias("m")).collect()
@@ -314,14 +409,20 @@ def with_next(docs: DataFrame) -> DataFrame:
         spots = F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))
     else:
         spots = F.array(own)
-    placed = placed.withColumn("_spot", F.explode(spots)).select("_id", "_h", "text", "mark", "_spot.*")
+    placed = placed.withColumn("_spot", F.explode(spots)).select("_id", "_h", "text", "mark", "copies", "_spot.*")
     down = Window.partitionBy("b").orderBy("ghost", F.desc("_id"), F.desc("_h"))
-    return (
+    rows = (
         placed.withColumn("next_text", F.lead("text").over(down))
         .withColumn("next_mark", F.lead("mark").over(down))
         .where("ghost = 0")
-        .select(F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "text", "mark", "next_text", "next_mark")
+        .select(F.when(F.col("_id") != _NO_ID, F.col("_id")).alias("doc_id"), "text", "mark", "next_text", "next_mark", "copies")
     )
+    if many:
+        last = F.struct("next_text", "next_mark", _long(1).alias("copies"))
+        others = F.struct(F.col("text").alias("next_text"), F.col("mark").alias("next_mark"), (F.col("copies") - 1).alias("copies"))
+        rows = rows.select("doc_id", "text", "mark", F.explode(F.when(F.col("copies") > 1, F.array(last, others)).otherwise(F.array(last))).alias("_n"))
+        rows = rows.select("doc_id", "text", "mark", "_n.*")
+    return rows, many
 
 
 def edited_text(text: Column, other: Column) -> Column:
@@ -339,21 +440,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     * A text of n paragraphs, whatever their number, takes about n log n steps; fingerprints grow with n.
     * Rows that share a doc_id follow each other by a hash of their text, downwards. A null doc_id comes
       last and stays null. A single row is followed by itself. An empty table gives an empty result.
-    * Rows equal in doc_id and text are ordered in one task.
+    * Rows equal in doc_id and text follow each other; many of them are worked out once and repeated over many tasks.
     * Only doc_id and text are read.
     """
+    rows, many = with_next(docs)
     paired = (
-        with_next(docs)
-        .withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
+        rows.withColumn("edited", edited_text(F.col("text"), F.col("next_text")))
         .withColumn("edited_mark", fingerprint(digests(F.col("edited"))))
-        .select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "mark", "edited_mark", "next_mark")
+        .select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "mark", "edited_mark", "next_mark", "copies")
     )
-    return paired.select(
-        "doc_id", "n_chars", "edited_sha256",
+    compared = with_likeness(with_likeness(paired, "mark", "edited_mark", "near_edited"), "mark", "next_mark", "near_next")
+    made = compared.select(
+        "copies", "doc_id", "n_chars", "edited_sha256",
         written(F.col("mark")).alias("fingerprint"), written(F.col("edited_mark")).alias("edited_fingerprint"),
-        likeness(F.col("mark"), F.col("edited_mark")).alias("near_edited"),
-        likeness(F.col("mark"), F.col("next_mark")).alias("near_next"),
+        "near_edited", "near_next",
     )
+    return _repeated(made) if many else made.drop("copies")
 
 
 def op3_paragraph_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
