@@ -373,7 +373,9 @@ def _counted_once(plain: DataFrame, cuts: list[int], least: float) -> DataFrame:
 def _repeated(rows: DataFrame) -> DataFrame:
     """Each row as often as ``copies`` says, at most _AT_ONCE times in a row, so that many copies are spread over tasks."""
     spots = F.explode(F.sequence(_long(0), F.floor((F.col("copies") - 1) / _AT_ONCE)))
-    spread = rows.withColumn("_spot", spots).repartition("doc_id", "_spot")
+    # A stated number, as adaptive execution would join partitions by their size before the copies are made.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.withColumn("_spot", spots).repartition(n, "doc_id", "_spot")
     times = F.least(F.lit(_AT_ONCE), F.col("copies") - F.col("_spot") * _AT_ONCE)
     return spread.withColumn("_time", F.explode(F.sequence(_long(1), times))).drop("_time", "_spot", "copies")
 
