@@ -31,14 +31,15 @@ def with_stretches(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
 
 
 def with_ranks(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
-    """Adds each row's rank (from 0, by date) within its key: ranks within stretches, and counts of the stretches before."""
+    """Adds each row's rank (from 0, by date, at one time by the other columns) within its key: ranks within stretches, and counts of the stretches before."""
     stretch = f"{name}_stretch"
     parts = with_stretches(df, key, rows, stretch)
     counts = parts.groupBy(F.col(key).alias("_k"), F.col(stretch).alias("_s")).agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)  # over stretches alone
     starts = counts.select("_k", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     joined = parts.join(starts, F.col(key).eqNullSafe(F.col("_k")) & (F.col(stretch) == F.col("_s")))
-    rank = F.col("_start") + F.row_number().over(Window.partitionBy(key, stretch).orderBy("date")) - 1
+    ties = [c for c, kind in df.dtypes if c not in (key, "date") and not kind.startswith(("map", "variant"))]
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(key, stretch).orderBy("date", *ties)) - 1
     return joined.withColumn(name, rank).drop("_k", "_s", "_start", stretch)
 
 
@@ -47,7 +48,8 @@ def in_blocks(bars: DataFrame, make: Callable[[DataFrame], DataFrame], before: i
 
     Each block of ``rows`` rows of a ticker is worked on alone, with copies of the rows before and after it that its
     windows see; so a table of one ticker uses every task, and a long one no more memory than a block. For an
-    exponential mean ``windows.ema_reach`` rows before are as good as all. Dates must be unique in a ticker.
+    exponential mean ``windows.ema_reach`` rows before are as good as all. Rows may share a date: while make runs, ``date`` is
+    the row's rank in its ticker, so a block and its copied rows stay in the order in which they were cut.
     """
     if max(before, after) > rows:
         raise ValueError("windows may not reach beyond the neighbouring blocks")
@@ -56,6 +58,7 @@ def in_blocks(bars: DataFrame, make: Callable[[DataFrame], DataFrame], before: i
     copies = F.array_compact(F.array(own, F.when(place >= rows - before, own + 1), F.when((place < after) & (own > 0), own - 1)))
     spread = ranked.withColumns({"_own": own, "_copy": F.explode(copies)})
     # Ticker and block together stand in for the ticker.
+    spread = spread.withColumns({"_date": F.col("date"), "date": F.col("_rank")})
     made = make(spread.withColumn("ticker", F.struct(F.col("ticker").alias("ticker"), F.col("_copy").alias("block"))))
-    kept = made.where(F.col("_copy") == F.col("_own")).withColumn("ticker", F.col("ticker.ticker"))
-    return kept.drop("_rank", "_own", "_copy")
+    kept = made.where(F.col("_copy") == F.col("_own")).withColumns({"ticker": F.col("ticker.ticker"), "date": F.col("_date")})
+    return kept.drop("_rank", "_own", "_copy", "_date")
