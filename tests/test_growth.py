@@ -36,3 +36,13 @@ def test_blocks_with_equal_times(spark):
         assert mean == (pytest.approx(i - 9.5) if i >= 19 else None)
         assert change == (pytest.approx(1 / i) if i else None)
     assert dict(made.dtypes)["date"] == "timestamp_ntz"
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    rng = np.random.default_rng(1)
+    ties = (rng.integers(-(10**9), 10**9, 4000) * 10 + 5) / 1e7
+    xs = [float(x) for x in [*ties, *np.nextafter(ties, np.inf), *rng.normal(size=1000), *rng.normal(size=500) * 1e11, 0.0, -0.0, 1e305, np.inf, -np.inf]]
+    db = duckdb.connect()
+    want = [db.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchall()[0][0] for x in xs]
+    df = spark.createDataFrame(list(enumerate(xs)), "i long, x double")
+    assert [r["x"] for r in queries._rounded(df).orderBy("i").collect()] == want
