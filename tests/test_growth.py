@@ -46,3 +46,19 @@ def test_rounding_is_that_of_the_sql(spark):
     want = [db.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchall()[0][0] for x in xs]
     df = spark.createDataFrame(list(enumerate(xs)), "i long, x double")
     assert [r["x"] for r in queries._rounded(df).orderBy("i").collect()] == want
+
+
+def test_labels_are_met_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(models, "tasks_for", lambda df: staging.tasks_for(df, 100))
+    monkeypatch.setattr(splits, "tasks_for", lambda df: staging.tasks_for(df, 100))
+    matrix = spark.range(2000).select(F.col("id").alias("pos"), F.when(F.col("id") < 1500, "train").otherwise("test").alias("split"), F.col("id").cast("double").alias("y"))
+    joined = splits.join_labels(matrix, matrix.select("pos", "y"))
+    assert joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+    predicted = models.predict_constant(joined, 1.0, "mean")
+    out = models.with_actuals(predicted, matrix.select("pos", "y"))
+    assert out.count() == 2000 and out.where("y = pos").count() == 2000
+    for bad, text in ((matrix.select("pos", "y").union(matrix.select("pos", "y").limit(1)), "two actual"), (matrix.select("pos", "y").where("pos > 0"), "no actual row")):
+        with pytest.raises(ValueError, match=text):
+            models.with_actuals(predicted, bad)
+    with pytest.raises(ValueError, match="predicted twice"):
+        models.with_actuals(predicted.union(predicted.limit(1)), matrix.select("pos", "y"))
