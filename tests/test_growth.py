@@ -62,3 +62,15 @@ def test_labels_are_met_in_tasks_of_a_bounded_number_of_rows(spark, monkeypatch)
             models.with_actuals(predicted, bad)
     with pytest.raises(ValueError, match="predicted twice"):
         models.with_actuals(predicted.union(predicted.limit(1)), matrix.select("pos", "y"))
+
+
+def test_predictions_by_cell_are_those_by_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, float(a), float(b), float(a * b + rng.normal()), "train") for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    data = spark.createDataFrame(rows, "pos long, a double, b double, y double, split string")
+    model = boosting.fit(data, ["a", "b"], boosting.Params(n_estimators=5), bins=16)
+    by_cell, by_row = (boosting.with_predictions(data, model, most_cells=n) for n in (boosting.MOST_CELLS, 0))
+    assert [r["prediction"] for r in by_cell.orderBy("pos").collect()] == [r["prediction"] for r in by_row.orderBy("pos").collect()]
+    assert "ArrowEvalPython" not in plan(by_cell) and "ArrowEvalPython" in plan(by_row)
+    odd = spark.createDataFrame([(0, None, float("nan")), (1, float("inf"), float("-inf"))], "pos long, a double, b double")
+    assert [r["prediction"] for r in boosting.with_predictions(odd, model).orderBy("pos").collect()] == [r["prediction"] for r in boosting.with_predictions(odd, model, 0).orderBy("pos").collect()]

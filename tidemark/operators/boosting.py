@@ -268,7 +268,11 @@ class _FromCells(_Source):
                 cell = np.ravel_multi_index(batch[columns].to_numpy()[mine].T, shape)
                 yield pd.DataFrame({"cell": cell, "y": batch["y"].to_numpy()[mine]}).groupby("cell", as_index=False).agg(s=("y", "sum"), c=("y", "size"))
 
-        sums = self.rows.mapInPandas(count, "cell long, s long, c long").groupBy("cell").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).toPandas()
+        if not params.bagging_freq or params.bagging_fraction == 1:
+            parts = self.rows.select(_cell([F.col(c) for c in columns], shape).alias("cell"), F.col("y").alias("s"), F.lit(1).alias("c"))
+        else:
+            parts = self.rows.mapInPandas(count, "cell long, s long, c long")
+        sums = parts.groupBy("cell").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).toPandas()
         self.y, self.n = np.zeros(len(self.bins), dtype=np.int64), np.zeros(len(self.bins), dtype=np.int64)
         self.y[sums["cell"]], self.n[sums["cell"]] = sums["s"], sums["c"]
 
@@ -281,6 +285,14 @@ class _FromCells(_Source):
         self.made = _after(self.made, self.bins, (tree,))
 
 
+def _cell(bins: list[Column], n_bins: tuple[int, ...]) -> Column:
+    """The number of a combination of bins, the first feature's counting most."""
+    at = F.lit(0).cast("long")
+    for b, n in zip(bins, n_bins, strict=True):
+        at = at * n + b
+    return at
+
+
 def _after(made: np.ndarray, bins: np.ndarray, trees: tuple[Tree, ...]) -> np.ndarray:
     for tree in trees:
         made = made + np.array(tree.value)[tree.leaves(bins)]
@@ -337,9 +349,19 @@ def predicted(values: np.ndarray, model: Ensemble) -> np.ndarray:
     return _after(np.full(len(values), model.base), bins, model.trees)
 
 
-def with_predictions(data: DataFrame, model: Ensemble) -> DataFrame:
-    """``data`` with ``prediction``."""
-    columns = list(model.columns)
+def with_predictions(data: DataFrame, model: Ensemble, most_cells: int = MOST_CELLS) -> DataFrame:
+    """``data`` with ``prediction``.
+
+    Rows of one combination of bins have one prediction; where there are few combinations, trees are followed once for each of
+    them, not for each row.
+    """
+    columns, n_bins = list(model.columns), tuple(len(e) + 1 for e in model.edges)
+    if columns and np.prod([float(n) for n in n_bins]) <= most_cells:
+        cells = np.array(np.unravel_index(np.arange(int(np.prod(n_bins))), n_bins)).T
+        values = _after(np.full(len(cells), model.base), cells, model.trees)
+        known = data.sparkSession.createDataFrame(list(enumerate(values.tolist())), "_cell long, prediction double")
+        at = _cell([_bin_column(c, list(e)) for c, e in zip(columns, model.edges, strict=True)], n_bins)
+        return data.withColumn("_cell", at).join(F.broadcast(known), "_cell", "left").drop("_cell")
 
     @F.pandas_udf("double")
     def made(*features: pd.Series) -> pd.Series:
