@@ -74,3 +74,8 @@ def test_predictions_by_cell_are_those_by_row(spark):
     assert "ArrowEvalPython" not in plan(by_cell) and "ArrowEvalPython" in plan(by_row)
     odd = spark.createDataFrame([(0, None, float("nan")), (1, float("inf"), float("-inf"))], "pos long, a double, b double")
     assert [r["prediction"] for r in boosting.with_predictions(odd, model).orderBy("pos").collect()] == [r["prediction"] for r in boosting.with_predictions(odd, model, 0).orderBy("pos").collect()]
+
+
+def test_bars_and_their_windows_share_one_exchange_and_sort(spark):
+    df = features.add_price_volume_features(trade_bars(spark, "/root/testdata/sf0.001"), (5,), (10,), (5,))
+    assert plan(df).count("Exchange") == 1 and plan(df).count("Sort [") == 1
