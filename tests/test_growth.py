@@ -79,3 +79,12 @@ def test_predictions_by_cell_are_those_by_row(spark):
 def test_bars_and_their_windows_share_one_exchange_and_sort(spark):
     df = features.add_price_volume_features(trade_bars(spark, "/root/testdata/sf0.001"), (5,), (10,), (5,))
     assert plan(df).count("Exchange") == 1 and plan(df).count("Sort [") == 1
+
+
+def test_smoke_summary_reads_the_bars_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda x: (seen.add(1), x)[1], "double")
+    bars = staging.materialize(sample_bars(spark, 30), "bars").withColumn("close", touch("close"))
+    row = pipelines.smoke_summary(bars).first()
+    assert (row["row_count"], row["ticker_count"], row["label_count"], row["n"]) == (60, 2, 54, 29)
+    assert seen.value == 60
