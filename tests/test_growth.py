@@ -81,6 +81,19 @@ def test_bars_and_their_windows_share_one_exchange_and_sort(spark):
     assert plan(df).count("Exchange") == 1 and plan(df).count("Sort [") == 1
 
 
+def test_windows_run_once_for_a_matrix(spark):
+    """What is written holds ranks within dates; dates are counted in it, not in the bars again."""
+    bars = sample_bars(spark, 40)
+    seen = spark.sparkContext.accumulator(0)
+    touch = F.udf(lambda x: (seen.add(1), x)[1], "double")
+    frame = features.add_forward_return_label(bars.withColumn("a", touch("close")), 3, 1)
+    matrix = pipelines.complete_matrix(frame, ["a"], "label_forward_return_3d_entry_lag_1d")
+    n = matrix.count()
+    want = frame.select("date", "ticker").toPandas().sort_values(["date", "ticker"])
+    assert seen.value == n == 80
+    assert [tuple(r) for r in matrix.orderBy("pos").select("pos", "ticker").collect()] == list(zip(range(80), want["ticker"]))
+
+
 def test_smoke_summary_reads_the_bars_once(spark):
     seen = spark.sparkContext.accumulator(0)
     touch = F.udf(lambda x: (seen.add(1), x)[1], "double")
