@@ -94,6 +94,15 @@ def test_windows_run_once_for_a_matrix(spark):
     assert [tuple(r) for r in matrix.orderBy("pos").select("pos", "ticker").collect()] == list(zip(range(80), want["ticker"]))
 
 
+def test_rows_are_not_dealt_by_walk_forward_window(spark):
+    matrix = spark.range(1000).select(F.col("id").alias("pos"), F.rand(1).alias("a"), F.rand(2).alias("y"))
+    stats = splits.train_prefix_stats(matrix, ["a"], 4, 500, 50)
+    rows = splits.scale_by_window(splits.assign_windows(matrix, 4, 500, 100, 100, 50), stats, ["a"])
+    assert "BroadcastHashJoin" in plan(rows)
+    top = plan(rows).split("BroadcastExchange")[0]
+    assert "Exchange hashpartitioning(window" not in top and rows.count() == 800
+
+
 def test_smoke_summary_reads_the_bars_once(spark):
     seen = spark.sparkContext.accumulator(0)
     touch = F.udf(lambda x: (seen.add(1), x)[1], "double")
