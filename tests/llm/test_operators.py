@@ -220,6 +220,25 @@ def test_differences_are_retried_larger(spark):
         assert r["direct"] == r["blocks"] == len(set(x) ^ set(y))
 
 
+def test_pairs_get_cells_by_their_digests(spark):
+    """No pair is subtracted again with many more cells than it has digests, empty ones neither, nor one at all whose few digests are none."""
+    rng = random.Random(13)
+    numbers = spark.createDataFrame([(f"paragraph {i} {rng.random()}",) for i in range(600)], "t string")
+    found = [r["d"][0] for r in numbers.select(fingerprints.digests(F.col("t")).alias("d")).collect()]
+    rows = [(k, rng.sample(found, rng.randrange(20, 600)), rng.sample(found, rng.randrange(1, 60))) for k in range(40)]
+    frame = spark.createDataFrame(rows, "k int, a array<long>, b array<long>")
+    step = lambda df, *made: common.materialize(df.select("k", *made), "step")
+    marks = step(frame, *(fingerprints.fingerprint(F.col(c)).alias(c) for c in "ab"))
+    tried = step(step(marks, fingerprints.first_tries(F.col("a"), F.col("b")).alias("t")), fingerprints.recovered(F.col("t")).alias("t"))
+    pairs = [p for r in tried.orderBy("k").collect() for t in r["t"] for p in t["pairs"]]
+    assert sum(not p["few"] for p in pairs) > 100 and sum(not p["few"] and not p["many"]["n"] for p in pairs) > 10
+    again = [p for r in step(tried, fingerprints.second_tries(F.col("t")).alias("t")).orderBy("k").collect() for t in r["t"] for p in t["pairs"]]
+    assert len(again) == len(pairs) and {p["differ"] < 0 for p in again} == {True, False}
+    for before, p in zip(pairs, again):
+        assert p["cells"] <= (0 if p["differ"] >= 0 else 64)
+        assert before["few"] or p["differ"] == before["many"]["n"]
+
+
 def test_fingerprints_of_very_many_equal_rows(spark):
     """Rows equal in id and text follow each other, and the last of them the next text, as if each were ordered on its own."""
     rng = random.Random(12)

@@ -9,9 +9,10 @@ holds, and it belongs in that cell) holds that one alone, which is then taken ou
 
 Sizes are powers of 2, so a larger fingerprint folds into a smaller one by adding cells. Two
 fingerprints are first compared folded to the smaller of both sizes. Where that gets stuck in a
-block, the subtraction is retried larger: both sides are sketched again with more cells (and as
-many blocks as the larger fingerprint has), subtracted and peeled, and again with twice the cells
-until it works. What is sketched again comes from the fingerprints themselves: a block is built
+block, the subtraction is retried larger, with as many blocks as the larger fingerprint has: each
+of its blocks less the digests of the smaller one that belong there, at its own cells, is peeled.
+Where that gets stuck too, both sides are sketched again with more cells, subtracted and peeled, and
+again with twice the cells until it works. All of it comes from the fingerprints: a block is built
 with so many cells that peeling recovers all its digests. Nothing but the two fingerprints is read.
 """
 
@@ -127,10 +128,15 @@ def _pure(cells: Column) -> Column:
     is_digest = lambda v: (F.abs(v) < _long(1 << (HASH_BITS + CHECK_BITS))) & (
         F.abs(v).bitwiseAND(_long(_CHECK)) == _check(F.shiftright(F.abs(v), CHECK_BITS))
     )
-    own = lambda t: F.transform(
-        F.slice(cells, n * t + 1, n), lambda v, i: F.when((v != 0) & is_digest(v) & (_cell_of(F.abs(v), t, n) == i), v)
-    )
-    return F.array_distinct(F.array_compact(F.concat(*[own(t) for t in range(TABLES)])))
+    of = lambda v, t: _cell_of(F.abs(v), t, n) + n * t
+    place = lambda v, i: F.when(i < n, of(v, 0)).when(i < n * 2, of(v, 1)).otherwise(of(v, 2))
+    return F.array_distinct(F.filter(cells, lambda v, i: (v != 0) & is_digest(v) & (place(v, i) == i)))
+
+
+def _less(cells: Column, placed: Column, n: Column) -> Column:
+    """Cells with placed digests taken away, ``n`` of them in each table."""
+    one = lambda t: F.transform(F.slice(cells, n * t + 1, n), lambda v, i: _moved(v, placed, t, i, -1))
+    return F.concat(*map(one, range(TABLES)))
 
 
 def peel(cells: Column, rounds: int = ROUNDS) -> Column:
@@ -242,7 +248,13 @@ def difference_from(a: Column, b: Column, cells: Column) -> Column:
     )
 
 
-# A comparison is three columns, one made of the other: Spark's analyzer gives up on lambdas nested as deep as all three together.
+# A comparison is four columns, one made of the other: Spark's analyzer gives up on lambdas nested as deep as all of them together.
+
+
+def _tried(cells: Column) -> Column:
+    """How many digests a difference has, from peeling it; -1 if it is stuck, or so full that it is taken for stuck."""
+    full = F.size(F.filter(cells, lambda x: x != 0)) > F.size(cells) * MOST_FULL
+    return F.when(full, -1).otherwise(let(peel(cells, FIRST_ROUNDS), lambda r: F.when(r["ok"], F.size(r["found"])).otherwise(-1)))
 
 
 def first_tries(a: Column, b: Column) -> Column:
@@ -250,10 +262,8 @@ def first_tries(a: Column, b: Column) -> Column:
     ``differ``, from the difference of both sides folded to the fewest cells that a block of theirs has; -1 where it is stuck."""
 
     def folded(s: Column) -> Column:
-        full = lambda c: F.size(F.filter(c, lambda x: x != 0)) > F.size(c) * MOST_FULL
-        tried = lambda c: F.when(full(c), -1).otherwise(let(peel(c, FIRST_ROUNDS), lambda r: F.when(r["ok"], F.size(r["found"])).otherwise(-1)))
         few = F.size(s["a"]) + F.size(s["b"]) <= MOST_FOLDED + 1
-        found = let(_fewest(s), lambda n: let(subtract(_folded(s["a"], n), _folded(s["b"], n)), tried))
+        found = let(_fewest(s), lambda n: let(subtract(_folded(s["a"], n), _folded(s["b"], n)), _tried))
         return F.when(s["a"] == s["b"], 0).when(few, found).otherwise(-1)
 
     one = lambda i, n: let(
@@ -268,36 +278,55 @@ def _fewest(tried: Column) -> Column:
 
 
 def recovered(tries: Column) -> Column:
-    """Tries as ``differ`` and, where one was stuck, ``pairs`` of lists of digests, and how many ``cells`` to subtract them with.
+    """Tries as ``differ`` and, where one was stuck, ``pairs`` to be subtracted one by one: ``few``, digests, and a block ``many``; ``cells`` were tried.
 
-    One side has a single block; its digests are dealt over as many blocks as the other has. Each pair is to be
-    subtracted with more cells than were tried, no fewer than its own block has, and 2 for each digest.
+    One side has a single block; its digests are dealt over as many blocks as the other has.
+    Where both have a single one, ``cells`` says how many of them in each table were tried in vain, else 0.
     """
 
     def pairs(t: Column, n_blocks: Column) -> Column:
         a_few = F.size(t["a"]) <= F.size(t["b"])
         single, many = F.get(F.when(a_few, t["a"]).otherwise(t["b"]), F.lit(0)), F.when(a_few, t["b"]).otherwise(t["a"])
-        total, tried = n_blocks * F.size(many), (_fewest(t) / TABLES).cast("int")
-        own = lambda few, j: F.filter(few, lambda x: x.bitwiseAND(total - 1) == t["at"] + j * n_blocks)
-
-        def pair(few: Column, m: Column) -> Column:
-            wanted = F.least(F.ceil(F.log2((F.size(few) + m["n"]) * (2.0 / TABLES))), F.lit(TABLE_BITS))
-            cells = F.greatest(tried * 2, per_table(m["cells"]), F.pow(F.lit(2), wanted).cast("int"))
-            return F.struct(few.alias("few"), _own(m).alias("many"), F.least(cells, F.lit(CELLS << DOUBLINGS)).alias("cells"))
-
-        return let(_own(single), lambda few: F.transform(many, lambda m, j: let(own(few, j), lambda x: pair(x, m))))
+        tried = F.when(F.size(many) == 1, (_fewest(t) / TABLES).cast("int")).otherwise(0)
+        once = F.struct(_own(single).alias("few"), many.alias("many"), tried.alias("tried"), (n_blocks * F.size(many) - 1).alias("mask"))
+        own = lambda s, at: F.filter(s["few"], lambda x: x.bitwiseAND(s["mask"]) == at)
+        pair = lambda s, m, j: F.struct(own(s, t["at"] + j * n_blocks).alias("few"), m.alias("many"), s["tried"].alias("cells"))
+        return let(once, lambda s: F.transform(s["many"], lambda m, j: pair(s, m, j)))
 
     done = lambda t: F.struct(t["differ"].alias("differ"), F.array().cast(_PAIRS).alias("pairs"))
     stuck = lambda t: F.struct(t["differ"].alias("differ"), pairs(t, F.size(tries)).alias("pairs"))
     return F.transform(tries, lambda t: F.when(t["differ"] >= 0, done(t)).otherwise(stuck(t)))
 
 
-_PAIRS = "array<struct<few: array<bigint>, many: array<bigint>, cells: int>>"
+_PAIRS = "array<struct<few: array<bigint>, many: struct<n: int, cells: array<bigint>>, cells: int>>"
+
+
+def second_tries(tries: Column) -> Column:
+    """Tries whose pairs are subtracted at the size of the block: its cells less the few digests. Where that is stuck too, ``differ`` of the
+    pair is -1, ``many`` are the block's digests, and ``cells`` says how many to go on with, no fewer than 2 for each digest."""
+
+    def differ(p: Column) -> Column:
+        own = per_table(p["many"]["cells"])
+        less = let(own, lambda n: let(_placed(p["few"], n), lambda d: _less(p["many"]["cells"], d, n)))
+        # A block less nothing is the block, which was made so that all its digests peel.
+        return F.when(F.size(p["few"]) == 0, p["many"]["n"]).when(own <= p["cells"], -1).otherwise(let(less, _tried))
+
+    def pair(p: Column, d: Column) -> Column:
+        # Two empty sides are taken for one digest: the logarithm of 0 is null, which least passes over.
+        wanted = F.least(F.ceil(F.log2(F.greatest(F.lit(1), F.size(p["few"]) + p["many"]["n"]) * (2.0 / TABLES))), F.lit(TABLE_BITS))
+        cells = F.greatest(per_table(p["many"]["cells"]) * 2, F.pow(F.lit(2), wanted).cast("int"))
+        more = F.struct(d.alias("differ"), p["few"].alias("few"), _own(p["many"]).alias("many"), F.least(cells, F.lit(CELLS << DOUBLINGS)).alias("cells"))
+        none = F.struct(d.alias("differ"), _empty().alias("few"), _empty().alias("many"), F.lit(0).alias("cells"))
+        return F.when(d >= 0, none).otherwise(more)
+
+    again = lambda t: F.transform(t["pairs"], lambda p: let(differ(p), lambda d: pair(p, d)))
+    return F.transform(tries, lambda t: F.struct(t["differ"].alias("differ"), again(t).alias("pairs")))
 
 
 def retried(tries: Column) -> Column:
-    """How many digests differ, in blocks that came out at first and in those that are subtracted again."""
-    again = lambda t: F.aggregate(F.transform(t["pairs"], lambda p: difference_from(p["few"], p["many"], p["cells"])), F.lit(0), lambda s, x: s + x)
+    """How many digests differ, in blocks that came out at first, in pairs that came out then, and in those that are subtracted again."""
+    one = lambda p: F.when(p["differ"] >= 0, p["differ"]).otherwise(difference_from(p["few"], p["many"], p["cells"]))
+    again = lambda t: F.aggregate(F.transform(t["pairs"], one), F.lit(0), lambda s, x: s + x)
     counts = F.transform(tries, lambda t: F.when(t["differ"] >= 0, t["differ"]).otherwise(again(t)))
     return F.aggregate(counts, F.lit(0), lambda s, x: s + x)
 
@@ -305,7 +334,7 @@ def retried(tries: Column) -> Column:
 def with_difference(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """A column more: how many digests two columns of fingerprints do not share."""
     tries = df.withColumn(name, first_tries(F.col(a), F.col(b)))
-    return tries.withColumn(name, recovered(F.col(name))).withColumn(name, retried(F.col(name)))
+    return tries.withColumn(name, recovered(F.col(name))).withColumn(name, second_tries(F.col(name))).withColumn(name, retried(F.col(name)))
 
 
 def with_likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
