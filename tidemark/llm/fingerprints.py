@@ -200,13 +200,17 @@ def _grouped(found: Column, n_blocks: Column) -> Column:
     return F.transform(parts, lambda p: F.transform(F.filter(F.split(p, ","), lambda x: x != ""), lambda x: x.cast("long")))
 
 
-def fingerprint(found: Column) -> Column:
-    """``n`` digests, and ``blocks`` of their number and cells. It depends on the set of digests alone."""
+def _fingerprint(found: Column) -> Column:
     blocks = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2((F.size(found) + 1) / PER_BLOCK)))).cast("int")
     one = lambda x: F.struct(F.size(x).alias("n"), block(x).alias("cells"))
     return F.struct(F.size(found).alias("n"), let(blocks, lambda n: F.transform(_grouped(found, n), one)).alias("blocks"))
 
 
+def fingerprint(found: Column) -> Column:
+    """``n`` digests, and ``blocks`` of their number and cells. It depends on the set of digests alone. ``found`` is computed once."""
+    return let(found, _fingerprint)
+
+
 def _members(blocks: Column, at: Column, n_blocks: Column) -> Column:
     """The blocks that fold into block ``at`` of ``n_blocks``."""
     return F.transform(F.sequence(at, F.size(blocks) - 1, n_blocks), lambda j: F.get(blocks, j))
