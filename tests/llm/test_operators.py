@@ -239,6 +239,12 @@ def test_pairs_get_cells_by_their_digests(spark):
         assert before["few"] or p["differ"] == before["many"]["n"]
 
 
+def test_digests_are_computed_once(spark, docs):
+    """The plan of a fingerprint cuts its text at line ends once."""
+    plan = docs.select(fingerprints.fingerprint(fingerprints.digests(F.col("text"))).alias("mark"))._jdf.queryExecution().analyzed().toString()
+    assert len(re.findall(r"split\(text#", plan)) == 1
+
+
 def test_fingerprints_of_very_many_equal_rows(spark):
     """Rows equal in id and text follow each other, and the last of them the next text, as if each were ordered on its own."""
     rng = random.Random(12)
