@@ -823,6 +823,38 @@ def test_linked_documents_lie_together(spark):
     assert all(max(p) - min(p) == len(p) - 1 for p in places.values())
 
 
+def test_sharding_writes_files_by_rows_not_by_partitions(spark, docs, tmp_path, monkeypatch):
+    """Each file an executor makes starts processes; with many shuffle partitions, small steps were written as that many files."""
+    keys = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    want = Counter(sharding.shard(docs).collect())
+    monkeypatch.setattr("tidemark.sources.staging.shared_dir", lambda _: str(tmp_path))
+    old = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        out = sharding.shard(docs)
+        assert Counter(out.collect()) == want
+        assert out.rdd.getNumPartitions() <= 4
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = Counter(f.parent.name for f in tmp_path.glob("*/*.parquet"))
+    assert files and max(files.values()) <= 4, files
+    assert len(files) <= 4 + sharding.GROWING + sharding.ROUNDS  # base, nodes, links, placed and a table a round
+
+
+def test_common_lines_are_dealt_in_pieces(spark):
+    """Links against a search by hand, with a line of many nodes, which some hold twice; each link once, pieces by the line's nodes."""
+    rng = random.Random(3)
+    held = [(g, [1, 1] + [rng.randrange(2, 300) for _ in range(g % 5)]) for g in range(1000)] + [(5, [1, 2]), (1001, []), (1002, [10**6])]
+    base = spark.createDataFrame(held, "g long, lines array<long>")
+    got = Counter(map(tuple, sharding._links(base, sum(len(x) for _, x in held)).collect()))
+    pairs = {(g, x) for g, lines in held for x in lines}
+    k = Counter(x for _, x in pairs)
+    assert got == Counter((g, x, -(-k[x] // sharding.PIECE_ROWS)) for g, x in pairs if k[x] > 1)
+    assert max(p for _, _, p in got) == 8
+
+
 def test_components_of_long_chains(spark):
     """A chain of 3,000 nodes in random order, a star and a loop, against a search by hand."""
     rng = random.Random(2)

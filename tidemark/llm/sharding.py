@@ -28,81 +28,90 @@ LINE_CHARS = 20
 PREFIXES = 512
 HOT_SHARE = 2048
 _SCALE = 1 << 30
+#: Rows of a written file, and edges of a line that one task joins. A line's pieces are 8192 times their share of all lines at most.
+FILE_ROWS, PIECE_ROWS, PIECES = 1 << 16, 128, 8192
 
 
 def _hash01(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(_SCALE)) / F.lit(float(_SCALE))
 
 
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """In tasks that write a file of about FILE_ROWS each, one a core at least, whatever the number of shuffle partitions.
+
+    An executor starts processes for each file that it makes (the local file system sets modes by chmod),
+    and steps that write few rows would write them as hundreds of files.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def _wishes(edges: DataFrame, labelled: DataFrame, turn: int) -> DataFrame:
     """``g, to``: the label that the lines of each node speak for most. Ties go by hash, the same way everywhere."""
     tie = lambda c: F.xxhash64(F.lit(turn), c).alias("tie")
     tied = edges.join(labelled.select("g", "label"), "g")
-    per_label = tied.groupBy("l", "label").agg(F.count("*").alias("k"))
-    spoken = materialize(
+    per_label = tied.groupBy("l", "label").agg(F.count("*").alias("k"), F.max("pieces").alias("pieces"))
+    spoken = (
         per_label.groupBy("l")
-        .agg(F.max(F.struct("k", tie("label"), "label")).alias("top"), F.sum("k").alias("all"))
-        .select("l", F.col("top.label").alias("to"), F.floor(1000 * F.col("top.k") / F.col("all")).alias("voice")),
-        "spoken",
-    )
-    # Both sides are tables, so the partition of a very common line is split between tasks.
+        .agg(F.max(F.struct("k", tie("label"), "label")).alias("top"), F.sum("k").alias("all"), F.max("pieces").alias("pieces"))
+        .select("l", _each_piece(), F.col("top.label").alias("to"), F.floor(1000 * F.col("top.k") / F.col("all")).alias("voice"))
+    )
+    # A very common line is dealt to many tasks by its pieces.
     return (
-        edges.join(spoken, "l")
+        edges.select("g", "l", _piece("pieces")).join(spoken, ["l", "piece"])
         .groupBy("g", "to").agg(F.sum("voice").alias("voice"))
         .groupBy("g").agg(F.max(F.struct("voice", tie("to"), "to")).alias("best"))
         .select("g", F.col("best.to").alias("to"))
     )
 
 
+def _piece(pieces: str | Column) -> Column:
+    """Which piece of its line's edges the edge of a node is in."""
+    return F.pmod(F.xxhash64(F.lit(7), "g"), pieces).alias("piece")
+
+
+def _each_piece() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")
+
+
 def _half(turn: int) -> Column:
     """Half of the nodes stay where they are in a round, so that linked nodes do not swap places."""
     return _hash01(F.lit(turn), F.col("g")) < 0.5
 
 
-def clusters(nodes: DataFrame, edges: DataFrame, most: float, rounds: int = GROWING) -> DataFrame:
-    """``g, w, label`` for ``nodes`` (g, w): clusters of weight ``most`` or less, named by one of their nodes.
+def clusters(nodes: DataFrame, edges: DataFrame, most: float, rows: int, rounds: int = GROWING) -> DataFrame:
+    """``g, w, label`` for ``nodes`` (g, w; ``rows`` or fewer): clusters of weight ``most`` or less, named by one of their nodes.
 
     Every node starts as a cluster. Where more weight wishes to join a cluster than there is room, a
-    share of the wishes is granted, chosen by hash.
+    share of the wishes is granted, chosen by hash. Those are few clusters, as what is held and what
+    is asked weigh more than ``most`` there, and both weigh as much as all nodes in all.
     """
     labelled = nodes.withColumn("label", F.col("g"))
     for turn in range(rounds):
-        labelled = materialize(labelled, f"clusters{turn}")
-        wished = materialize(labelled.join(_wishes(edges, labelled, -1 - turn), "g", "left").withColumn("to", F.when(_half(-1 - turn), F.col("to"))), f"joins{turn}")
-        moving = wished.where("to != label")
-        held = wished.groupBy("label").agg(F.sum("w").alias("held"))
-        asked = moving.groupBy("to").agg(F.sum("w").alias("asked"))
-        grants = materialize(
-            asked.join(held.withColumnRenamed("label", "to"), "to", "left")
-            .select("to", ((F.lit(float(most)) - F.coalesce("held", F.lit(0))) / F.col("asked")).alias("share")),
-            f"grants{turn}",
-        )
-        granted = _hash01(F.lit(500 + turn), F.col("g")) < F.coalesce("share", F.lit(0.0))
-        labelled = (
-            wished.join(grants, "to", "left")
-            .select("g", "w", F.when(F.col("to").isNotNull() & granted, F.col("to")).otherwise(F.col("label")).alias("label"))
-        )
-    return materialize(labelled, "clusters")
-
-
-def propagate(nodes: DataFrame, edges: DataFrame, n_labels: float, rounds: int = ROUNDS) -> DataFrame:
-    """``g, label, cluster`` for ``nodes`` (g, w) under ``edges`` (g, l: a line that at least two nodes hold).
+        wished = labelled.join(_wishes(edges, labelled, -1 - turn), "g", "left").withColumn("to", F.when(_half(-1 - turn), F.col("to")))
+        wished = materialize(_few(wished, rows), f"joins{turn}")
+        held = wished.select("label", F.col("w").alias("held"), F.lit(0).cast("long").alias("asked"))
+        asked = wished.where("to != label").select(F.col("to").alias("label"), F.lit(0).cast("long").alias("held"), F.col("w").alias("asked"))
+        weights = held.union(asked).groupBy("label").agg(F.sum("held").alias("held"), F.sum("asked").alias("asked")).where("asked > 0")
+        full = weights.select("label", ((F.lit(float(most)) - F.col("held")) / F.col("asked")).alias("share")).where("share < 1").collect()
+        share = F.try_element_at(F.create_map(*(F.lit(x) for r in full for x in r)), F.col("to")) if full else F.lit(1.0)
+        granted = _hash01(F.lit(500 + turn), F.col("g")) < F.coalesce(share, F.lit(1.0))
+        labelled = wished.select("g", "w", F.when(F.col("to").isNotNull() & granted, F.col("to")).otherwise(F.col("label")).alias("label"))
+    return labelled
+
+
+def propagate(nodes: DataFrame, edges: DataFrame, n_labels: float, rows: int, rounds: int = ROUNDS) -> DataFrame:
+    """``g, label, cluster`` for ``nodes`` (g, w; ``rows`` or fewer) under ``edges`` (g, l, pieces: see ``_links``).
 
     n_labels may have a fraction: the last label is then smaller by it.
     """
     capacity = nodes.agg(F.sum("w").alias("w")).first()["w"] / n_labels
-    grown = clusters(nodes, edges, max(1.0, CLUSTER_SHARE * capacity))
+    grown = clusters(nodes, edges, max(1.0, CLUSTER_SHARE * capacity), rows)
     start = F.floor(_hash01(F.lit(-1), F.col("label")) * n_labels).cast("int")
     labelled = grown.select("g", "w", start.alias("label"), F.col("label").alias("cluster"))
     count = int(-(-n_labels // 1))
     for turn in range(rounds):
-        labelled = materialize(labelled, f"labels{turn}")
-        wished = materialize(
-            labelled.join(_wishes(edges, labelled, turn), "g", "left").withColumn(
-                "to", F.when(_half(turn) & (F.col("w") <= capacity / 2), F.col("to"))
-            ),
-            f"wishes{turn}",
-        )
+        wished = labelled.join(_wishes(edges, labelled, turn), "g", "left").withColumn("to", F.when(_half(turn) & (F.col("w") <= capacity / 2), F.col("to")))
+        wished = materialize(_few(wished, rows), f"wishes{turn}")
         flows = wished.where("to != label").groupBy("label", "to").agg(F.sum("w").alias("w")).collect()
         held = {r["label"]: r["w"] for r in wished.groupBy("label").agg(F.sum("w").alias("w")).collect()}
         want = {(r["label"], r["to"]): r["w"] for r in flows}  # at most one row per pair of labels
@@ -118,10 +127,17 @@ def propagate(nodes: DataFrame, edges: DataFrame, n_labels: float, rounds: int =
     return labelled.select("g", "label", "cluster")
 
 
-def _links(base: DataFrame) -> DataFrame:
+def _links(base: DataFrame, n_lines: int) -> DataFrame:
+    """``g, l, pieces``: nodes and the lines that at least two of them hold, and in how many pieces such a line's edges are dealt.
+
+    No more than PIECES lines have several.
+    """
     held = base.select("g", F.explode("lines").alias("l")).distinct()
-    shared = held.groupBy("l").agg(F.count("*").alias("k")).where("k > 1").select("l")
-    return held.join(shared, "l")
+    shared = held.groupBy("l").agg(F.count("*").alias("k")).where("k > 1")
+    shared = shared.select("l", F.ceil(F.col("k") / max(PIECE_ROWS, -(-n_lines // PIECES))).alias("pieces"))
+    common = shared.where("pieces > 1").withColumnRenamed("pieces", "many")
+    dealt = held.join(F.broadcast(common), "l", "left").select("g", "l", _piece(F.coalesce("many", F.lit(1))))
+    return dealt.join(shared.select("l", "pieces", _each_piece()), ["l", "piece"]).select("g", "l", "pieces")
 
 
 def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -148,14 +164,17 @@ def shard(docs: DataFrame, n_shards: int = N_SHARDS, rounds: int = ROUNDS) -> Da
         ),
         "base",
     )
-    nodes = materialize(base.groupBy("g").agg(F.count("*").alias("w")), "nodes")
-    total = nodes.agg(F.sum("w").alias("n")).first()["n"] or 0
+    found = base.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("lines")).first()
+    total = found["rows"]
+    nodes = materialize(_few(base.groupBy("g").agg(F.count("*").alias("w")), total), "nodes")
     # Groups of half a shard or more, 2 * n_shards at most, have a place of their own at the end.
-    giants = nodes.where(F.col("w") * 2 * n_shards >= total).agg(F.sum("w").alias("w")).first()["w"] or 0
+    large = nodes.where(F.col("w") * 2 * n_shards >= total)
+    giants = large.agg(F.sum("w").alias("w")).first()["w"] or 0
     n_labels = (total - giants) * n_shards / max(1, total)
     rest = nodes.where(F.col("w") * 2 * n_shards < total)
     if n_labels > 1:
-        labels = propagate(rest, materialize(_links(base), "links").join(rest.select("g"), "g", "left_semi"), n_labels, rounds)
+        links = _links(base, found["lines"]).join(F.broadcast(large.select("g")), "g", "left_anti")
+        labels = propagate(rest, materialize(_few(links, found["lines"]), "links"), n_labels, total, rounds)
     else:
         labels = rest.select("g", F.lit(0).alias("label"), F.col("g").alias("cluster"))
     return _laid_out(base.drop("lines"), nodes, labels, total, n_shards)
@@ -165,7 +184,7 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
     """Positions 0 to total - 1 by label, cluster and group, from counts of small buckets; shards cut them."""
     marked = nodes.join(labels, "g", "left").select("g", "w", F.coalesce("label", F.lit(n_shards)).alias("label"), F.coalesce("cluster", "g").alias("cluster"))
     # Hot groups and clusters, HOT_SHARE of each at most, are buckets of their own, and several if need be.
-    heavy = materialize(marked.groupBy("cluster").agg(F.sum("w").alias("weight")).where(F.col("weight") * HOT_SHARE > total), "heavy")
+    heavy = marked.groupBy("cluster").agg(F.sum("w").alias("weight")).where(F.col("weight") * HOT_SHARE > total)
     salts = lambda w: F.greatest(F.lit(1), F.ceil(F.col(w) * (4 * HOT_SHARE) / max(1, total)))
     hot = F.col("w") * HOT_SHARE > total
     marked = marked.join(F.broadcast(heavy), "cluster", "left").select(
@@ -175,7 +194,7 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
     )
     # Very many equal rows are told apart by their numbers; which of them lies where makes no difference. 4 * HOT_SHARE at most.
     equal = base.groupBy("g", F.coalesce("doc_id", F.lit(0)).alias("_doc"), F.col("doc_id").isNull().alias("_none")).agg(F.count("*").alias("k"))
-    equal = materialize(equal.where(F.col("k") * (4 * HOT_SHARE) > total).drop("k").withColumn("many", F.lit(True)), "equal")
+    equal = equal.where(F.col("k") * (4 * HOT_SHARE) > total).drop("k").withColumn("many", F.lit(True))
     base = base.withColumns({"_doc": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()}).join(F.broadcast(equal), ["g", "_doc", "_none"], "left")
     apart = F.when(F.col("many"), F.col("row")).otherwise(0)
     by_doc, by_group = F.pmod(F.xxhash64("doc_id", "size", apart), F.col("by_doc")), F.pmod(F.xxhash64(F.lit(6), "g"), F.col("by_group"))
@@ -183,7 +202,7 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
         "doc_id", "size", "text_crc32", "g", "label", "cluster", "hot",
         F.pmod(F.xxhash64(F.lit(5), "cluster"), F.lit(PREFIXES)).alias("region"), F.coalesce(by_doc, by_group, F.lit(0)).alias("part"),
     )
-    placed = materialize(placed, "placed")
+    placed = materialize(_few(placed, total), "placed")
     key = ["label", "region", "hot", "part"]
     counts = placed.groupBy(*key).agg(F.count("*").alias("n"))
     # At most n_shards * PREFIXES + 10 * HOT_SHARE buckets and some of their labels, however many rows: one task may sum them up.
@@ -199,10 +218,11 @@ def _laid_out(base: DataFrame, nodes: DataFrame, labels: DataFrame, total: int,
         over + F.floor((F.col("position") - cut) / max(1, each))
     )
     start = F.when(in_long, F.col("shard") * (each + 1)).otherwise(cut + (F.col("shard") - over) * each)
-    return at.withColumn("shard", number.cast("int")).select(
+    out = at.withColumn("shard", number.cast("int")).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         (F.col("position") - start).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+    return _few(out, total)
 
 
 def op10_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
