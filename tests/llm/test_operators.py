@@ -239,6 +239,28 @@ def test_pairs_get_cells_by_their_digests(spark):
         assert before["few"] or p["differ"] == before["many"]["n"]
 
 
+def test_sums_that_look_like_digests(spark):
+    """Digests of which two add up to what looks like a third: none is found that isn't there, nor twice, and a difference with others comes out exact."""
+    others = [
+        2338595654625665, 128751638312427, 2538052893281403, 4061208543082952, 2038387369345974, 1648705172675315, 3744801641814297, 960085488712846,
+        50783242530802, 2876629384754194, 2023527398904690, 1319181311744074,
+    ]
+    alike = [
+        [500537655007591, 1130671096816919, 765580225908543, 1728162933960755],  # raised: one was found twice
+        [964630025666698, 1631627738548943], [139695503897927, 810115608142854, 4295963540428338],
+        [28350766800785, 31415609060059, 2611276128123331, 3931002558059281, 3495568904883363],
+    ]
+    rows = [(x, others + x[:k]) for x in alike for k in (0, 1)]
+    marks = spark.createDataFrame(rows, "x array<long>, y array<long>").select("x", "y", *(fingerprints.fingerprint(F.col(c)).alias(m) for c, m in ("xa", "yb")))
+    marks = common.materialize(marks, "marks")
+    own = F.flatten(F.transform(F.col("a")["blocks"], fingerprints._own))
+    got = fingerprints.with_difference(marks.withColumn("own", own), "a", "b", "d").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert sorted(r["own"]) == sorted(r["x"])
+        assert r["d"] == len(set(r["x"]) ^ set(r["y"]))
+
+
 def test_digests_are_computed_once(spark, docs):
     """The plan of a fingerprint cuts its text at line ends once."""
     plan = docs.select(fingerprints.fingerprint(fingerprints.digests(F.col("text"))).alias("mark"))._jdf.queryExecution().analyzed().toString()

@@ -123,14 +123,16 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def _pure(cells: Column) -> Column:
-    """The digests that are alone in a cell: as they are, or negative if they were taken away."""
+    """The digests that are alone in a cell: as they are, or negative if they were taken away. Their other cells hold something too, else
+    it is a sum of others that looks like a digest."""
     n = per_table(cells)
     is_digest = lambda v: (F.abs(v) < _long(1 << (HASH_BITS + CHECK_BITS))) & (
         F.abs(v).bitwiseAND(_long(_CHECK)) == _check(F.shiftright(F.abs(v), CHECK_BITS))
     )
     of = lambda v, t: _cell_of(F.abs(v), t, n) + n * t
     place = lambda v, i: F.when(i < n, of(v, 0)).when(i < n * 2, of(v, 1)).otherwise(of(v, 2))
-    return F.array_distinct(F.filter(cells, lambda v, i: (v != 0) & is_digest(v) & (place(v, i) == i)))
+    held = lambda v: (F.get(cells, of(v, 0)) != 0) & (F.get(cells, of(v, 1)) != 0) & (F.get(cells, of(v, 2)) != 0)
+    return F.array_distinct(F.filter(cells, lambda v, i: (v != 0) & is_digest(v) & (place(v, i) == i) & held(v)))
 
 
 def _less(cells: Column, placed: Column, n: Column) -> Column:
@@ -139,6 +141,14 @@ def _less(cells: Column, placed: Column, n: Column) -> Column:
     return F.concat(*map(one, range(TABLES)))
 
 
+def _net(found: Column) -> Column:
+    """What is left of digests that were taken out: a sum of digests may look like one and be taken out too; it is then put back, as
+    found negative, and so may be what it hid, which is found again. Those that were found both ways cancel; each is left once."""
+    times = lambda x: F.size(F.filter(found, lambda y: y == x))
+    once = F.size(F.array_distinct(F.transform(found, F.abs))) == F.size(found)
+    return F.when(once, found).otherwise(F.filter(F.array_distinct(found), lambda x: times(x) > times(-x)))
+
+
 def peel(cells: Column, rounds: int = ROUNDS) -> Column:
     """``ok`` and the digests ``found`` of a difference: as they are if the first version has them, negative if the second."""
     state = F.struct(cells.alias("cells"), _empty().alias("found"), F.lit(False).alias("over"))
@@ -154,7 +164,7 @@ def peel(cells: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(rounds)), state,
         lambda now, _: F.when(now["over"], now).otherwise(let(_pure(now["cells"]), lambda x: without(now, x))),
-        lambda now: F.struct((~F.exists(now["cells"], lambda c: c != 0)).alias("ok"), now["found"].alias("found")),
+        lambda now: F.struct((~F.exists(now["cells"], lambda c: c != 0)).alias("ok"), _net(now["found"]).alias("found")),
     )
 
 
@@ -169,7 +179,8 @@ def block(found: Column) -> Column:
     def peels(cells: Column, placed: Column, n: Column) -> Column:
         # Where each digest is alone in one of its cells, one round does it.
         alone = lambda d: (F.get(cells, d["p0"]) == d["x"]) | (F.get(cells, n + d["p1"]) == d["x"]) | (F.get(cells, n * 2 + d["p2"]) == d["x"])
-        return F.forall(placed, alone) | peel(cells)["ok"]
+        whole = lambda r: r["ok"] & (F.size(r["found"]) == F.size(placed))
+        return F.forall(placed, alone) | let(peel(cells), whole)
 
     def made(n: Column) -> Column:
         done = lambda c, d: F.struct(c.alias("cells"), peels(c, d, n).alias("ok"))
@@ -229,8 +240,10 @@ def _folded(members: Column, cells: Column) -> Column:
 
 
 def _own(member: Column) -> Column:
-    """All digests of a block, by peeling it; often the first look finds as many as there are."""
-    return let(_pure(member["cells"]), lambda p: F.when(F.size(p) == member["n"], p).otherwise(peel(member["cells"])["found"]))
+    """All digests of a block, by peeling it; often the first look finds them: as many as there are, and with the sum of a table's cells."""
+    cells, total = member["cells"], lambda x: F.aggregate(x, _long(0), lambda s, v: s + v)
+    all_ = lambda p: (F.size(p) == member["n"]) & (total(p) == total(F.slice(cells, F.lit(1), per_table(cells))))
+    return let(_pure(cells), lambda p: F.when(all_(p), p).otherwise(peel(cells)["found"]))
 
 
 def difference_from(a: Column, b: Column, cells: Column) -> Column:
