@@ -3,19 +3,24 @@
 import datetime as dt
 import io
 from contextlib import redirect_stdout
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import boosting, features, models, splits
-from tidemark.operators.blocks import in_blocks
+from tidemark.operators.blocks import in_blocks, with_stretches
 from tidemark.plans import pipelines, queries
 from tidemark.sources import staging
 from tidemark.sources.bars import sample_bars, trade_bars
 
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not Path(SF).exists(), reason="needs the test tables")
+
 
 def plan(df):
     out = io.StringIO()
@@ -38,6 +43,20 @@ def test_blocks_with_equal_times(spark):
     assert dict(made.dtypes)["date"] == "timestamp_ntz"
 
 
+@needs_tables
+def test_ticks_without_a_time_come_last(spark, tmp_path, monkeypatch):
+    """As in the SQL, and they stretch no stretch of time back to 1970."""
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id = 500 THEN NULL ELSE ts END AS ts) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    monkeypatch.setattr(queries, "TICKS_A_BLOCK", 100)
+    got, want = queries.tick_features(spark, str(tmp_path)).toPandas(), db.sql(queries.ORACLES["tick_features"]).df()
+    pd.testing.assert_frame_equal(*(x[want.columns].sort_values("date").reset_index(drop=True).astype({"date": "datetime64[us]"}) for x in (got, want)), atol=2e-6, rtol=1e-9)
+    ticks = spark.read.parquet(f"{tmp_path}/events.parquet").select(F.lit("all").alias("ticker"), F.col("ts").cast("timestamp_ntz").alias("date"))
+    stretches = with_stretches(ticks, "ticker", 100, "s", undated_last=True).groupBy("s").agg(F.count("*").alias("n"), F.count("date").alias("dated")).orderBy("s").collect()
+    assert len(stretches) >= 10 and (stretches[-1]["n"], stretches[-1]["dated"]) == (1, 0)
+
+
 def test_rounding_is_that_of_the_sql(spark):
     rng = np.random.default_rng(1)
     ties = (rng.integers(-(10**9), 10**9, 4000) * 10 + 5) / 1e7
