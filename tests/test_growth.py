@@ -43,6 +43,18 @@ def test_blocks_with_equal_times(spark):
     assert dict(made.dtypes)["date"] == "timestamp_ntz"
 
 
+@needs_tables
+def test_events_without_a_time_come_last(spark, tmp_path):
+    """A user's bar without a date follows the others, as in the SQL."""
+    db = duckdb.connect()
+    db.sql(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS ts) FROM '{SF}/events.parquet') TO '{tmp_path}/events.parquet'")
+    db.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = queries.event_features(spark, str(tmp_path)).toPandas(), db.sql(queries.ORACLES["event_features"]).df()
+    assert want["date"].isna().sum() > 10
+    ordered = [x[want.columns].astype({"date": "datetime64[us]"}).sort_values(["ticker", "date"]).reset_index(drop=True) for x in (got, want)]
+    pd.testing.assert_frame_equal(*ordered, check_dtype=False, atol=2e-6, rtol=1e-9)
+
+
 @needs_tables
 def test_ticks_without_a_time_come_last(spark, tmp_path, monkeypatch):
     """As in the SQL, and they stretch no stretch of time back to 1970."""
